@@ -1,6 +1,6 @@
 """Vectorised word hashing over Arrow string columns.
 
-A word is a maximal run of bytes outside {space, tab..CR}.  UTF-8 continuation bytes are all >= 0x80, so
+A word is a maximal run of bytes outside {space, tab..CR}, or, if asked, outside ASCII punctuation too.  UTF-8 continuation bytes are all >= 0x80, so
 scanning bytes gives the same words as scanning code points, and a whole column is hashed without making
 a Python string per word.  A hash is a tabulated polynomial over the word's bytes modulo 2**64, with A-Z
 folded to a-z, finished by a mixer; 64 bits keep the chance of any collision in a document below 1e-9.
@@ -20,6 +20,8 @@ _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _TABLE[65:91] = _TABLE[97:123]
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: Also cuts at ASCII punctuation, for matches that should not depend on it.
+_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _WEIGHTS = _RNG.integers(1, 2**63, 16, dtype=np.uint64) | _U(1)
@@ -52,7 +54,7 @@ class Words:
 
     __slots__ = ("data", "offsets", "hashes", "starts", "ends", "first")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, punctuation: bool = False):
         self.data, self.offsets = data, offsets
         n = len(data)
         if not n:
@@ -60,7 +62,7 @@ class Words:
             self.starts = self.ends = np.zeros(0, np.int64)
             self.first = np.zeros(len(offsets), np.int64)
             return
-        inside = ~_SEPARATOR[data]
+        inside = ~(_PUNCTUATION if punctuation else _SEPARATOR)[data]
         before, after = np.empty(n, bool), np.empty(n, bool)
         before[0], before[1:] = False, inside[:-1]
         after[-1], after[:-1] = False, inside[1:]
@@ -106,12 +108,12 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, Words]]:
+def chunks(column: pa.Array | pa.ChunkedArray, punctuation: bool = False) -> Iterator[tuple[int, int, Words]]:
     """The column's words in runs of whole texts of about CHUNK_BYTES: (first row, end row, words)."""
     data, offsets = flat(column)
     at, n = 0, len(offsets) - 1
     while at < n:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
         end = min(end, n)
-        yield at, end, Words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        yield at, end, Words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], punctuation)
         at = end

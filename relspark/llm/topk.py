@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import small_batches
+
 TILE_QUERIES = 1024
 TILE_ROWS = 8192
 _PACK = "dim int, n int, ids binary, vectors binary"
@@ -95,6 +97,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
 
     Both sides are packed into tiles without a shuffle; only tiles are paired.
     """
+    small_batches(vectors.sparkSession)
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
     def tiles(df: DataFrame, rows_each: int) -> DataFrame:
