@@ -21,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         out = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return out.filter("u > v").distinct()
+        return out.filter("u > v")
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
     out = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
     return out.unionByName(low.select("u", F.col("m").alias("v"))).distinct()

@@ -8,11 +8,11 @@ choice of `chunk_errors` slots from every chunk and hashing what is left gives t
 Candidates that share a key are compared by signature distance and, when near, by their full shingle sets.
 No step emits the pairs of a group:
 
-1. every class is tried against the smallest class of its keys: one link each; copies and near copies of a
-   text, however many, fall into one component here;
+1. every class is tried against two of its keys' smallest classes, the smallest and the nearest: copies and near
+   copies of a text, however many, mostly fall into one component here;
 2. keys that still hold several components are gone through in tiles: the members outside the key's largest
-   component against all members, in blocks.  A first pass tries each class with its nearest foreign member,
-   a second one all that are left.
+   component against all members, in blocks.  Their lowest shingle hashes decide pairs of up to LOWEST shingles in
+   the task, where links inside a tile are thinned to a spanning forest; what is left is verified like the rest.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from .text import chunks, mix
 
 _U = np.uint64
 BLOCK = 256
+#: Shingle hashes kept of each class for step 2, the lowest.
+LOWEST = 512
 
 
 @dataclass(frozen=True)
@@ -114,6 +116,15 @@ def _key_rows(sig: Signature):
     return rows
 
 
+def _lowest(sig: Signature):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [(v[:LOWEST] >> _U(32)).astype("<u4").tobytes() for v in distinct_sets(batch["text"], sig.shingle)]
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], pa.array(low, pa.binary())], ["id", "text", "low"])
+
+    return rows
+
+
 def _near(sig: Signature):
     """Of pairs with both signatures, those near enough to be worth an exact look."""
 
@@ -124,7 +135,7 @@ def _near(sig: Signature):
                 far = (w1 != w2).sum(1) + (n1 != n2).sum(1)
                 a, b = batch["n"].to_numpy(), batch["n2"].to_numpy()
                 ok = (far <= sig.far) & (100 * np.minimum(a, b) >= sig.percent * np.maximum(a, b))
-                yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok)), pa.array(far[ok], pa.int32())], ["a", "b", "far"])
 
     return rows
 
@@ -150,22 +161,41 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         yield rest
 
 
-def _tiles(sig: Signature, nearest: bool):
-    """Left members against right ones of other components.  nearest: each left member with its nearest only."""
+def _agree(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> int:
+    """From the lowest hashes of two sets of n and m: 1 linked, 0 not, -1 open."""
+    both = len(np.intersect1d(x, y, assume_unique=False))
+    if n <= LOWEST and m <= LOWEST:
+        gap = 100 * both - percent * (n + m - both)
+        # 32-bit hashes may collide: a pair this close to the border is left to the full sets
+        return -1 if abs(gap) <= 400 else int(gap > 0)
+    # the lowest hashes of the union are a sample of it
+    union = np.union1d(x, y)[:LOWEST]
+    share = np.isin(union, x).astype(int) + np.isin(union, y) == 2
+    p = percent / 100
+    return -1 if share.mean() >= p - 4 * (p * (1 - p) / len(union)) ** 0.5 else 0
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a, out_b, out_d, size = [], [], [], 0
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.int32())])
 
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x or [np.zeros(0, np.int64)])).cast(t.type) for x, t in zip((out_a, out_b, out_d), schema)], schema=schema)
+def _tiles(sig: Signature):
+    """Left members against right ones of other components: pairs worth verifying, of which those sure to link are
+    thinned to a spanning forest of the tile."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"]):
             left = group["is_left"].to_numpy()
             if left.all() or not left.any():
                 continue
             w, s = sig.split(group["sig"].combine_chunks())
+            low = [np.frombuffer(x, "<u4") for x in group["low"].to_pylist()]
             ids, comp, n = (group[c].to_numpy() for c in ("id", "comp", "n"))
+            keys, here = sig.keys(w).view(np.int64), group["key"][0].as_py()
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.setdefault(c, c) != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            out_a, out_b = [], []
             at, to = np.flatnonzero(left), np.flatnonzero(~left)
             for x in at:
                 ok = to[(comp[to] != comp[x]) & (100 * np.minimum(n[to], n[x]) >= sig.percent * np.maximum(n[to], n[x]))]
@@ -173,18 +203,21 @@ def _tiles(sig: Signature, nearest: bool):
                     continue
                 far = (w[ok] != w[x]).sum(1) + (s[ok] != s[x]).sum(1)
                 ok, far = ok[far <= sig.far], far[far <= sig.far]
-                if len(ok) and nearest:
-                    best = np.lexsort((ids[ok], far))[:1]
-                    ok, far = ok[best], far[best]
-                if len(ok):
-                    out_a.append(np.full(len(ok), ids[x]))
-                    out_b.append(ids[ok])
-                    out_d.append(far)
-                    size += len(ok)
-            if size > 50_000:
-                yield made()
-                out_a, out_b, out_d, size = [], [], [], 0
-        yield made()
+                # a pair with several common keys is made for the first of them only
+                common = keys[ok] == keys[x]
+                first = keys[x][common.argmax(axis=1)] == here
+                for y in ok[first][np.argsort(far[first], kind="stable")].tolist():
+                    a, b = root(int(comp[x])), root(int(comp[y]))
+                    if a == b:
+                        continue
+                    sure = _agree(low[x], low[y], int(n[x]), int(n[y]), sig.percent)
+                    if sure == 1:
+                        parent[max(a, b)] = min(a, b)
+                    if sure:
+                        out_a.append(int(ids[x]))
+                        out_b.append(int(ids[y]))
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     return rows
 
@@ -202,7 +235,7 @@ def _same(sig: Signature):
     return rows
 
 
-def linked(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sig: Signature) -> DataFrame | None:
+def linked(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sig: Signature) -> DataFrame:
     """classes: (id, n, sig), kept.  texts_of: (id) -> (id, text).  Returns (id, comp) of classes with links, kept.
 
     Nulls: n and sig are set for every row.  An empty table gives no rows.
@@ -212,43 +245,35 @@ def linked(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sig:
     shared = keep(keys.join(several, "key"), "keys")
     some = shared.select("id").distinct()
     sigs = keep(classes.join(some, "id", "left_semi").select("id", "n", "sig"), "sigs")
-    texts = keep(texts_of(some).select("id", "text"), "texts")
+    texts = keep(texts_of(some).select("id", "text").mapInArrow(_lowest(sig), "id long, text string, low binary"), "texts")
     other = sigs.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        both = pairs.join(texts.withColumnRenamed("id", "a"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text2")), "b")
-        return keep(both.select("a", "b", "text", "text2").mapInArrow(_same(sig), "a long, b long"), name)
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("id").alias("a"), "text"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text2")), "b")
+        return keep(both.select("a", "b", "text", "text2").mapInArrow(_same(sig), "a long, b long"), "links")
 
     first = shared.filter("id > leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    first = first.join(sigs.withColumnRenamed("id", "a"), "a").join(other, "b").mapInArrow(_near(sig), "a long, b long")
-    edges = verified(first.groupBy("a").agg(F.min("b").alias("b")), "links")
+    first = first.join(sigs.withColumnRenamed("id", "a"), "a").join(other, "b").mapInArrow(_near(sig), "a long, b long, far int")
+    first = first.groupBy("a").agg(F.min("b").alias("b"), F.min_by("b", F.col("far") * F.lit(2.0**40) + F.pmod(F.xxhash64("a", "b"), F.lit(2**40))).alias("c"))
+    edges = verified(first.select("a", F.explode(F.array_distinct(F.array("b", "c"))).alias("b")))
     comp = keep(components(edges), "comp")
 
-    for nearest in (True, False):
-        size = comp.groupBy("comp").agg(F.count("*").alias("held"))
-        label = comp.join(size, "comp")
-        rows = shared.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"))
-        info = rows.groupBy("key").agg(F.max(F.struct("held", "comp")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).filter("low < high")
-        rows = rows.join(info.select("key", F.col("most.comp").alias("main"), "members"), "key")
-        stray = rows.filter("comp != main").groupBy("key").agg(F.count("*").alias("strays"))
-        rows = rows.join(stray, "key").withColumns({"right": F.ceil(F.col("members") / BLOCK), "left": F.ceil(F.col("strays") / BLOCK), "at": F.xxhash64("id")})
-        as_right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("left") - 1), lambda i: F.struct(i.alias("i"), F.pmod("at", "right").alias("j"), F.lit(False).alias("is_left")))
-        as_left = F.transform(F.sequence(F.lit(0).cast("long"), F.col("right") - 1), lambda j: F.struct(F.pmod("at", "left").alias("i"), j.alias("j"), F.lit(True).alias("is_left")))
-        none = F.array().cast(T_TILES)
-        tiled = rows.select("key", "id", "comp", F.explode(F.concat(as_right, F.when(F.col("comp") != F.col("main"), as_left).otherwise(none))).alias("t"))
-        tiled = tiled.join(sigs, "id").select("key", "t.i", "t.j", "t.is_left", "id", "comp", "n", "sig")
-        pairs = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(sig, nearest), "a long, b long, far int")
-        if nearest:
-            pairs = pairs.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        else:
-            pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = verified(pairs, "links")
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            # one edge for each class and its component so far, and the new links between them
-            known = comp.select(F.col("id").alias("a"), F.col("comp").alias("b"))
-            comp = keep(components(known.unionByName(more)), "comp")
-    return comp
-
-
-T_TILES = "array<struct<i:bigint,j:bigint,is_left:boolean>>"
+    size = comp.groupBy("comp").agg(F.count("*").alias("held"))
+    label = comp.join(size, "comp")
+    rows = shared.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"))
+    info = rows.groupBy("key").agg(F.max(F.struct("held", "comp")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).filter("low < high")
+    rows = keep(rows.join(info.select("key", F.col("most.comp").alias("main"), "members"), "key"), "mixed")
+    stray = rows.filter("comp != main").groupBy("key").agg(F.count("*").alias("strays"))
+    rows = rows.join(stray, "key").withColumns({"right": F.ceil(F.col("members") / BLOCK), "left": F.ceil(F.col("strays") / BLOCK), "at": F.xxhash64("id")})
+    as_right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("left") - 1), lambda i: F.struct(i.alias("i"), F.pmod("at", "right").alias("j"), F.lit(False).alias("is_left")))
+    as_left = F.transform(F.sequence(F.lit(0).cast("long"), F.col("right") - 1), lambda j: F.struct(F.pmod("at", "left").alias("i"), j.alias("j"), F.lit(True).alias("is_left")))
+    none = F.array().cast("array<struct<i:bigint,j:bigint,is_left:boolean>>")
+    tiled = rows.select("key", "id", "comp", F.explode(F.concat(as_right, F.when(F.col("comp") != F.col("main"), as_left).otherwise(none))).alias("t"))
+    tiled = tiled.join(sigs, "id").join(texts.select("id", "low"), "id").select("key", "t.i", "t.j", "t.is_left", "id", "comp", "n", "sig", "low")
+    pairs = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(sig), "a long, b long")
+    more = verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if more.isEmpty():
+        return comp
+    # one edge for each class and its component so far, and the new links between them
+    known = comp.select(F.col("id").alias("a"), F.col("comp").alias("b"))
+    return keep(components(known.unionByName(more)), "comp")
