@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import keep
+from .store import drop, keep
 from .text import chunks, mix
 
 _U = np.uint64
@@ -240,7 +240,7 @@ def linked(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sig:
 
     Nulls: n and sig are set for every row.  An empty table gives no rows.
     """
-    keys = classes.select("id", "sig").mapInArrow(_key_rows(sig), "key long, id long").distinct()
+    keys = classes.select("id", "sig").mapInArrow(_key_rows(sig), "key long, id long")
     several = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("leader")).filter("members > 1")
     shared = keep(keys.join(several, "key"), "keys")
     some = shared.select("id").distinct()
@@ -262,7 +262,7 @@ def linked(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sig:
     label = comp.join(size, "comp")
     rows = shared.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"))
     info = rows.groupBy("key").agg(F.max(F.struct("held", "comp")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).filter("low < high")
-    rows = keep(rows.join(info.select("key", F.col("most.comp").alias("main"), "members"), "key"), "mixed")
+    rows = rows_kept = keep(rows.join(info.select("key", F.col("most.comp").alias("main"), "members"), "key"), "mixed")
     stray = rows.filter("comp != main").groupBy("key").agg(F.count("*").alias("strays"))
     rows = rows.join(stray, "key").withColumns({"right": F.ceil(F.col("members") / BLOCK), "left": F.ceil(F.col("strays") / BLOCK), "at": F.xxhash64("id")})
     as_right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("left") - 1), lambda i: F.struct(i.alias("i"), F.pmod("at", "right").alias("j"), F.lit(False).alias("is_left")))
@@ -272,6 +272,8 @@ def linked(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sig:
     tiled = tiled.join(sigs, "id").join(texts.select("id", "low"), "id").select("key", "t.i", "t.j", "t.is_left", "id", "comp", "n", "sig", "low")
     pairs = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(sig), "a long, b long")
     more = verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    for used in (shared, sigs, texts, rows_kept):
+        drop(used)
     if more.isEmpty():
         return comp
     # one edge for each class and its component so far, and the new links between them

@@ -146,7 +146,7 @@ def _pieces(known: bool):
             for part in cut(batch):
                 held.append(part)
                 size += len(part[0])
-                if size > 1_000_000:
+                if size > 250_000:
                     yield made()
                     held, size = [], 0
         if held:
