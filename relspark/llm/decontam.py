@@ -52,7 +52,7 @@ class Index:
     whole: list[np.ndarray]  # shingle hashes
     question: list[np.ndarray]
     answer: list[np.ndarray]
-    width: list[int]  # words to a shingle, by item
+    width: list[tuple[int, int, int]]  # words to a shingle, by item: of the whole, of the question, of the answer
     step: int
 
     def retrieve(self, terms: list[int], blocks: set[int]) -> list[tuple[int, float]]:
@@ -147,14 +147,14 @@ def build(items: list[tuple[object, str]], overlap: float = 0.8, shingle: int =
     least = np.array([thresholds[j * BLOCK : (j + 1) * BLOCK].min() for j in range(n_blocks)])
     whole = [np.unique(_shingles(h, shingle)) for h in tokens]
     parts = [(np.unique(_shingles(h[:c], shingle)), np.unique(_shingles(h[c:], shingle))) for h, c in zip(tokens, cuts)]
-    return Index(ids, vocabulary, postings, block_max, thresholds, least, whole, [p[0] for p in parts], [p[1] for p in parts], [min(shingle, len(h)) for h in tokens], max(64, max(map(len, tokens))))
+    return Index(ids, vocabulary, postings, block_max, thresholds, least, whole, [p[0] for p in parts], [p[1] for p in parts], [(min(shingle, len(h)), min(shingle, c), min(shingle, len(h) - c)) for h, c in zip(tokens, cuts)], max(64, max(map(len, tokens))))
 
 
 def _share(part: np.ndarray, seen: np.ndarray) -> float:
     return float(np.isin(part, seen).mean()) if len(part) else 1.0
 
 
-def search(index: Index, words: Words, overlap: float, shingle: int, slots: np.ndarray) -> Iterator[tuple[int, int, float, float, float, float]]:
+def search(index: Index, words: Words, overlap: float, slots: np.ndarray) -> Iterator[tuple[int, int, float, float, float, float]]:
     """(text, item, score, overlap, question overlap, answer overlap) for every passage that holds an item."""
     slot = slots[(words.hashes & _U(len(slots) - 1)).astype(np.int64)]
     term = np.where(index.vocabulary[np.minimum(slot, len(index.vocabulary) - 1)] == words.hashes, slot, -1)
@@ -189,11 +189,12 @@ def search(index: Index, words: Words, overlap: float, shingle: int, slots: np.n
         doc = int(np.searchsorted(head, at, side="right")) - 1
         lo = int(words.first[doc]) + (at - int(head[doc])) * index.step
         hashes = words.hashes[lo : min(lo + 2 * index.step, int(words.first[doc + 1]))]
-        seen = {k: _shingles(hashes, k) for k in {shingle, *(index.width[i] for i, _ in found)}}
+        seen = {k: _shingles(hashes, k) for k in {k for i, _ in found for k in index.width[i]}}
         for i, score in found:
-            share = _share(index.whole[i], seen[index.width[i]])
+            whole, question, answer = (seen[k] for k in index.width[i])
+            share = _share(index.whole[i], whole)
             if share >= overlap:
-                yield doc, i, score, share, _share(index.question[i], seen[shingle]), _share(index.answer[i], seen[shingle])
+                yield doc, i, score, share, _share(index.question[i], question), _share(index.answer[i], answer)
 
 
 def _slots(vocabulary: np.ndarray) -> np.ndarray:
@@ -225,12 +226,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, sh
     for shard in range(shards):
         part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else benchmark
         index = build([(r[0], r[1]) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()], overlap, shingle)
-        found = spark.createDataFrame([], schema) if index is None else docs.select("doc_id", "text").mapInArrow(_search_rows(spark.sparkContext.broadcast(index), overlap, shingle, benchmark.schema["item_id"].dataType), schema)
+        found = spark.createDataFrame([], schema) if index is None else docs.select("doc_id", "text").mapInArrow(_search_rows(spark.sparkContext.broadcast(index), overlap, benchmark.schema["item_id"].dataType), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search_rows(shared, overlap: float, shingle: int, item_type: T.DataType):
+def _search_rows(shared, overlap: float, item_type: T.DataType):
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(item_type)
@@ -241,7 +242,7 @@ def _search_rows(shared, overlap: float, shingle: int, item_type: T.DataType):
         for batch in batches:
             best: dict[tuple[int, int], list] = {}
             for lo, _, words in chunks(batch["text"], punctuation=True):
-                for doc, item, *figures in search(index, words, overlap, shingle, slots):
+                for doc, item, *figures in search(index, words, overlap, slots):
                     have = best.setdefault((lo + doc, item), [*figures, 0])
                     have[4] += 1
                     if figures[1] > have[1]:
