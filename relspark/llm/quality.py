@@ -1,17 +1,23 @@
 """Quality classifier: a sparse ensemble of rules over text statistics (operator 3).
 
-Statistics are DataFrame expressions.  On a bounded sample of labelled rows small boosted trees are grown; every path
+Statistics are counted over the bytes of whole Arrow columns.  On a bounded sample of labelled rows small boosted trees are grown; every path
 from a root is a rule, a conjunction of thresholds; a lasso logistic regression keeps few of the rules; and these
 become one column expression.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .store import small_batches
+from .text import Words, chunks, mix
 
 #: The most labelled rows that are fitted, those of least hash; scoring has no bound.
 MAX_LABELLED = 20_000
@@ -19,33 +25,73 @@ MAX_LABELLED = 20_000
 SIGNS = {"bar": "|", "bang": "!", "star": "*", "hash": "#", "dollar": "$", "percent": "%", "amp": "&", "at": "@", "lt": "<", "brace": "{", "slash": "/", "equals": "=", "underscore": "_"}
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """Of a text, null as empty; all are numbers, and 0 for an empty text where they are shares."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.length(text).cast("double")
-    per = lambda x, of: F.when(of > 0, x / of).otherwise(F.lit(0.0))
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    n_words = F.size(words).cast("double")
-    gone = lambda pattern: (F.length(F.regexp_replace(text, pattern, ""))).cast("double")
+NAMES = ("chars", "words", "letters", "capitals", "digits", "new_words", "new_lines", "line_words", "word_chars", "stops", "commas", *SIGNS)
+
+
+def measure(words: Words) -> dict[str, np.ndarray]:
+    """The statistics of some texts, by name; shares are 0 for an empty text.
+
+    Bytes are looked at, not code points: beyond ASCII, what begins with byte C3 or above counts as a letter, and
+    the capitals are those of Latin-1.
+    """
+    data, offsets = words.data, words.offsets
+
+    def count(mask: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(mask)])
+        return (sums[offsets[1:]] - sums[offsets[:-1]]).astype(np.float64)
+
+    def per(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.divide(x, of, out=np.zeros(len(x)), where=of > 0)
+
+    chars, n_words = count((data & 0xC0) != 0x80), np.diff(words.first).astype(np.float64)
+    upper = (data >= 65) & (data <= 90)
+    wide = np.zeros(len(data), bool)
+    wide[:-1] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    # lines that hold words: where each begins, and a hash of its words in order
+    line = np.searchsorted(np.flatnonzero(data == 0x0A), words.starts)
+    first = np.zeros(len(words.starts), bool)
+    first[:1] = True
+    first[1:] = line[1:] != line[:-1]
+    first[words.first[:-1][n_words > 0]] = True
+    begin = np.flatnonzero(first)
+    place = (np.arange(len(first)) - np.repeat(begin, np.diff(np.append(begin, len(first))))).astype(np.uint64)
+    lines = np.add.reduceat(mix(words.hashes + place * np.uint64(0x9E3779B97F4A7C15)), begin) if len(begin) else np.zeros(0, np.uint64)
+    line_of = np.searchsorted(begin, words.first)
+    n_lines = np.diff(line_of).astype(np.float64)
+    new_words = np.array([len(np.unique(words.hashes[i:j])) for i, j in zip(words.first[:-1], words.first[1:])], np.float64)
+    new_lines = np.array([len(np.unique(lines[i:j])) for i, j in zip(line_of[:-1], line_of[1:])], np.float64)
     out = {
-        "chars": n,
+        "chars": chars,
         "words": n_words,
-        "letters": per(n - gone(r"\p{L}+"), n),
-        "capitals": per(n - gone(r"\p{Lu}+"), n),
-        "digits": per(n - gone("[0-9]+"), n),
-        "new_words": per(F.size(F.array_distinct(words)), n_words),
-        "new_lines": per(F.size(F.array_distinct(lines)), F.size(lines).cast("double")),
-        "line_words": per(n_words, F.size(lines).cast("double")),
-        "word_chars": per(n, n_words),
-        "stops": per((n - F.length(F.replace(text, F.lit("."), F.lit("")))), n_words),
-        "commas": per((n - F.length(F.replace(text, F.lit(","), F.lit("")))), n_words),
+        "letters": per(count(upper | ((data >= 97) & (data <= 122)) | (data >= 0xC3)), chars),
+        "capitals": per(count(upper | wide), chars),
+        "digits": per(count((data >= 48) & (data <= 57)), chars),
+        "new_words": per(new_words, n_words),
+        "new_lines": per(new_lines, n_lines),
+        "line_words": per(n_words, n_lines),
+        "word_chars": per(chars, n_words),
+        "stops": per(count(data == ord(".")), n_words),
+        "commas": per(count(data == ord(",")), n_words),
     }
     for name, sign in SIGNS.items():
-        out[name] = per(n - F.length(F.replace(text, F.lit(sign), F.lit(""))), n_words)
+        out[name] = per(count(data == ord(sign)), n_words)
     return out
 
 
+def with_statistics(docs: DataFrame) -> DataFrame:
+    """docs with __s, a struct of the statistics of text; a null text counts as empty."""
+    small_batches(docs.sparkSession)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [measure(words) for _, _, words in chunks(batch["text"])]
+            columns = [pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0)) for k in NAMES]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.StructArray.from_arrays(columns, list(NAMES))], [*batch.schema.names, "__s"])
+
+    struct = T.StructType([T.StructField(k, T.DoubleType()) for k in NAMES])
+    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField("__s", struct)]))
+
+
 Rule = tuple[tuple[str, bool, float], ...]  # statistic, whether above, threshold
 
 
@@ -168,9 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, **how) -
     # limit bounds what is broadcast: 16 bytes for each of `most` rows
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
     seen = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
-    columns = statistics(F.col("text"))
-    names = list(columns)
-    rows = seen.select("doc_id", "quality", *(c.alias(k) for k, c in columns.items())).toPandas().sort_values(["doc_id", "quality", *names], ignore_index=True)
+    names = list(NAMES)
+    rows = with_statistics(seen).select("doc_id", "quality", "__s.*").toPandas().sort_values(["doc_id", "quality", *names], ignore_index=True)
     return fit(rows[names].to_numpy(np.float64), rows["quality"].to_numpy(np.float64), names, **how)
 
 
@@ -180,9 +225,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     A null text counts as empty and is scored like any.  Columns of these two names are replaced; repeated rows stay.
     """
     own = [c for c in docs.columns if c not in ("score", "predicted")]
-    columns = statistics(F.col("text"))
-    used = sorted({name for rule, _ in model.rules for name, _, _ in rule})
-    # a struct, so that each statistic is worked out once, whatever the number of rules over it
-    out = docs.select(*own, (F.struct(*(columns[k].alias(k) for k in used)) if used else F.lit(None).cast("struct<none:int>")).alias("__s"))
-    out = out.withColumn("score", model.score({k: F.col(f"__s.{k}") for k in used})).drop("__s")
+    out = with_statistics(docs.select(*own)).withColumn("score", model.score({k: F.col(f"__s.{k}") for k in NAMES})).drop("__s")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
