@@ -23,7 +23,8 @@ def html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
-    return lm_score.score(docs, lm_score.fit(docs.join(good, "doc_id", "left_semi"), docs))
+    # labels grow with the documents: never broadcast
+    return lm_score.score(docs, lm_score.fit(docs.join(good.hint("merge"), "doc_id", "left_semi"), docs))
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
