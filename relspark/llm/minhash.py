@@ -55,7 +55,7 @@ def near_duplicates(docs: DataFrame, sig: Signature = FOUR_WORDS) -> DataFrame:
     classes = full.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sig").join(rep, ["id", "n"]).dropDuplicates(["id"])
     classes = keep(classes, "classes")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    comp = linked(classes, lambda ids: texts.join(ids, "id", "left_semi"), sig)
+    comp = linked(classes, lambda ids, last, schema: texts.join(ids, "id", "left_semi").mapInArrow(last, schema), sig)
     out = member.join(comp, "id", "left").select("doc_id", "n_shingles", F.coalesce("comp", "id").alias("component_id"))
     bare = base.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = out.unionByName(bare)

@@ -235,8 +235,11 @@ def _same(sig: Signature):
     return rows
 
 
-def linked(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sig: Signature) -> DataFrame:
-    """classes: (id, n, sig), kept.  texts_of: (id) -> (id, text).  Returns (id, comp) of classes with links, kept.
+def linked(classes: DataFrame, texts_of: Callable[[DataFrame, Callable, str], DataFrame], sig: Signature) -> DataFrame:
+    """classes: (id, n, sig), kept.  Returns (id, comp) of classes with links, kept.
+
+    texts_of: (ids, last step, schema) -> the last step over Arrow batches of (id, text), so that a caller with a step
+    of its own in Python runs both in one worker.
 
     Nulls: n and sig are set for every row.  An empty table gives no rows.
     """
@@ -245,7 +248,7 @@ def linked(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], sig:
     shared = keep(keys.join(several, "key"), "keys")
     some = shared.select("id").distinct()
     sigs = keep(classes.join(some, "id", "left_semi").select("id", "n", "sig"), "sigs")
-    texts = keep(texts_of(some).select("id", "text").mapInArrow(_lowest(sig), "id long, text string, low binary"), "texts")
+    texts = keep(texts_of(some, _lowest(sig), "id long, text string, low binary"), "texts")
     other = sigs.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
 
     def verified(pairs: DataFrame) -> DataFrame:

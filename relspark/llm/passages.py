@@ -14,7 +14,7 @@ words or more.  A text's own repetitions stay.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .neardup import Signature, linked, set_hash
 from .store import keep, small_batches
-from .text import _WEIGHTS, Words, chunks, mix
+from .text import _WEIGHTS, CHUNK_BYTES, Words, chunks, mix
 
 _U = np.uint64
 #: Shorter runs are left alone: set phrases, headings, licence lines.
@@ -94,15 +94,24 @@ _PARAGRAPHS = "doc_id long, start long, end long, words long, n long, h1 long, h
 
 
 def _texts_of_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, spans) -> (id, text of the span)."""
+    """(text, spans) -> (id, text of the span), about CHUNK_BYTES at a time."""
+    ids, out, size = [], [], 0
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "text"])
+
     for batch in batches:
-        ids, out = [], []
-        for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist()):
-            raw = (text or "").encode()
-            for s in spans:
+        for i in range(batch.num_rows):
+            raw = (batch["text"][i].as_py() or "").encode()
+            for s in batch["spans"][i].as_py():
                 ids.append(s["id"])
                 out.append(raw[s["start"] : s["end"]].decode())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "text"])
+                size += s["end"] - s["start"]
+            if size > CHUNK_BYTES:
+                yield made()
+                ids, out, size = [], [], 0
+    if ids:
+        yield made()
 
 
 def _pieces(known: bool):
@@ -230,10 +239,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, sig: Signature |
     same = lines.groupBy("n", "h1", "h2").agg(F.min("uid").alias("id"), F.min("doc_id").alias("owner"), F.count("*").alias("copies"))
     classes = keep(same.join(lines.select(F.col("uid").alias("id"), "sig"), "id").select("id", "n", "h1", "h2", "owner", "copies", "sig"), "classes")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
+    def texts_of(ids: DataFrame, last: Callable, schema: str) -> DataFrame:
         want = lines.select(F.col("uid").alias("id"), "doc_id", "start", "end").join(ids, "id", "left_semi")
         want = want.groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end")).alias("spans"))
-        return docs.join(want, "doc_id").select("text", "spans").mapInArrow(_texts_of_spans, "id long, text string")
+        return docs.join(want, "doc_id").select("text", "spans").mapInArrow(lambda batches: last(_texts_of_spans(batches)), schema)
 
     comp = linked(classes, texts_of, sig)
     group = classes.join(comp, "id", "left").select("n", "h1", "h2", "owner", "copies", F.coalesce("comp", "id").alias("comp"))
