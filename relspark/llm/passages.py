@@ -29,6 +29,8 @@ from .text import _WEIGHTS, CHUNK_BYTES, Words, chunks, mix
 _U = np.uint64
 #: Shorter runs are left alone: set phrases, headings, licence lines.
 MIN_WORDS = 20
+#: Words on either side of a cut that decide it.
+CALM = 3
 
 
 def bands(similarity: float = 0.8, rows: int = 3, recall: float = 0.999) -> int:
@@ -114,6 +116,22 @@ def _texts_of_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield made()
 
 
+def _cuts(words: Words, line: np.ndarray) -> np.ndarray:
+    """Whether to cut before each word: where the hash of it and the word before is below those of CALM words to
+    either side in its line.  Pieces have more than CALM words, and long stretches without a cut are rare."""
+    value = mix(np.roll(words.hashes, 1) * _U(3) + words.hashes * _U(5))
+    value[line] = np.iinfo(np.uint64).max
+    number = np.cumsum(line)
+    out = ~line
+    for d in range(1, CALM + 1):
+        same = number[d:] == number[:-d]
+        out[d:] &= same & (value[d:] < value[:-d])
+        out[:d] = False
+        out[:-d] &= same & (value[:-d] < value[d:])
+        out[-d:] = False
+    return out
+
+
 def _pieces(known: bool):
     """Pieces of lines with the hash of their words.  Of one partition, a hash's smallest doc_id goes on to the
     shuffle (known=False), while its other documents are known to repeat it (known=True)."""
@@ -124,12 +142,7 @@ def _pieces(known: bool):
             if not len(words.hashes):
                 continue
             line = _line_starts(words)
-            pair = mix(np.roll(words.hashes, 1) * _U(3) + words.hashes * _U(5)) % _U(3) == 0
-            pair[line] = False
-            calm = pair.copy()
-            calm[1:] &= ~pair[:-1]
-            calm[2:] &= ~pair[:-2]
-            begin, end = _spans(words, line | calm)
+            begin, end = _spans(words, line | _cuts(words, line))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hashes) * _roll(len(words.hashes)), dtype=np.uint64)])
             value = mix((sums[end] - sums[begin]) * _unroll(len(words.hashes))[begin] + (end - begin).astype(np.uint64))
             doc = np.searchsorted(words.first, begin, side="right") - 1
