@@ -70,7 +70,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of long texts small, as a worker holds one at a time; let local workers import this package."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "16777216")):
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "4194304")):
         spark.conf.set(key, value)
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment

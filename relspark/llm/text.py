@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _U = np.uint64
 _RNG = np.random.default_rng(20240229)
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
