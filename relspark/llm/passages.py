@@ -5,7 +5,8 @@ Two kinds of unit are looked at:
 * paragraphs (lines) of at least `min_words` words go through MinHash banding; colliding paragraphs are verified by
   the exact Jaccard similarity of their five-word shingle sets and clustered by connected components;
 * passages inside paragraphs that differ: lines are cut at places chosen by the words around them, so the same
-  passage is cut alike wherever it stands; equal pieces across documents belong together.
+  passage is cut alike wherever it stands; equal pieces across documents belong together.  A stretch that repeats one
+  to three words is cut into equal pieces, so it repeats any such stretch of these words, whatever their lengths.
 
 Of each cluster the units of the smallest doc_id stay; elsewhere they go, when they make up a run of `min_words`
 words or more.  A text's own repetitions stay.
@@ -31,6 +32,8 @@ _U = np.uint64
 MIN_WORDS = 20
 #: Words on either side of a cut that decide it.
 CALM = 3
+#: Recurrences in a piece where words recur every CALM words or sooner.
+PERIODS = 8
 
 
 def bands(similarity: float = 0.8, rows: int = 3, recall: float = 0.999) -> int:
@@ -118,18 +121,27 @@ def _texts_of_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _cuts(words: Words, line: np.ndarray) -> np.ndarray:
     """Whether to cut before each word: where the hash of it and the word before is below those of CALM words to
-    either side in its line.  Pieces have more than CALM words, and long stretches without a cut are rare."""
+    either side in its line.  Pieces have more than CALM words, and long stretches without a cut are rare.
+
+    Words that recur every CALM words or sooner have equal minima near one another, none of them below the others:
+    there every PERIODS-th is a cut, from the first on, so the pieces of such a stretch are all the same."""
     value = mix(np.roll(words.hashes, 1) * _U(3) + words.hashes * _U(5))
     value[line] = np.iinfo(np.uint64).max
     number = np.cumsum(line)
-    out = ~line
+    least, below = ~line, ~line
     for d in range(1, CALM + 1):
         same = number[d:] == number[:-d]
-        out[d:] &= same & (value[d:] < value[:-d])
-        out[:d] = False
-        out[:-d] &= same & (value[:-d] < value[d:])
-        out[-d:] = False
-    return out
+        for out, less in ((least, np.less_equal), (below, np.less)):
+            out[d:] &= same & less(value[d:], value[:-d])
+            out[:d] = False
+            out[:-d] &= same & less(value[:-d], value[d:])
+            out[-d:] = False
+    tied = np.flatnonzero(least & ~below)
+    if len(tied):
+        rank = np.arange(len(tied))
+        head = np.append(True, (np.diff(tied) > CALM) | (np.diff(value[tied].view(np.int64)) != 0))
+        below[tied[(rank - np.maximum.accumulate(np.where(head, rank, 0))) % PERIODS == 0]] = True
+    return below
 
 
 def _pieces(known: bool):
@@ -147,6 +159,10 @@ def _pieces(known: bool):
             value = mix((sums[end] - sums[begin]) * _unroll(len(words.hashes))[begin] + (end - begin).astype(np.uint64))
             doc = np.searchsorted(words.first, begin, side="right") - 1
             base = words.offsets[doc]
+            # equal pieces in a row are one row
+            head = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
+            last = np.append(head[1:], len(value)) - 1
+            value, doc, base, begin, end = value[head], doc[head], base[head], begin[head], end[last]
             ok = end - begin >= 3
             yield tuple(x[ok] for x in (value.view(np.int64), ids[lo + doc].astype(np.int64), words.starts[begin] - base, words.ends[end - 1] - base, end - begin))
 

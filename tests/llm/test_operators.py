@@ -117,6 +117,18 @@ def test_passages(spark):
     assert passages.bands(0.8, 3, 0.999) * np.log(1 - 0.8**3) <= np.log(0.001)
 
 
+def test_repeats_of_a_short_period(spark):
+    """A stretch that repeats one to three words goes from the later text, whatever its length and what is around it."""
+    for period in ("ta", "ta ra", "ta ra wo"):
+        stretch = lambda n: " ".join([period] * n)
+        own = lambda c: " ".join(f"{c}{i}" for i in range(30))
+        d = spark.createDataFrame([(1, f"{own('a')} {stretch(200)} {own('b')}"), (2, f"{own('c')} {stretch(90)} {own('d')}")], "doc_id long, text string")
+        got = {r.doc_id: r for r in passages.cut_repeated(d).collect()}
+        assert got[1].removed_runs == 0
+        assert got[2].removed_words >= 90 * len(period.split()) - 50
+        assert all(w in got[2].text.split() for w in f"{own('c')} {own('d')}".split())
+
+
 def test_no_long_repeats_are_left(spark, sf):
     def repeats(rows):
         owner, n = {}, 0
