@@ -2,36 +2,44 @@
 
 A target and a background model, matched in vocabulary, order, smoothing and mass, are counted over all documents;
 a document's score is the mean over its tokens of the target loss less the background loss, so low scores are
-target-like.  Words and pairs of words are hashed into one vocabulary of 2**bits buckets for each order, which bounds
-what the driver and workers hold at any corpus size; collisions fall on both models alike.
+target-like.  The vocabulary and the counts of pairs are tables keyed by 64-bit hashes, so they grow with the corpus;
+pairs of documents are joined to them by shuffle, one slice of the pairs after another.  Only if `bits` is given to
+fit() are words and pairs hashed into 2**bits buckets for each order instead, which the driver collects.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import keep, small_batches
 from .text import Words, chunks, mix
 
 _U = np.uint64
 BITS = 20
+#: Pairs are counted and joined in so many slices by hash, which bounds the disk that shuffles take at once.
+SLICES = 8
+#: Words or pairs that a worker combines at a time.
+HELD = 1_000_000
 
 
-def _grams(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of each word, of the word before it (a text's first: of its start), and of the pair."""
+def _hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each word, of the word before it (a text's first: of its start), and of the pair."""
     start = _U(0x243F6A8885A308D3)
     before = np.concatenate([np.full(1, start), words.hashes[:-1]]) if len(words.hashes) else words.hashes
     first = words.first[:-1][np.diff(words.first) > 0]
     before[first] = start
-    mask = _U((1 << bits) - 1)
-    own = (words.hashes & mask).astype(np.int64)
-    context = (before & mask).astype(np.int64)
-    pair = (mix(before * _U(3) + words.hashes) & mask).astype(np.int64)
+    return words.hashes, before, mix(before * _U(3) + words.hashes)
+
+
+def _grams(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the hashes."""
+    own, context, pair = ((x & _U((1 << bits) - 1)).astype(np.int64) for x in _hashes(words))
     return own, context, pair
 
 
@@ -56,27 +64,205 @@ def count(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def _collect(counts: DataFrame, bits: int) -> np.ndarray:
-    """(3, 2**bits) float32; its size does not depend on the corpus."""
-    out = np.zeros(3 << bits, np.float32)
+    """(3, 2**bits)."""
+    out = np.zeros(3 << bits)
     found = counts.toArrow()
     out[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(3, -1)
 
 
-def fit(target: DataFrame, background: DataFrame, bits: int = BITS) -> np.ndarray:
-    """(2, 3, 2**bits): counts of words, pairs and contexts of the target and of the background, the latter scaled
-    to the target's number of tokens so that smoothing weighs alike in both."""
+@dataclass
+class Model:
+    target: DataFrame  # texts
+    background: DataFrame
+    words: DataFrame  # (hash, wt, wb, vt, vb): as a word and as a context, in the target and in the background
+    tokens: tuple[int, int]  # of the target, of the background
+    vocabulary: int
+
+
+def _combined(own: list[np.ndarray], more: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Distinct values, the other columns at each one's first place, and how often it occurs."""
+    value, at, n = np.unique(np.concatenate(own), return_index=True, return_counts=True)
+    return value, [np.concatenate(x)[at] for x in more], n
+
+
+def _batches(arrays: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(arrays[0]), 65536):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 65536].view(np.int64)) for x in arrays], names)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, w, v): how often each hash is a word and a context, combined in the worker."""
+    held: list[list[np.ndarray]] = [[], []]
+    size = 0
+
+    def made() -> Iterator[pa.RecordBatch]:
+        both, names = [], ["hash", "w", "v"]
+        for k, x in enumerate(held):
+            value, _, n = _combined(x, [])
+            zero = np.zeros_like(n)
+            both.append((value, zero, n) if k else (value, n, zero))
+        yield from _batches([np.concatenate(x) for x in zip(*both)], names)
+
+    for batch in batches:
+        for _, _, words in chunks(batch["text"]):
+            own, context, _ = _hashes(words)
+            held[0].append(own)
+            held[1].append(context)
+            size += len(own)
+            if size > HELD:
+                yield from made()
+                held, size = [[], []], 0
+    if size:
+        yield from made()
+
+
+def _count_pairs(part: int):
+    """(v, w, n) of the pairs of the slice, combined in the worker."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], [], []]
+        size = 0
+
+        def made() -> Iterator[pa.RecordBatch]:
+            _, (v, w), n = _combined(held[0], held[1:])
+            yield from _batches([v, w, n], ["v", "w", "n"])
+
+        for batch in batches:
+            for _, _, words in chunks(batch["text"]):
+                own, context, pair = _hashes(words)
+                some = pair % _U(SLICES) == _U(part)
+                for out, x in zip(held, (pair, context, own)):
+                    out.append(x[some])
+                size += len(held[0][-1])
+                if size > HELD:
+                    yield from made()
+                    held, size = [[], [], []], 0
+        if size:
+            yield from made()
+
+    return rows
+
+
+def _text_pairs(part: int):
+    """(key, v, w, n): each text's pairs of the slice."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch["key"].to_numpy()
+            for lo, _, words in chunks(batch["text"]):
+                own, context, pair = _hashes(words)
+                text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+                some = pair % _U(SLICES) == _U(part)
+                own, context, pair, text = (x[some] for x in (own, context, pair, text))
+                order = np.lexsort((pair, text))
+                own, context, pair, text = (x[order] for x in (own, context, pair, text))
+                head = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (text[1:] != text[:-1]))) if len(pair) else order
+                yield from _batches([keys[lo + text[head]], context[head], own[head], np.diff(np.append(head, len(pair)))], ["key", "v", "w", "n"])
+
+    return rows
+
+
+def _lengths(id_col: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.diff(words.first) for _, _, words in chunks(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch[id_col], batch["key"], pa.array(np.concatenate([*n, np.zeros(0, np.int64)]).astype(np.int64))], [id_col, "key", "n_tokens"])
+
+    return rows
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """keep(), after which the shuffles that made the table are deleted rather than left until a collection."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return keep(df, name)
+    finally:
+        conf.set(key, before) if before is not None else conf.unset(key)
+        df.sparkSession._jvm.System.gc()
+
+
+def _fit_exact(target: DataFrame, background: DataFrame) -> Model:
+    small_batches(background.sparkSession)
+    target = _kept(target.select("text"), "target")  # read once a slice
+    both = None
+    for docs, t in ((target, True), (background, False)):
+        found = docs.select("text").mapInArrow(_count_words, "hash long, w long, v long")
+        zero = F.lit(0).cast("long")
+        found = found.select("hash", *((F.col(x) if t == (m == "t") else zero).alias(x + m) for x in "wv" for m in "tb"))
+        both = found if both is None else both.unionByName(found)
+    words = _kept(both.groupBy("hash").agg(*(F.sum(x).alias(x) for x in ("wt", "wb", "vt", "vb"))), "words")
+    t, b, v = words.agg(F.sum("wt"), F.sum("wb"), F.count_if(F.expr("wt + wb > 0"))).first()
+    return Model(target, background, words, (t or 0, b or 0), v)
+
+
+def _losses(docs: DataFrame, model: Model, part: int, prior: float, strength: float) -> DataFrame:
+    """(pair, t, b): nats of each pair of the slice that a model or a document has."""
+    zero = F.lit(0).cast("long")
+    pairs = None
+    for texts, t, b in ((model.target, "n", None), (model.background, None, "n"), *([] if docs is model.background else [(docs, None, None)])):
+        found = texts.select("text").mapInArrow(_count_pairs(part), "v long, w long, n long")
+        found = found.select("v", "w", (F.col(t) if t else zero).alias("t"), (F.col(b) if b else zero).alias("b"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = pairs.groupBy("v", "w").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    # words are far fewer than pairs, and never broadcast
+    pairs = pairs.join(model.words.select(F.col("hash").alias("w"), "wt", "wb").hint("shuffle_hash"), "w", "left")
+    pairs = pairs.join(model.words.select(F.col("hash").alias("v"), "vt", "vb").hint("shuffle_hash"), "v", "left")
+    tokens, scale = model.tokens[0], model.tokens[0] / model.tokens[1] if model.tokens[1] else 1.0
+
+    def loss(m: str, by: float, mass: float):
+        pair, word, context = (F.coalesce(F.col(x), zero) * F.lit(float(by)) for x in (m, "w" + m, "v" + m))
+        one = (word + F.lit(prior)) / F.lit(mass + prior * model.vocabulary)
+        return -F.log((pair + F.lit(strength) * one) / (context + F.lit(strength)))
+
+    return pairs.select(F.xxhash64("v", "w").alias("pair"), loss("t", 1.0, tokens).alias("t"), loss("b", scale, model.tokens[1] * scale).alias("b"))
+
+
+def _score_exact(docs: DataFrame, model: Model, id_col: str, prior: float, strength: float) -> DataFrame:
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    # equal texts have equal scores, so a text's hash stands for its documents
+    texts = docs.select(F.col(id_col), "text", F.xxhash64("text").alias("key"))
+    sums = None
+    if model.vocabulary:
+        for part in range(SLICES):
+            found = texts.select("key", "text").mapInArrow(_text_pairs(part), "key long, v long, w long, n long")
+            # pairs meet by eight bytes instead of sixteen
+            found = found.select("key", F.xxhash64("v", "w").alias("pair"), "n")
+            found = found.join(_losses(docs, model, part, prior, strength).hint("merge"), "pair")
+            found = found.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("t")).alias("t"), F.sum(F.col("n") * F.col("b")).alias("b"))
+            found = _kept(found, "losses")
+            sums = found if sums is None else sums.unionByName(found)
+    else:
+        sums = docs.sparkSession.createDataFrame([], "key long, n long, t double, b double")
+    sums = sums.groupBy("key").agg(*((F.sum(x) / F.sum("n")).alias(y) for x, y in (("t", "target_loss"), ("b", "background_loss"))))
+    out = texts.mapInArrow(_lengths(id_col), f"`{id_col}` {kind}, key long, n_tokens long")
+    # texts without words have nothing to meet: spread them
+    out = out.withColumn("key", F.when(F.col("n_tokens") == 0, F.xxhash64(id_col)).otherwise(F.col("key"))).join(sums.hint("merge"), "key", "left")
+    losses = [F.when(F.col("n_tokens") > 0, F.col(x)).alias(x) for x in ("target_loss", "background_loss")]
+    return out.select(id_col, "n_tokens", *losses).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+
+
+def fit(target: DataFrame, background: DataFrame, bits: int | None = None) -> Model | np.ndarray:
+    """The counts of words, pairs and contexts of the target and of the background, the latter scaled to the target's
+    number of tokens so that smoothing weighs alike in both.  With bits, an array (2, 3, 2**bits) of hash buckets."""
+    if bits is None:
+        return _fit_exact(target, background)
     t, b = _collect(count(target, bits), bits), _collect(count(background, bits), bits)
-    tokens = b[0].sum(dtype=np.float64)
-    return np.stack([t, b * np.float32(t[0].sum(dtype=np.float64) / tokens if tokens else 1.0)])
+    tokens = b[0].sum()
+    return np.stack([t, b * (t[0].sum() / tokens if tokens else 1.0)])
 
 
-def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", prior: float = 0.5, strength: float = 20.0) -> DataFrame:
+def score(docs: DataFrame, model: Model | np.ndarray, id_col: str = "doc_id", prior: float = 0.5, strength: float = 20.0) -> DataFrame:
     """(id_col, n_tokens, target_loss, background_loss, score): nats for each token, score their difference.
 
-    p(w|v) = (c(v,w) + strength * p(w)) / (c(v) + strength), p(w) = (c(w) + prior) / (tokens + prior * buckets).
+    p(w|v) = (c(v,w) + strength * p(w)) / (c(v) + strength), p(w) = (c(w) + prior) / (tokens + prior * words).
     A null or empty text has no tokens and null losses and score.  Repeated rows are scored each.
     """
+    if isinstance(model, Model):
+        return _score_exact(docs, model, id_col, prior, strength)
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     bits = int(np.log2(model.shape[2]))

@@ -176,6 +176,41 @@ def test_lm_scores(spark):
     assert lm_score.score(d.limit(0), lm_score.fit(d.limit(0), d.limit(0), bits=8)).count() == 0
 
 
+def test_lm_scores_count_whole_ngrams(spark, monkeypatch):
+    """Against brute force over the words themselves; in buckets far fewer than the pairs the scores would differ."""
+    monkeypatch.setattr(lm_score, "HELD", 500)
+    rows = [*((i, prose(i, 80, 50)) for i in range(20)), *((100 + i, prose(i, 80, 5000)) for i in range(20)), (5, prose(5, 80, 50)), (300, None), (301, ""), (302, "A b a B a b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    more = spark.createDataFrame([(400, "never seen w1 w2")], "doc_id long, text string")
+    counts = []
+    for texts in ([t for i, t in rows if i < 10], [t for _, t in rows]):
+        c = [Counter(), Counter(), Counter()]
+        for w in map(words, texts):
+            before = ["", *w][: len(w)]
+            for out, x in zip(c, (w, zip(before, w), before)):
+                out.update(x)
+        counts.append(c)
+    scale = counts[0][0].total() / counts[1][0].total()
+    vocabulary = len(counts[0][0] | counts[1][0])
+
+    def loss(w, m):
+        (one, two, context), by = counts[m], (1, scale)[m]
+        p = lambda v, x: (by * two[v, x] + 20 * (by * one[x] + 0.5) / (by * one.total() + 0.5 * vocabulary)) / (by * context[v] + 20)
+        return sum(-np.log(p(v, x)) for v, x in zip(["", *w], w)) / len(w)
+
+    model = lm_score.fit(d.filter("doc_id < 10"), d)
+    got = [*lm_score.score(d, model).collect(), *lm_score.score(more, model).collect()]
+    text = {**dict(rows), 400: "never seen w1 w2"}
+    assert len(got) == len(rows) + 1
+    for r in got:
+        w = words(text[r.doc_id])
+        assert r.n_tokens == len(w) and (r.score is None) == (not w)
+        if w:
+            assert (r.target_loss, r.background_loss) == pytest.approx((loss(w, 0), loss(w, 1)), abs=1e-9)
+            assert r.score == pytest.approx(r.target_loss - r.background_loss)
+    assert lm_score.score(d.limit(0), lm_score.fit(d.limit(0), d.limit(0))).count() == 0
+
+
 def test_quality(spark, sf):
     rows = [(r.doc_id, r.held_out, r.score, r.predicted) for r in queries.quality_scores(spark, sf).collect()]
     assert all(0 <= s <= 1 and p == int(s >= 0.7) for _, _, s, p in rows) and any(h for _, h, _, _ in rows)
