@@ -1,9 +1,11 @@
 """Benchmark decontamination with a BM25 index and block-max WAND (operator 7).
 
 The test items are indexed, and every passage of every document is a query that retrieves all items whose BM25 score
-reaches the item's threshold.  The threshold is proven: no passage that holds at least `overlap` of an item's
-five-word shingles scores less.  Retrieved items are verified by the overlap of their shingles with the passage, for
-the whole and for question and answer apart.
+reaches the item's threshold.  The threshold is proven: no passage that holds at least `overlap` of an item's five-word shingles,
+or of those of its heavier part (question or answer, by the least score), scores less.  Retrieved items are verified by
+question and answer: a document holds an item if it holds `overlap` of the shingles of both, of the heavier part in
+one passage and of the other anywhere, or `overlap` of the whole in one passage and half the answer's words anywhere
+(so a changed word in a short answer does not hide a copy).  A question without its answer is not a leak.
 
 Passages are windows of two steps, a step being at least the longest item's length, so every stretch of an item's
 length lies inside one of them.  A passage is weighed against blocks of items at once first; the few blocks whose
@@ -52,6 +54,8 @@ class Index:
     whole: list[np.ndarray]  # shingle hashes
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    answer_words: list[np.ndarray]
+    heavy: list[bool]  # whether the question scores more than the answer
     width: list[tuple[int, int, int]]  # words to a shingle, by item: of the whole, of the question, of the answer
     step: int
 
@@ -138,24 +142,43 @@ def build(items: list[tuple[object, str]], overlap: float = 0.8, shingle: int =
         for (i, _), x in zip(found, impacts.tolist()):
             own[i].append(x)
             block_max[t, i // BLOCK] = max(block_max[t, i // BLOCK], x)
-    thresholds = np.zeros(len(ids))
-    for i, x in enumerate(own):
+    thresholds, heavy = np.zeros(len(ids)), []
+
+    def least_score(i: int, part: np.ndarray) -> float:
         # of n - k + 1 shingles the lost ones cost no more words than they are: without the dearest of those, the least score
-        k = min(shingle, len(tokens[i]))
-        lost = math.floor((1 - overlap) * (len(tokens[i]) - k + 1) + 1e-9)
-        thresholds[i] = sum(sorted(x)[: max(len(x) - lost, 1)]) * (1 - 1e-5)
+        if not len(part):
+            return 0.0
+        x = np.array(own[i])[np.isin(np.unique(tokens[i]), part)].tolist()
+        lost = math.floor((1 - overlap) * (len(part) - min(shingle, len(part)) + 1) + 1e-9)
+        return sum(sorted(x)[: max(len(x) - lost, 1)]) * (1 - 1e-5)
+
+    for i, (h, c) in enumerate(zip(tokens, cuts)):
+        question, answer = least_score(i, h[:c]), least_score(i, h[c:])
+        heavy.append(question > answer)
+        thresholds[i] = min(least_score(i, h), max(question, answer))
     least = np.array([thresholds[j * BLOCK : (j + 1) * BLOCK].min() for j in range(n_blocks)])
     whole = [np.unique(_shingles(h, shingle)) for h in tokens]
     parts = [(np.unique(_shingles(h[:c], shingle)), np.unique(_shingles(h[c:], shingle))) for h, c in zip(tokens, cuts)]
-    return Index(ids, vocabulary, postings, block_max, thresholds, least, whole, [p[0] for p in parts], [p[1] for p in parts], [(min(shingle, len(h)), min(shingle, c), min(shingle, len(h) - c)) for h, c in zip(tokens, cuts)], max(64, max(map(len, tokens))))
+    return Index(ids, vocabulary, postings, block_max, thresholds, least, whole, [p[0] for p in parts], [p[1] for p in parts], [np.unique(h[c:]) for h, c in zip(tokens, cuts)], heavy, [(min(shingle, len(h)), min(shingle, c), min(shingle, len(h) - c)) for h, c in zip(tokens, cuts)], max(64, max(map(len, tokens))))
 
 
 def _share(part: np.ndarray, seen: np.ndarray) -> float:
     return float(np.isin(part, seen).mean()) if len(part) else 1.0
 
 
+def _share_of_sorted(part: np.ndarray, seen: np.ndarray) -> float:
+    if not len(part) or not len(seen):
+        return float(not len(part))
+    return float((seen[np.minimum(np.searchsorted(seen, part), len(seen) - 1)] == part).mean())
+
+
+def _half_of_words(answer: np.ndarray, hashes: np.ndarray) -> bool:
+    return 2 * np.isin(answer, hashes).sum() >= len(answer)
+
+
 def search(index: Index, words: Words, overlap: float, slots: np.ndarray) -> Iterator[tuple[int, int, float, float, float, float]]:
-    """(text, item, score, overlap, question overlap, answer overlap) for every passage that holds an item."""
+    """(text, item, score, overlap, question overlap, answer overlap) for every passage that holds an item, or its
+    heavier part while the text holds the other."""
     slot = slots[(words.hashes & _U(len(slots) - 1)).astype(np.int64)]
     term = np.where(index.vocabulary[np.minimum(slot, len(index.vocabulary) - 1)] == words.hashes, slot, -1)
     miss = np.flatnonzero((slot < 0) | (term < 0))
@@ -179,6 +202,8 @@ def search(index: Index, words: Words, overlap: float, slots: np.ndarray) -> Ite
     key = np.unique(np.concatenate([step * n_terms + t, (step[later] - 1) * n_terms + t[later]]))
     passage, t = key // n_terms, key % n_terms
     begin = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+    texts: dict[int, np.ndarray] = {}  # of the text at hand, its shingles by width
+    at_hand = -1
     could = np.add.reduceat(index.block_max[t], begin, axis=0) >= index.block_least * (1 - 1e-4)
     for p in np.flatnonzero(could.any(axis=1)).tolist():
         terms = t[begin[p] : begin[p + 1] if p + 1 < len(begin) else None].tolist()
@@ -190,11 +215,25 @@ def search(index: Index, words: Words, overlap: float, slots: np.ndarray) -> Ite
         lo = int(words.first[doc]) + (at - int(head[doc])) * index.step
         hashes = words.hashes[lo : min(lo + 2 * index.step, int(words.first[doc + 1]))]
         seen = {k: _shingles(hashes, k) for k in {k for i, _ in found for k in index.width[i]}}
+        if doc != at_hand:
+            texts, at_hand = {}, doc
+
+        def anywhere(part: np.ndarray, k: int) -> float:
+            if k not in texts:
+                texts[k] = np.unique(_shingles(words.hashes[words.first[doc] : words.first[doc + 1]], k))  # noqa: B023
+            return _share_of_sorted(part, texts[k])  # noqa: B023
+
         for i, score in found:
-            whole, question, answer = (seen[k] for k in index.width[i])
-            share = _share(index.whole[i], whole)
-            if share >= overlap:
-                yield doc, i, score, share, _share(index.question[i], question), _share(index.answer[i], answer)
+            widths = index.width[i]
+            share, question, answer = (_share(part[i], seen[k]) for part, k in zip((index.whole, index.question, index.answer), widths))
+            if share < overlap and (question if index.heavy[i] else answer) < overlap:
+                continue
+            if index.heavy[i]:
+                answer = anywhere(index.answer[i], widths[2])
+            else:
+                question = anywhere(index.question[i], widths[1])
+            if min(question, answer) >= overlap or share >= overlap and _half_of_words(index.answer_words[i], words.hashes[words.first[doc] : words.first[doc + 1]]):
+                yield doc, i, score, share, question, answer
 
 
 def _slots(vocabulary: np.ndarray) -> np.ndarray:
@@ -210,8 +249,9 @@ _FOUND = "score double, overlap double, question_overlap double, answer_overlap
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, shingle: int = 5, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """(doc_id, item_id, score, overlap, question_overlap, answer_overlap, passages): documents with a passage that
-    holds at least `overlap` of an item's shingles; the figures are of the passage that holds most.
+    """(doc_id, item_id, score, overlap, question_overlap, answer_overlap, passages): documents that hold an
+    item's question and answer (see above); the figures are of the passage that holds most of the item, but the overlap
+    of the lighter of question and answer is of the whole document.
 
     Words are compared without case (A-Z) and ASCII punctuation.  Items and texts that are null or have no words take
     no part; items shorter than a shingle are one shingle.  Repeated rows of docs give repeated results.  The

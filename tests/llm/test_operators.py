@@ -287,6 +287,22 @@ def test_decontamination(spark):
     assert {r.doc_id for r in decontam.drop_contaminated(d, bench).collect()} == {2, 4, 5, 6}
 
 
+def test_decontamination_decides_by_question_and_answer(spark):
+    question, answer = prose(900, 30), prose(901, 12)
+    long, short = prose(902, 60), prose(903, 6)
+    bench = spark.createDataFrame([(0, f"{question} ?\n{answer}"), (1, f"{long} ?\n{short}"), (2, f"{prose(904, 12)} ?\n{prose(905, 40)}")], "item_id long, text string")
+    first, second = prose(904, 12), prose(905, 40)
+    far = prose(906, 600, 10**6)
+    changed = " ".join(["other", *short.split()[1:]])
+    rows = [
+        (1, f"{question} {far} {answer}"), (2, f"{answer} {far} {question}"), (3, f"{question} {far}"), (4, f"{far} {answer}"), (5, f"{long} {far}"),
+        (6, f"{long} {short}"), (7, f"{long} {changed}"), (8, f"{second} {far} {first}"), (9, f"{second} {far}"),
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert set(got) == {(1, 0), (2, 0), (6, 1), (7, 1), (8, 2)}
+    assert got[1, 0].question_overlap == got[1, 0].answer_overlap == got[8, 2].question_overlap == 1 and got[1, 0].overlap < 0.8
+
+
 def test_wand_finds_what_full_scoring_finds():
     items = [(i, prose(i, 25, 60)) for i in range(50)]
     index = decontam.build(items)
