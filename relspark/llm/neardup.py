@@ -1,18 +1,20 @@
 """Exact similarity components through signatures and chunk keys.
 
-The caller gives one row per distinct shingle set (a class) with a signature: `wide` 16-bit minwise slots, then
-`narrow` 8-bit ones.  The wide slots are cut into chunks.  Two signatures that differ in at most `wide_errors`
-wide slots differ, by the pigeonhole principle, in at most `chunk_errors` slots of some chunk, so dropping every
-choice of `chunk_errors` slots from every chunk and hashing what is left gives them a common key.
+The caller gives one row per distinct shingle set (a class) with a signature of `wide` 16-bit minwise slots, cut into
+chunks.  Two signatures that differ in at most `threshold` slots differ, by the pigeonhole principle, in at most
+`chunk_errors` slots of some chunk, so dropping every choice of `chunk_errors` slots from every chunk and hashing what
+is left gives them a common key.  That is the only place where chance has a say: a pair that is similar enough but
+whose signatures are further apart need not be found.
 
-Candidates that share a key are compared by signature distance and, when near, by their full shingle sets.
+Candidates that share a key and lie within the threshold are decided by their full sets of 64-bit shingle hashes.
 No step emits the pairs of a group:
 
 1. every class is tried against two of its keys' smallest classes, the smallest and the nearest: copies and near
    copies of a text, however many, mostly fall into one component here;
 2. keys that still hold several components are gone through in tiles: the members outside the key's largest
-   component against all members, in blocks.  Their lowest shingle hashes decide pairs of up to LOWEST shingles in
-   the task, where links inside a tile are thinned to a spanning forest; what is left is verified like the rest.
+   component against all members, in blocks of bounded size.  Signatures and histograms of the sets (whose distance
+   bounds that of the sets from below) tell which members of a tile have a candidate at all; the full sets of these
+   are then brought to the tile, every candidate is decided there, and the links go out as a spanning forest.
 """
 
 from __future__ import annotations
@@ -31,36 +33,37 @@ from .store import drop, keep
 from .text import chunks, mix
 
 _U = np.uint64
+#: A block of a tile has about so many members, and about so many shingles, at most.
 BLOCK = 256
-#: Shingle hashes kept of each class for step 2, the lowest.
-LOWEST = 512
+SHINGLES = 1 << 17
+SETS = "id long, n long, sig binary, hist binary, set binary"
 
 
 @dataclass(frozen=True)
 class Signature:
-    """wide and narrow: slots.  far: the most slots that may differ.  Keys: see the module's text."""
+    """wide: slots.  bins: of the histograms.  shingle: words.  Keys: see the module's text."""
 
     wide: int = 32
-    narrow: int = 96
     chunk: int = 4
     chunk_errors: int = 1
-    far: int = 46
+    bins: int = 256
     shingle: int = 5
     percent: int = 80
+    far: int | None = None
 
     @property
     def wide_errors(self) -> int:
-        """All pairs within this distance over the wide slots share a key."""
+        """All pairs within this distance share a key."""
         return (self.wide // self.chunk) * (self.chunk_errors + 1) - 1
 
     @property
-    def width(self) -> int:
-        return 2 * self.wide + self.narrow
+    def threshold(self) -> int:
+        """The most slots in which candidates differ: wide_errors, unless `far` asks for more."""
+        return self.wide_errors if self.far is None else self.far
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(7)
-        n = self.wide + self.narrow
-        return rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
+        return rng.integers(0, 2**32, self.wide, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, self.wide, dtype=np.uint32)
 
     def of(self, values: np.ndarray, hashes: tuple[np.ndarray, np.ndarray]) -> bytes:
         """The signature of a set of 64-bit values."""
@@ -73,7 +76,11 @@ class Signature:
             y = y.min(axis=0)
             low = y if low is None else np.minimum(low, y)
         low = low ^ (low >> np.uint32(16)) * np.uint32(0x9E37)
-        return low[: self.wide].astype("<u2").tobytes() + low[self.wide :].astype(np.uint8).tobytes()
+        return low.astype("<u2").tobytes()
+
+    def histogram(self, values: np.ndarray) -> bytes:
+        """How many values fall into each bin, 255 standing for more."""
+        return np.minimum(np.bincount((values & _U(self.bins - 1)).astype(np.int64), minlength=self.bins), 255).astype(np.uint8).tobytes()
 
     def keys(self, wide: np.ndarray) -> np.ndarray:
         """wide: (n, wide).  Returns (n, keys)."""
@@ -86,9 +93,15 @@ class Signature:
                 out.append(h)
         return np.stack(out, axis=1)
 
-    def split(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, self.width)
-        return np.ascontiguousarray(raw[:, : 2 * self.wide]).view("<u2"), raw[:, 2 * self.wide :]
+    def slots(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, self.wide)
+
+    def similar(self, n: np.ndarray, m: np.ndarray, both: np.ndarray) -> np.ndarray:
+        return (both > 0) & (100 * both >= self.percent * (n + m - both))
+
+    def may_be(self, n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
+        """Whether sets of n and m that differ in `distance` or more values may be similar enough."""
+        return distance * (100 + self.percent) <= (100 - self.percent) * (n + m)
 
 
 def distinct_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -109,85 +122,126 @@ def _key_rows(sig: Signature):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = sig.keys(sig.split(batch["sig"])[0])
+                keys = sig.keys(sig.slots(batch["sig"]))
                 ids = np.repeat(batch["id"].to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(ids)], ["key", "id"])
 
     return rows
 
 
-def _lowest(sig: Signature):
+def set_rows(sig: Signature) -> Callable:
+    """(id, n, sig, h1, h2, text) to SETS; texts of other sets, of rows that repeat an id, are left out."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            low = [(v[:LOWEST] >> _U(32)).astype("<u4").tobytes() for v in distinct_sets(batch["text"], sig.shingle)]
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["text"], pa.array(low, pa.binary())], ["id", "text", "low"])
+            sets = list(distinct_sets(batch["text"], sig.shingle))
+            own = list(zip(batch["h1"].to_pylist(), batch["h2"].to_pylist()))
+            ok = [i for i, v in enumerate(sets) if set_hash(v) == own[i]]
+            part = batch.take(pa.array(ok, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part["id"], part["n"], part["sig"], pa.array([sig.histogram(sets[i]) for i in ok], pa.binary()), pa.array([sets[i].tobytes() for i in ok], pa.binary())], ["id", "n", "sig", "hist", "set"])
 
     return rows
 
 
 def _near(sig: Signature):
-    """Of pairs with both signatures, those near enough to be worth an exact look."""
+    """Of pairs with both signatures, those within the threshold."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                (w1, n1), (w2, n2) = sig.split(batch["sig"]), sig.split(batch["sig2"])
-                far = (w1 != w2).sum(1) + (n1 != n2).sum(1)
+                far = (sig.slots(batch["sig"]) != sig.slots(batch["sig2"])).sum(1)
                 a, b = batch["n"].to_numpy(), batch["n2"].to_numpy()
-                ok = (far <= sig.far) & (100 * np.minimum(a, b) >= sig.percent * np.maximum(a, b))
+                ok = (far <= sig.threshold) & sig.may_be(a, b, np.abs(a - b))
                 yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(ok)), batch["b"].filter(pa.array(ok)), pa.array(far[ok], pa.int32())], ["a", "b", "far"])
 
     return rows
 
 
+def _same(sig: Signature):
+    """Of pairs with both sets, those that are linked."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True)) for x, y in zip(batch["set"].to_pylist(), batch["set2"].to_pylist())]
+            ok = pa.array(sig.similar(batch["n"].to_numpy(), batch["n2"].to_numpy(), np.array(both, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok)], ["a", "b"])
+
+    return rows
+
+
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys of a sorted partition; holds one batch and one group."""
-    rest: pa.Table | None = None
+    rest: list[pa.Table] = []
+    last = None
     for batch in batches:
-        now = pa.Table.from_batches([batch])
-        now = pa.concat_tables([rest, now]) if rest is not None else now
-        if not now.num_rows:
+        if not batch.num_rows:
             continue
+        now = pa.Table.from_batches([batch])
         cols = [now[c].to_numpy() for c in by]
         cut = np.zeros(now.num_rows - 1, bool)
         for c in cols:
             cut |= c[1:] != c[:-1]
-        edges = [0, *(np.flatnonzero(cut) + 1).tolist()]
+        edges = [0, *(np.flatnonzero(cut) + 1).tolist(), now.num_rows]
         for i, j in zip(edges, edges[1:]):
-            if j - i > 1:
-                yield now.slice(i, j - i)
-        rest = now.slice(edges[-1]).combine_chunks()
-    if rest is not None and rest.num_rows > 1:
-        yield rest
-
-
-def _agree(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) -> int:
-    """From the lowest hashes of two sets of n and m: 1 linked, 0 not, -1 open."""
-    both = len(np.intersect1d(x, y, assume_unique=False))
-    if n <= LOWEST and m <= LOWEST:
-        gap = 100 * both - percent * (n + m - both)
-        # 32-bit hashes may collide: a pair this close to the border is left to the full sets
-        return -1 if abs(gap) <= 400 else int(gap > 0)
-    # the lowest hashes of the union are a sample of it
-    union = np.union1d(x, y)[:LOWEST]
-    share = np.isin(union, x).astype(int) + np.isin(union, y) == 2
-    p = percent / 100
-    return -1 if share.mean() >= p - 4 * (p * (1 - p) / len(union)) ** 0.5 else 0
-
-
-def _tiles(sig: Signature):
-    """Left members against right ones of other components: pairs worth verifying, of which those sure to link are
-    thinned to a spanning forest of the tile."""
+            key = tuple(int(c[i]) for c in cols)
+            if key != last and rest:
+                yield pa.concat_tables(rest).combine_chunks()
+                rest = []
+            last = key
+            rest.append(now.slice(i, j - i))
+    if rest:
+        yield pa.concat_tables(rest).combine_chunks()
+
+
+def _candidates(sig: Signature, group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(row of a left member, rows of right ones) of a tile, each pair for the first of its common keys only."""
+    left, stray = group["is_left"].to_numpy(), group["stray"].to_numpy()
+    if left.all() or not left.any():
+        return
+    w, hist = sig.slots(group["sig"]), np.frombuffer(b"".join(group["hist"].to_pylist()), np.uint8).reshape(-1, sig.bins).astype(np.int16)
+    ids, comp, n = (group[c].to_numpy() for c in ("id", "comp", "n"))
+    keys, here = sig.keys(w).view(np.int64), group["key"][0].as_py()
+    to = np.flatnonzero(~left)
+    for x in np.flatnonzero(left):
+        # of two strays, which both are left members somewhere, the larger id is the left one
+        ok = to[(comp[to] != comp[x]) & (~stray[to] | (ids[to] < ids[x])) & sig.may_be(n[to], n[x], np.abs(n[to] - n[x]))]
+        far = (w[ok] != w[x]).sum(1)
+        near = far <= sig.threshold
+        ok, far = ok[near], far[near]
+        ok = ok[np.argsort(far, kind="stable")]
+        ok = ok[sig.may_be(n[ok], n[x], np.abs(hist[ok] - hist[x]).sum(1))]
+        if len(ok):
+            ok = ok[keys[x][(keys[ok] == keys[x]).argmax(axis=1)] == here]
+        if len(ok):
+            yield int(x), ok
+
+
+def _wanted(sig: Signature):
+    """The members of each tile that have a candidate."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["key", "i", "j"]):
+            want = np.zeros(group.num_rows, bool)
+            for x, ok in _candidates(sig, group):
+                want[x] = True
+                want[ok] = True
+            if want.any():
+                yield from group.filter(pa.array(want)).select(["key", "i", "j", "is_left", "stray", "id", "comp"]).to_batches()
+
+    return rows
+
+
+def _decided(sig: Signature):
+    """The links of each tile, as a spanning forest over components."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["key", "i", "j"]):
-            left = group["is_left"].to_numpy()
-            if left.all() or not left.any():
-                continue
-            w, s = sig.split(group["sig"].combine_chunks())
-            low = [np.frombuffer(x, "<u4") for x in group["low"].to_pylist()]
             ids, comp, n = (group[c].to_numpy() for c in ("id", "comp", "n"))
-            keys, here = sig.keys(w).view(np.int64), group["key"][0].as_py()
+            sets = [np.frombuffer(x, _U) for x in group["set"].to_pylist()]
+            # the tile's hashes by small numbers, so that one look-up for each value counts what a set shares with all
+            number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            seen = np.zeros(len(number) + 1, bool)
             parent: dict[int, int] = {}
 
             def root(c: int) -> int:
@@ -196,24 +250,21 @@ def _tiles(sig: Signature):
                 return c
 
             out_a, out_b = [], []
-            at, to = np.flatnonzero(left), np.flatnonzero(~left)
-            for x in at:
-                ok = to[(comp[to] != comp[x]) & (100 * np.minimum(n[to], n[x]) >= sig.percent * np.maximum(n[to], n[x]))]
+            for x, ok in _candidates(sig, group):
+                ok = np.array([y for y in ok.tolist() if root(int(comp[y])) != root(int(comp[x]))], np.int64)
                 if not len(ok):
                     continue
-                far = (w[ok] != w[x]).sum(1) + (s[ok] != s[x]).sum(1)
-                ok, far = ok[far <= sig.far], far[far <= sig.far]
-                # a pair with several common keys is made for the first of them only
-                common = keys[ok] == keys[x]
-                first = keys[x][common.argmax(axis=1)] == here
-                for y in ok[first][np.argsort(far[first], kind="stable")].tolist():
+                mine = number[begin[x] : begin[x + 1]]
+                seen[mine] = True
+                size = begin[ok + 1] - begin[ok]
+                first = np.concatenate([[0], np.cumsum(size)[:-1]])
+                at = np.arange(size.sum()) + np.repeat(begin[ok] - first, size)
+                both = np.add.reduceat(seen[number[at]].astype(np.int64), first)
+                seen[mine] = False
+                for y in ok[sig.similar(n[ok], n[x], both)].tolist():
                     a, b = root(int(comp[x])), root(int(comp[y]))
-                    if a == b:
-                        continue
-                    sure = _agree(low[x], low[y], int(n[x]), int(n[y]), sig.percent)
-                    if sure == 1:
+                    if a != b:
                         parent[max(a, b)] = min(a, b)
-                    if sure:
                         out_a.append(int(ids[x]))
                         out_b.append(int(ids[y]))
             if out_a:
@@ -222,63 +273,54 @@ def _tiles(sig: Signature):
     return rows
 
 
-def _same(sig: Signature):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(distinct_sets(batch["text"], sig.shingle), distinct_sets(batch["text2"], sig.shingle)):
-                both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
-                ok.append(both > 0 and 100 * both >= sig.percent * (len(x) + len(y) - both))
-            keep_rows = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(keep_rows), batch["b"].filter(keep_rows)], ["a", "b"])
-
-    return rows
-
-
-def linked(classes: DataFrame, texts_of: Callable[[DataFrame, Callable, str], DataFrame], sig: Signature) -> DataFrame:
+def linked(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sig: Signature) -> DataFrame:
     """classes: (id, n, sig), kept.  Returns (id, comp) of classes with links, kept.
 
-    texts_of: (ids, last step, schema) -> the last step over Arrow batches of (id, text), so that a caller with a step
-    of its own in Python runs both in one worker.
-
-    Nulls: n and sig are set for every row.  An empty table gives no rows.
+    sets_of: (ids) -> SETS of these classes, where set holds the sorted 64-bit shingle hashes.  A class may come more
+    than once.  Nulls: n and sig are set for every row.  An empty table gives no rows.
     """
     keys = classes.select("id", "sig").mapInArrow(_key_rows(sig), "key long, id long")
     several = keys.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("leader")).filter("members > 1")
-    shared = keep(keys.join(several, "key"), "keys")
-    some = shared.select("id").distinct()
-    sigs = keep(classes.join(some, "id", "left_semi").select("id", "n", "sig"), "sigs")
-    texts = keep(texts_of(some, _lowest(sig), "id long, text string, low binary"), "texts")
-    other = sigs.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("id").alias("a"), "text"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text2")), "b")
-        return keep(both.select("a", "b", "text", "text2").mapInArrow(_same(sig), "a long, b long"), "links")
+    shared = keep(keys.join(several, "key").select("key", "id", "leader"), "keys")
+    sets = keep(sets_of(shared.select("id").distinct()), "sets")
+    other = sets.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"), F.col("set").alias("set2"))
 
     first = shared.filter("id > leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    first = first.join(sigs.withColumnRenamed("id", "a"), "a").join(other, "b").mapInArrow(_near(sig), "a long, b long, far int")
+    first = first.join(sets.select(F.col("id").alias("a"), "n", "sig"), "a").join(other.drop("set2"), "b").mapInArrow(_near(sig), "a long, b long, far int")
     first = first.groupBy("a").agg(F.min("b").alias("b"), F.min_by("b", F.col("far") * F.lit(2.0**40) + F.pmod(F.xxhash64("a", "b"), F.lit(2**40))).alias("c"))
-    edges = verified(first.select("a", F.explode(F.array_distinct(F.array("b", "c"))).alias("b")))
-    comp = keep(components(edges), "comp")
+    first = first.select("a", F.explode(F.array_distinct(F.array("b", "c"))).alias("b"))
+    first = first.join(sets.select(F.col("id").alias("a"), "n", "set"), "a").join(other.drop("sig2"), "b")
+    comp = keep(components(first.mapInArrow(_same(sig), "a long, b long")), "comp")
 
     size = comp.groupBy("comp").agg(F.count("*").alias("held"))
     label = comp.join(size, "comp")
     rows = shared.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"))
-    info = rows.groupBy("key").agg(F.max(F.struct("held", "comp")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).filter("low < high")
-    rows = rows_kept = keep(rows.join(info.select("key", F.col("most.comp").alias("main"), "members"), "key"), "mixed")
-    stray = rows.filter("comp != main").groupBy("key").agg(F.count("*").alias("strays"))
-    rows = rows.join(stray, "key").withColumns({"right": F.ceil(F.col("members") / BLOCK), "left": F.ceil(F.col("strays") / BLOCK), "at": F.xxhash64("id")})
+    info = rows.groupBy("key").agg(F.max(F.struct("held", "comp")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
+    rows = rows.join(info.select("key", F.col("most.comp").alias("main")), "key").join(sets.select("id", "n"), "id")
+    mixed = keep(rows.select("key", "id", "comp", "n", (F.col("comp") != F.col("main")).alias("stray")), "mixed")
+
+    def blocks(some) -> F.Column:
+        return F.ceil(F.greatest(F.count_if(some) / BLOCK, F.sum(F.when(some, F.col("n"))) / SHINGLES))
+
+    shape = mixed.groupBy("key").agg(blocks(F.lit(True)).alias("right"), blocks(F.col("stray")).alias("left"))
+    rows = mixed.drop("n").join(shape, "key").withColumn("at", F.xxhash64("id"))
     as_right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("left") - 1), lambda i: F.struct(i.alias("i"), F.pmod("at", "right").alias("j"), F.lit(False).alias("is_left")))
     as_left = F.transform(F.sequence(F.lit(0).cast("long"), F.col("right") - 1), lambda j: F.struct(F.pmod("at", "left").alias("i"), j.alias("j"), F.lit(True).alias("is_left")))
     none = F.array().cast("array<struct<i:bigint,j:bigint,is_left:boolean>>")
-    tiled = rows.select("key", "id", "comp", F.explode(F.concat(as_right, F.when(F.col("comp") != F.col("main"), as_left).otherwise(none))).alias("t"))
-    tiled = tiled.join(sigs, "id").join(texts.select("id", "low"), "id").select("key", "t.i", "t.j", "t.is_left", "id", "comp", "n", "sig", "low")
-    pairs = tiled.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(sig), "a long, b long")
-    more = verified(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for used in (shared, sigs, texts, rows_kept):
+    tiled = rows.select("key", "id", "comp", "stray", F.explode(F.concat(as_right, F.when(F.col("stray"), as_left).otherwise(none))).alias("t"))
+    tile = ["key", "i", "j"]
+    tiled = tiled.join(sets.select("id", "n", "sig", "hist"), "id").select("key", "t.i", "t.j", "t.is_left", "stray", "id", "comp", "n", "sig", "hist")
+    want = tiled.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_wanted(sig), "key long, i long, j long, is_left boolean, stray boolean, id long, comp long")
+    want = keep(want, "wanted")
+    pairs = want.join(sets, "id").repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_decided(sig), "a long, b long")
+    more = keep(pairs, "links")
+    for used in (shared, sets, mixed, want):
         drop(used)
     if more.isEmpty():
         return comp
     # one edge for each class and its component so far, and the new links between them
     known = comp.select(F.col("id").alias("a"), F.col("comp").alias("b"))
-    return keep(components(known.unionByName(more)), "comp")
+    out = keep(components(known.unionByName(more)), "comp")
+    drop(comp)
+    drop(more)
+    return out

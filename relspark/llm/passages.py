@@ -2,11 +2,12 @@
 
 Two kinds of unit are looked at:
 
-* paragraphs (lines) of at least `min_words` words go through MinHash banding; colliding paragraphs are verified by
+* paragraphs (lines) of at least `min_words` words go through MinHash banding; colliding paragraphs are decided by
   the exact Jaccard similarity of their five-word shingle sets and clustered by connected components;
-* passages inside paragraphs that differ: lines are cut at places chosen by the words around them, so the same
-  passage is cut alike wherever it stands; equal pieces across documents belong together.  A stretch that repeats one
-  to three words is cut into equal pieces, so it repeats any such stretch of these words, whatever their lengths.
+* passages inside paragraphs that differ, or that are broken into lines otherwise: the words of a text, whatever its
+  line breaks, are cut at places chosen by the words around them, so the same passage is cut alike wherever it stands;
+  equal pieces across documents belong together.  A stretch that repeats one to three words is cut into equal pieces,
+  so it repeats any such stretch of these words, whatever their lengths.
 
 Of each cluster the units of the smallest doc_id stay; elsewhere they go, when they make up a run of `min_words`
 words or more.  A text's own repetitions stay.
@@ -23,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .neardup import Signature, linked, set_hash
-from .store import keep, small_batches
-from .text import _WEIGHTS, CHUNK_BYTES, Words, chunks, mix
+from .neardup import SETS, Signature, linked, set_hash, set_rows
+from .store import drop, keep, small_batches
+from .text import CHUNK_BYTES, Words, chunks, mix
 
 _U = np.uint64
 #: Shorter runs are left alone: set phrases, headings, licence lines.
@@ -46,7 +47,7 @@ def signature(similarity: float = 0.8, rows: int = 3, recall: float = 0.999, shi
     n = bands(similarity, rows, recall) * rows
     mean = n * (1 - similarity)
     far = math.ceil(mean + 4.5 * math.sqrt(mean * similarity))
-    return Signature(wide=n, narrow=0, chunk=rows, chunk_errors=0, far=far, shingle=shingle, percent=round(100 * similarity))
+    return Signature(wide=n, chunk=rows, chunk_errors=0, bins=64, far=far, shingle=shingle, percent=round(100 * similarity))
 
 
 def _line_starts(words: Words) -> np.ndarray:
@@ -68,20 +69,14 @@ def _paragraphs(sig: Signature, min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = sig.hashes()
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids, of = batch["doc_id"].to_numpy(zero_copy_only=False), batch["t"].to_numpy()
             for lo, _, words in chunks(batch["text"]):
                 begin, end = _spans(words, _line_starts(words))
-                long = end - begin >= min_words
+                long = end - begin >= max(min_words, sig.shingle)
                 begin, end = begin[long], end[long]
                 doc = np.searchsorted(words.first, begin, side="right") - 1
-                shape = words.hashes
                 k = sig.shingle
-                n = len(shape) - k + 1
-                shingle = np.zeros(max(n, 0), np.uint64)
-                if n > 0:
-                    for j in range(k):
-                        shingle += shape[j : n + j] * _WEIGHTS[j]
-                    shingle = mix(shingle + _U(k))
+                shingle = words.runs(k)
                 cols: list[list] = [[] for _ in range(4)]
                 for i, j in zip(begin.tolist(), end.tolist()):
                     values = np.unique(shingle[i : j - k + 1])
@@ -89,39 +84,46 @@ def _paragraphs(sig: Signature, min_words: int):
                     for c, x in zip(cols, (len(values), one, two, sig.of(values, hashes))):
                         c.append(x)
                 base = words.offsets[doc]
-                arrays = [ids[lo + doc], words.starts[begin] - base, words.ends[end - 1] - base, end - begin]
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in arrays), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "start", "end", "words", "n", "h1", "h2", "sig"])
+                arrays = [ids[lo + doc], of[lo + doc], words.starts[begin] - base, words.ends[end - 1] - base, end - begin]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in arrays), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "t", "start", "end", "words", "n", "h1", "h2", "sig"])
 
     return rows
 
 
-_PARAGRAPHS = "doc_id long, start long, end long, words long, n long, h1 long, h2 long, sig binary"
+_PARAGRAPHS = "doc_id long, t long, start long, end long, words long, n long, h1 long, h2 long, sig binary"
+
+
+_SPAN = ("id", "start", "end", "n", "sig", "h1", "h2")
 
 
 def _texts_of_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, spans) -> (id, text of the span), about CHUNK_BYTES at a time."""
-    ids, out, size = [], [], 0
+    """(text, spans) -> each span's columns and its text, about CHUNK_BYTES at a time."""
+    kinds = dict(zip(_SPAN, (pa.int64(),) * 4 + (pa.binary(),) + (pa.int64(),) * 2)) | {"text": pa.string()}
+    held: dict[str, list] = {c: [] for c in kinds}
+    size = 0
 
     def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], ["id", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(held[c], kind) for c, kind in kinds.items()], list(kinds))
 
     for batch in batches:
         for i in range(batch.num_rows):
             raw = (batch["text"][i].as_py() or "").encode()
             for s in batch["spans"][i].as_py():
-                ids.append(s["id"])
-                out.append(raw[s["start"] : s["end"]].decode())
+                for c in _SPAN:
+                    held[c].append(s[c])
+                held["text"].append(raw[s["start"] : s["end"]].decode())
                 size += s["end"] - s["start"]
             if size > CHUNK_BYTES:
                 yield made()
-                ids, out, size = [], [], 0
-    if ids:
+                held, size = {c: [] for c in kinds}, 0
+    if held["id"]:
         yield made()
 
 
 def _cuts(words: Words, line: np.ndarray) -> np.ndarray:
     """Whether to cut before each word: where the hash of it and the word before is below those of CALM words to
-    either side in its line.  Pieces have more than CALM words, and long stretches without a cut are rare.
+    either side in its text (line: the first words of texts).  Pieces inside a text have more than CALM words, and
+    long stretches without a cut are rare.
 
     Words that recur every CALM words or sooner have equal minima near one another, none of them below the others:
     there every PERIODS-th is a cut, from the first on, so the pieces of such a stretch are all the same."""
@@ -144,17 +146,20 @@ def _cuts(words: Words, line: np.ndarray) -> np.ndarray:
     return below
 
 
-def _pieces(known: bool):
-    """Pieces of lines with the hash of their words.  Of one partition, a hash's smallest doc_id goes on to the
-    shuffle (known=False), while its other documents are known to repeat it (known=True)."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of texts with the hash of their words.  Of a block of pieces, a value's smallest doc_id competes with
+    those of other blocks (route: the value), while its other documents are known to repeat it (route: the document)."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
 
     def cut(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
-        ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+        ids, of = batch["doc_id"].to_numpy(zero_copy_only=False), batch["t"].to_numpy()
         for lo, _, words in chunks(batch["text"]):
             if not len(words.hashes):
                 continue
-            line = _line_starts(words)
-            begin, end = _spans(words, line | _cuts(words, line))
+            head = np.zeros(len(words.hashes), bool)
+            head[words.first[:-1][np.diff(words.first) > 0]] = True
+            begin, end = _spans(words, head | _cuts(words, head))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words.hashes) * _roll(len(words.hashes)), dtype=np.uint64)])
             value = mix((sums[end] - sums[begin]) * _unroll(len(words.hashes))[begin] + (end - begin).astype(np.uint64))
             doc = np.searchsorted(words.first, begin, side="right") - 1
@@ -163,37 +168,30 @@ def _pieces(known: bool):
             head = np.flatnonzero(np.append(True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])))
             last = np.append(head[1:], len(value)) - 1
             value, doc, base, begin, end = value[head], doc[head], base[head], begin[head], end[last]
-            ok = end - begin >= 3
-            yield tuple(x[ok] for x in (value.view(np.int64), ids[lo + doc].astype(np.int64), words.starts[begin] - base, words.ends[end - 1] - base, end - begin))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # a block of pieces is combined at a time, so memory does not follow the partition's size
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def made() -> pa.RecordBatch:
-            value, doc, start, end, n = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, value))
-            value, doc, start, end, n = (x[order] for x in (value, doc, start, end, n))
-            head = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
-            least = np.repeat(doc[head], np.diff(np.append(head, len(value))))
-            pick = doc != least if known else doc == least
-            return pa.RecordBatch.from_arrays([pa.array(x[pick]) for x in (value, doc, start, end, n)], ["value", "doc_id", "start", "end", "words"])
+            yield value.view(np.int64), ids[lo + doc].astype(np.int64), of[lo + doc], words.starts[begin] - base, words.ends[end - 1] - base, end - begin
 
-        for batch in batches:
-            for part in cut(batch):
-                held.append(part)
-                size += len(part[0])
-                if size > 250_000:
-                    yield made()
-                    held, size = [], 0
-        if held:
-            yield made()
-
-    return rows
+    def made() -> pa.RecordBatch:
+        value, doc, t, start, end, n = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((doc, value))
+        value, doc, t, start, end, n = (x[order] for x in (value, doc, t, start, end, n))
+        head = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+        known = doc != np.repeat(doc[head], np.diff(np.append(head, len(value))))
+        route = np.where(known, mix(doc.view(np.uint64)).view(np.int64), value)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (route, known, value, doc, t, start, end, n)], ["route", "known", "value", "doc_id", "t", "start", "end", "words"])
+
+    # a block is combined at a time, so memory does not follow the partition's size
+    for batch in batches:
+        for part in cut(batch):
+            held.append(part)
+            size += len(part[0])
+            if size > 250_000:
+                yield made()
+                held, size = [], 0
+    if held:
+        yield made()
 
 
-_PIECES = "value long, doc_id long, start long, end long, words long"
+_PIECES = "route long, known boolean, value long, doc_id long, t long, start long, end long, words long"
 _BASE = 0xD1342543DE82EF95
 
 
@@ -210,7 +208,8 @@ def _unroll(n: int) -> np.ndarray:
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by value and doc_id, those whose value began with another doc_id; holds one batch."""
+    """Of rows sorted by known, value and doc_id, those known and those whose value began with another doc_id; holds
+    one batch."""
     last_value, owner = None, None
     for batch in batches:
         if not batch.num_rows:
@@ -222,14 +221,15 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last_value is not None and value[0] == last_value:
             own[at == 0] = owner
         last_value, owner = value[-1], own[-1]
-        yield batch.filter(pa.array(doc != own)).select(["doc_id", "start", "end", "words"])
+        known = batch["known"].to_numpy(zero_copy_only=False)
+        yield batch.filter(pa.array(known | (doc != own))).select(["doc_id", "t", "start", "end", "words"])
 
 
 def _cut(min_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, words, spans, runs = [], [], [], []
-            for text, found in zip(batch["text"].to_pylist(), batch["found"].to_pylist()):
+            for text, found in zip(batch["text"].to_pylist(), batch["__found"].to_pylist()):
                 raw = text.encode() if text else b""
                 gone: list[tuple[int, int]] = []
                 n = 0
@@ -252,7 +252,7 @@ def _cut(min_words: int):
                 words.append(n)
                 runs.append(len(gone))
                 spans.append(lost)
-            out = batch.drop_columns(["found"])
+            out = batch.drop_columns(["__found"])
             out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(runs, pa.int64()), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("text", pa.string())])))], [*out.schema.names, "__runs", "__words", "__removed"])
 
@@ -260,29 +260,34 @@ def _cut(min_words: int):
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, sig: Signature | None = None) -> DataFrame:
-    """(doc_id, start, end, words): byte spans of units that an earlier document has as well."""
+    """(doc_id, t, start, end, words): byte spans of units that an earlier document has as well; t is hash(text).
+
+    Rows without doc_id or text have none.  Rows that repeat a doc_id count as one document, whose texts t tells
+    apart.  Long texts are whole units of work, never cut; an empty table gives no rows; columns of
+    other names are ignored.
+    """
     sig = sig or signature()
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    docs = docs.select("doc_id", F.hash("text").cast("long").alias("t"), "text").filter("doc_id is not null and text is not null")
     lines = keep(docs.mapInArrow(_paragraphs(sig, min_words), _PARAGRAPHS).withColumn("uid", F.monotonically_increasing_id()), "lines")
     same = lines.groupBy("n", "h1", "h2").agg(F.min("uid").alias("id"), F.min("doc_id").alias("owner"), F.count("*").alias("copies"))
-    classes = keep(same.join(lines.select(F.col("uid").alias("id"), "sig"), "id").select("id", "n", "h1", "h2", "owner", "copies", "sig"), "classes")
+    classes = keep(same.join(lines.select(F.col("uid").alias("id"), "doc_id", "t", "start", "end", "sig"), "id"), "classes")
 
-    def texts_of(ids: DataFrame, last: Callable, schema: str) -> DataFrame:
-        want = lines.select(F.col("uid").alias("id"), "doc_id", "start", "end").join(ids, "id", "left_semi")
-        want = want.groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end")).alias("spans"))
-        return docs.join(want, "doc_id").select("text", "spans").mapInArrow(lambda batches: last(_texts_of_spans(batches)), schema)
+    def sets_of(ids: DataFrame) -> DataFrame:
+        want = classes.join(ids, "id", "left_semi").groupBy("doc_id", "t").agg(F.collect_list(F.struct(*_SPAN)).alias("spans"))
+        last = set_rows(sig)
+        return docs.join(want, ["doc_id", "t"]).select("text", "spans").mapInArrow(lambda batches: last(_texts_of_spans(batches)), SETS)
 
-    comp = linked(classes, texts_of, sig)
+    comp = linked(classes, sets_of, sig)
     group = classes.join(comp, "id", "left").select("n", "h1", "h2", "owner", "copies", F.coalesce("comp", "id").alias("comp"))
     best = group.groupBy("comp").agg(F.min("owner").alias("first"), F.sum("copies").alias("copies"))
     group = group.drop("copies", "owner").join(best.filter("copies > 1"), "comp")
-    near = lines.join(group, ["n", "h1", "h2"]).filter("doc_id != first").select("doc_id", "start", "end", "words")
+    near = keep(lines.join(group, ["n", "h1", "h2"]).filter("doc_id != first").select("doc_id", "t", "start", "end", "words"), "near")
+    for used in (lines, classes, comp):
+        drop(used)
 
-    ahead = docs.mapInArrow(_pieces(False), _PIECES)
-    later = ahead.repartition("value").sortWithinPartitions("value", "doc_id").mapInArrow(_later, "doc_id long, start long, end long, words long")
-    known = docs.mapInArrow(_pieces(True), _PIECES).select("doc_id", "start", "end", "words")
-    return near.unionByName(later).unionByName(known)
+    pieces = docs.mapInArrow(_pieces, _PIECES).repartition("route").sortWithinPartitions("known", "value", "doc_id")
+    return near.unionByName(pieces.mapInArrow(_later, "doc_id long, t long, start long, end long, words long"))
 
 
 def cut_repeated(docs: DataFrame, min_words: int = MIN_WORDS, sig: Signature | None = None) -> DataFrame:
@@ -290,13 +295,15 @@ def cut_repeated(docs: DataFrame, min_words: int = MIN_WORDS, sig: Signature | N
     removed (array of start, in characters of the old text, and text).
 
     Null and empty texts, and rows without doc_id, come back as they are.  Rows that repeat a doc_id count as one
-    document.  All columns of docs are kept; those named like the new ones are replaced.
+    document and come back one for one.  All columns of docs are kept; those named like the new ones are replaced.  An
+    empty table stays empty.
     """
     docs = docs.drop("removed_runs", "removed_words", "removed")
-    found = repeated_spans(docs, min_words, sig).groupBy("doc_id")
-    # a document with fewer repeated words than one run needs has nothing to cut
-    found = found.agg(F.sum("words").alias("__n"), F.collect_list(F.struct("start", "end")).alias("found")).filter(F.col("__n") >= min_words).drop("__n")
-    both = docs.join(found, "doc_id", "left").select(*docs.columns, "found")
+    found = repeated_spans(docs, min_words, sig).groupBy("doc_id", "t")
+    # a text with fewer repeated words than one run needs has nothing to cut
+    found = found.agg(F.sum("words").alias("__n"), F.collect_list(F.struct("start", "end")).alias("__found")).filter(F.col("__n") >= min_words)
+    found = found.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), "__found")
+    both = docs.join(found, (F.col("doc_id") == F.col("__doc")) & (F.hash("text").cast("long") == F.col("__t")), "left").select(*docs.columns, "__found")
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("__runs long, __words long, __removed array<struct<start:bigint,text:string>>").fields])
     out = both.mapInArrow(_cut(min_words), schema)
     return out.withColumnsRenamed({"__runs": "removed_runs", "__words": "removed_words", "__removed": "removed"})

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,10 +50,17 @@ atexit.register(_at_exit)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffles that made the table are deleted as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/relspark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path

@@ -94,6 +94,14 @@ class Words:
             out += part if whole else np.where(short > j, part, _U(0))
         return mix(out), begin
 
+    def runs(self, k: int) -> np.ndarray:
+        """Hashes of all k consecutive words, whatever text they are of; those of shingles()."""
+        n = max(len(self.hashes) - k + 1, 0)
+        out = np.full(n, k, np.uint64) * _U(0xD6E8FEB86659FD93)
+        for j in range(k if n else 0):
+            out += self.hashes[j : n + j] * _WEIGHTS[j]
+        return mix(out)
+
 
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
