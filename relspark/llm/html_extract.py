@@ -1,10 +1,13 @@
 """Main text of HTML pages by line-block distribution (operator 1).
 
-Markup is stripped into lines, one for each block element.  A line's weight is the length of its text outside links;
-lines of menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by their elements,
-roles, classes and ids, weigh nothing.  Sums of weights over sliding windows give the distribution of text along the
-page; the text between its surge and dive points is kept.  Where a page marks its article, the distribution is taken
-inside that element, where any weight is a surge.
+Markup is stripped into lines, one for each block element.  A line weighs the length of its text outside links, less
+where elements, roles, classes or ids say that it is furniture (menus, headers, footers, sidebars, notices, adverts,
+forms, reader comments): such lines weigh nothing, unless the furniture so marked holds far more of the page's text
+than all else does, as then the mark is wrong.  Sums of weights over sliding windows of lines give the distribution of
+text along the page; its surge and dive points, relative to its peak, bound the text.
+
+The ends are then moved to what lies there: outwards over short lines with no furniture between, and, where marked
+articles hold most of the weight found, to the ends of the articles; elsewhere no text comes before the headline.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _CHROME = frozenset("nav footer aside form menu dialog fieldset header".split())
+#: Words that speak for the text, next to which a word of _CHROME_WORDS says nothing ("post-header").
+_TEXT_WORDS = frozenset("post article entry story content body text main headline title page".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 _CHROME_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side aside menu nav navbar navigation "
@@ -40,58 +45,68 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in _RAW}
 
 
 @dataclass
 class Line:
     text: str
     linked: int
-    chrome: bool
-    article: bool
-    main: bool
-    heading: bool
+    marks: tuple[int, ...]  # numbers of the furniture elements around it, from the outermost
+    article: int  # number of the outermost article around it, or else of the main element; 0 if there is none
+    headline: bool
+
+    @property
+    def mass(self) -> int:
+        return max(len(self.text) - 2 * self.linked, 0)
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)}
 
 
-def _is_chrome(tag: str, source: str, in_article: bool) -> bool:
-    if tag in _CHROME and not (tag == "header" and in_article):
-        return True
-    if not source or tag in ("html", "body", "article", "main") and "comment" not in source:
-        return False
-    a = _attributes(source)
-    if a.get("role", "").lower() in _CHROME_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    return any(w.lower() in _CHROME_WORDS for name in ("class", "id") if a.get(name) for w in _NAME.findall(_CAMEL.sub(" ", a[name])))
+def _furniture(tag: str, source: str, in_article: bool) -> str:
+    """What speaks for furniture: "hidden", "element", "word" or nothing."""
+    a = _attributes(source) if source else {}
+    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+        return "hidden"
+    if tag in _CHROME and not (tag == "header" and in_article) or a.get("role", "").lower() in _CHROME_ROLES:
+        return "element"
+    if tag in ("html", "body", "main") or tag == "article" and "comment" not in source:
+        return ""
+    for token in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = {w.lower() for w in _NAME.findall(_CAMEL.sub(" ", token))}
+        if words & _CHROME_WORDS and not (words & _TEXT_WORDS and words & _CHROME_WORDS <= {"header", "head"}):
+            return "word"
+    return ""
 
 
-def lines_of(html: str) -> list[Line]:
-    """The page's blocks in order, empty ones left out."""
+def lines_of(html: str) -> tuple[list[Line], dict[int, str], str]:
+    """The page's blocks in order, empty ones left out; what each furniture element was told by; the page's title."""
     out: list[Line] = []
-    stack: list[tuple[str, bool]] = []
+    told: dict[int, str] = {}
+    stack: list[tuple[str, int]] = []  # tag, number if furniture
     parts: list[str] = []
-    counts = {"chrome": 0, "article": 0, "main": 0, "a": 0}
-    linked = heading = 0
+    articles: list[int] = []
+    counts = {"article": 0, "main": 0, "a": 0, "h1": 0}
+    number = linked = 0
+    title = ""
 
     def flush() -> None:
-        nonlocal linked, heading
+        nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             parts.clear()
             if text:
-                out.append(Line(text, min(linked, len(text)), counts["chrome"] > 0, counts["article"] > 0, counts["main"] > 0, heading > 0))
+                out.append(Line(text, min(linked, len(text)), tuple(n for _, n in stack if n), articles[0] if articles else 0, counts["h1"] > 0))
         linked = 0
 
     def pop() -> None:
-        nonlocal heading
-        tag, chrome = stack.pop()
-        counts["chrome"] -= chrome
+        tag, _ = stack.pop()
         if tag in counts:
             counts[tag] -= 1
-        elif tag[0] == "h" and tag[1:].isdigit():
-            heading -= 1
+        if tag in ("article", "main"):
+            articles.pop()
 
     def text(part: str) -> None:
         nonlocal linked
@@ -136,56 +151,117 @@ def lines_of(html: str) -> list[Line]:
                         pop()
         if tag in _RAW:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+                end = _END[tag].search(html, at)
+                if tag == "title" and not title:
+                    title = " ".join(unescape(html[at : end.start() if end else n]).split())
                 # an unclosed one swallows the rest, as in a browser; svg and the like only where they close
                 at = end.end() if end else n if tag in ("script", "style", "title", "textarea") else at
             continue
         if tag in _VOID or m[3].endswith("/") and tag not in _BLOCK:
             continue
-        chrome = _is_chrome(tag, m[3], counts["article"] > 0)
-        stack.append((tag, chrome))
-        counts["chrome"] += chrome
+        why = _furniture(tag, m[3], counts["article"] + counts["main"] > 0)
+        number += 1
+        stack.append((tag, number if why else 0))
+        if why:
+            told[number] = why
         if tag in counts:
             counts[tag] += 1
-        elif tag[0] == "h" and tag[1:].isdigit():
-            heading += 1
+        if tag in ("article", "main"):
+            articles.append(number)
     flush()
-    return out
+    return out, told, title
+
+
+def _blocked(lines: list[Line], told: dict[int, str]) -> set[int]:
+    """Furniture elements whose mark stands.  A mark is lifted while its element would bring the page several times the
+    text that it has without, more times for an element that is furniture by its name, and where an article has text."""
+    stands = set(told)
+    within = {m for x in lines if x.article for m in x.marks}
+    while True:
+        have = in_article = 0
+        brings: dict[int, int] = {}
+        for x in lines:
+            marks = [m for m in x.marks if m in stands]
+            if not marks:
+                have += x.mass
+                in_article += x.mass if x.article else 0
+            elif len(marks) == 1:
+                brings[marks[0]] = brings.get(marks[0], 0) + x.mass
+            else:
+                # below several marks: what the outermost lifted would not bring yet counts for it by half
+                brings[marks[0]] = brings.get(marks[0], 0) + x.mass // 2
+        lift = 0
+        for m, mass in brings.items():
+            times, least = (3, 200) if told[m] == "word" else (8, 400)
+            if in_article and m not in within:
+                times *= 4
+            if told[m] != "hidden" and mass >= max(times * have, least) and mass > brings.get(lift, 0):
+                lift = m
+        if not lift:
+            return stands
+        stands.discard(lift)
 
 
-def _between(weights: list[int], window: int, surge: int, dive: int) -> tuple[int, int]:
-    """First surge and last dive: (begin, end), empty if the page never surges."""
+def _between(weights: list[float], walls: list[bool], window: int, surge: float, dive: float) -> tuple[int, int]:
+    """First surge and last dive: (begin, end), empty if the page never surges.  No window reaches over a wall."""
     n = len(weights)
-    sums, total = [], sum(weights[:window])
-    for i in range(n):
-        sums.append(total)
-        total += (weights[i + window] if i + window < n else 0) - weights[i]
-    begin = next((i for i in range(n) if sums[i] >= surge and weights[i] > 0), n)
-    end = begin
-    for i in range(begin, n):
-        if weights[i] > 0 and sum(weights[max(begin, i - window + 1) : i + 1]) > dive:
-            end = i + 1
+
+    def ahead(i: int) -> float:
+        total = 0.0
+        for j in range(i, min(i + window, n)):
+            if walls[j]:
+                break
+            total += weights[j]
+        return total
+
+    def back(i: int) -> float:
+        total = 0.0
+        for j in range(i, max(i - window, -1), -1):
+            if walls[j]:
+                break
+            total += weights[j]
+        return total
+
+    begin = next((i for i in range(n) if weights[i] > 0 and ahead(i) >= surge), n)
+    end = next((i + 1 for i in range(n - 1, begin - 1, -1) if weights[i] > 0 and back(i) >= dive), begin)
     return begin, end
 
 
-def main_text(html: str | None, window: int = 3, surge: int = 120, dive: int = 60) -> str:
-    """The article of one page: its blocks, white space squeezed, joined by \\n; "" for null or no text."""
-    lines = lines_of(html) if html else []
-    if any(x.article and not x.chrome for x in lines):
-        lines, surge, dive = [x for x in lines if x.article], 1, 0
-    elif any(x.main and not x.chrome for x in lines):
-        lines, surge, dive = [x for x in lines if x.main], 1, 0
-    own = [not x.chrome and (x.linked * 2 <= len(x.text) or surge == 1) for x in lines]
-    weights = [len(x.text) if ok else 0 for x, ok in zip(lines, own)]
-    begin, end = _between(weights, window, surge, dive)
+def main_text(html: str | None, window: int = 3, surge: float = 0.2, dive: float = 0.1) -> str:
+    """The article of one page: its blocks, white space squeezed, joined by \n; "" for null or no text.
+
+    surge, dive: shares of the greatest sum of a window's weights.
+    """
+    lines, told, title = lines_of(html) if html else ([], {}, "")
+    stands = _blocked(lines, told)
+    # menus without a mark: lines of links
+    own = [not any(m in stands for m in x.marks) and x.linked * 2 <= len(x.text) for x in lines]
+    weights = [float(x.mass) if ok else 0.0 for x, ok in zip(lines, own)]
+    peak = max((sum(weights[i : i + window]) for i in range(len(weights))), default=0.0)
+    walls = [any(m in stands and told[m] == "element" for m in x.marks) for x in lines]
+    begin, end = _between(weights, walls, window, max(surge * peak, 1.0), max(dive * peak, 1.0))
     if begin >= end:
-        begin, end = 0, len(lines)
-    # short lines next to the surge and the dive, with no furniture between, belong to the text
+        return ""
     while begin and own[begin - 1]:
         begin -= 1
     while end < len(lines) and own[end]:
         end += 1
-    return "\n".join(x.text for x, ok in zip(lines[begin:end], own[begin:end]) if ok)
+    kept = range(begin, end)
+    by_article: dict[int, float] = {}
+    for i in kept:
+        by_article[lines[i].article] = by_article.get(lines[i].article, 0.0) + weights[i]
+    marked = {a: w for a, w in by_article.items() if a}
+    if 2 * sum(marked.values()) >= sum(by_article.values()):
+        # links in an article's lines are part of it; a far smaller article beside is a teaser
+        most = max(marked.values())
+        some = {a for a, w in marked.items() if 4 * w >= most}
+        kept = [i for i, x in enumerate(lines) if x.article in some and not any(m in stands for m in x.marks)]
+    else:
+        heads = [i for i in kept if own[i] and lines[i].headline]
+        named = [i for i in heads if title and (title.startswith(lines[i].text[: len(title)]) or lines[i].text in title)]
+        heads = named or [i for i in heads if sum(weights[begin:i]) <= sum(weights[i:end])]
+        kept = [i for i in range(heads[0] if heads else begin, end) if own[i]]
+    return "\n".join(lines[i].text for i in kept)
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
