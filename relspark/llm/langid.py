@@ -1,7 +1,7 @@
 """Language identification with spans (operator 5).
 
-Letters are told apart by script ranges, which narrow each word's candidate languages to those written in it.  A
-word's score in a language is the sum of its letters' trigram log likelihoods; Viterbi over the words, with a penalty
+Letters are told apart by script ranges (runs of code points whose Unicode names begin with the same script), which
+narrow each word's candidate languages to those written in it; a word ends where the script changes.  A word's score in a language is the sum of its letters' trigram log likelihoods; Viterbi over the words, with a penalty
 for every switch, labels the spans of a mixed text.
 """
 
@@ -26,29 +26,41 @@ BUCKETS = 1 << 18
 CHUNK_CHARS = 1 << 19
 SEGMENT = 256
 
-# First code points of script ranges; a range reaches to the next.  0: no script of its own.
-SCRIPTS = (
-    (0x0000, 0), (0x0041, 1), (0x0250, 1), (0x0370, 2), (0x0400, 3), (0x0530, 4), (0x0590, 5), (0x0600, 6), (0x0700, 7), (0x0750, 6), (0x0780, 7),
-    (0x08A0, 6), (0x0900, 8), (0x0980, 9), (0x0A00, 10), (0x0A80, 11), (0x0B00, 12), (0x0B80, 13), (0x0C00, 14), (0x0C80, 15), (0x0D00, 16),
-    (0x0D80, 17), (0x0E00, 18), (0x0E80, 19), (0x0F00, 20), (0x1000, 21), (0x10A0, 22), (0x1100, 23), (0x1200, 24), (0x1E00, 1), (0x1F00, 2),
-    (0x2000, 0), (0x2C80, 2), (0x2DE0, 3), (0x2E80, 25), (0x3040, 26), (0x3100, 25), (0x3130, 23), (0x3400, 25), (0xA000, 0), (0xAC00, 23),
-    (0xD7B0, 0), (0xF900, 25), (0xFB00, 1), (0xFB1D, 5), (0xFB50, 6), (0xFE00, 0), (0xFE70, 6), (0xFF00, 1), (0xFFF0, 0), (0x20000, 25), (0x30000, 0),
-)
+# Words that follow or go before the script in the Unicode name of a letter, and what has no script.
+_GENERIC = frozenset("LETTER SMALL CAPITAL SYLLABLE SYLLABLES VOWEL CONSONANT SIGN IDEOGRAPH UNIFIED COMPATIBILITY CHARACTER DIGRAPH LIGATURE FINAL ITERATION VOICED SEMI-VOICED PROLONGED INDEPENDENT DEPENDENT HIEROGLYPH CHOSEONG JUNGSEONG JONGSEONG SYMBOL".split())
+_WIDTHS = frozenset("HALFWIDTH FULLWIDTH".split())
+_COMMON = frozenset("MODIFIER MATHEMATICAL DOUBLE-STRUCK SCRIPT BLACK-LETTER MICRO FEMININE MASCULINE KELVIN ANGSTROM OHM EULER PLANCK TURNED ROTATED INFORMATION ALEF BET GIMEL DALET SUPERSCRIPT SUBSCRIPT".split())
+_SAME = {"HIRAGANA": "KANA", "KATAKANA": "KANA", "KATAKANA-HIRAGANA": "KANA"}
 
 _tables: list[np.ndarray] = []
 
 
+def script_of(letter: str) -> str:
+    """The script in a letter's Unicode name; "" if it has none of its own."""
+    words = unicodedata.name(letter, "").split()
+    if words and words[0] in _WIDTHS:
+        words = words[1:]
+    if not words or words[0] in _COMMON:
+        return ""
+    end = next((i for i, w in enumerate(words) if i and w.split("-")[0] in _GENERIC), len(words))
+    name = " ".join(words[:end]) if end < len(words) else words[0].split("-")[0]
+    return _SAME.get(name, _SAME.get(words[0], name))
+
+
 def _letters_and_scripts() -> tuple[np.ndarray, np.ndarray]:
+    """By code point: 1 for letters, 2 for marks, 0 for all else; and the number of the script, 0 if there is none."""
     if not _tables:
-        letters = np.fromiter((chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)), bool, 0x110000)
-        starts = np.array([s for s, _ in SCRIPTS])
-        kinds = np.array([k for _, k in SCRIPTS], np.int64)
-        scripts = kinds[np.searchsorted(starts, np.arange(0x110000), side="right") - 1]
-        _tables.extend((letters, scripts.astype(np.uint8)))
+        kinds = np.fromiter((1 if chr(c).isalpha() else 2 if unicodedata.category(chr(c))[0] == "M" else 0 for c in range(0x110000)), np.uint8, 0x110000)
+        numbers: dict[str, int] = {"": 0}
+        scripts = np.zeros(0x110000, np.int64)
+        for c in np.flatnonzero(kinds == 1).tolist():
+            scripts[c] = numbers.setdefault(script_of(chr(c)), len(numbers))
+        _tables.extend((kinds, np.minimum(scripts, N_SCRIPTS - 1).astype(np.uint16)))
     return _tables[0], _tables[1]
 
 
-N_SCRIPTS = 1 + max(k for _, k in SCRIPTS)
+#: More than there are scripts.
+N_SCRIPTS = 512
 
 
 @dataclass
@@ -58,33 +70,47 @@ class Letters:
     buckets: np.ndarray
     scripts: np.ndarray
     word: np.ndarray  # first letter of each word, and the number of letters
+    script: np.ndarray  # of each word
     begin: np.ndarray  # code points
     end: np.ndarray
     first: np.ndarray  # first word of each text, and the number of words
 
 
 def _read(texts: list[str | None]) -> Letters:
-    letters, scripts = _letters_and_scripts()
+    kinds, scripts = _letters_and_scripts()
     lower = [t.lower() if t else "" for t in texts]
     # a few capitals change length when lowered; those texts are lowered letter by letter where that keeps it
     lower = [x if len(x) == len(t or "") else "".join(y if len(y := c.lower()) == 1 else c for c in t) for t, x in zip(texts, lower)]
     sizes = np.array([len(x) + 1 for x in lower])
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     code = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    is_letter = letters[code]
-    at = np.flatnonzero(is_letter)
-    sym = np.where(is_letter, code, 0).astype(np.uint64)
-    left = np.concatenate([np.zeros(1, np.uint64), sym[:-1]])
-    right = np.concatenate([sym[1:], np.zeros(1, np.uint64)])
-    tri = (left[at] << _U(42)) | (sym[at] << _U(21)) | right[at]
-    buckets = (mix(tri) % _U(BUCKETS)).astype(np.int64)
-    head = np.append(True, np.diff(at) > 1) if len(at) else np.zeros(0, bool)
+    kind = kinds[code]
+    is_letter = kind == 1
+    inside = kind > 0
+    # marks belong to the letter before them; those that follow no letter belong to no word
+    place = np.arange(len(code))
+    run = np.maximum.accumulate(np.where(inside & ~np.append(False, inside[:-1]), place, 0))
+    last_letter = np.maximum.accumulate(np.where(is_letter, place, -1))
+    inside &= last_letter >= run
+    # marks, and letters without a script, are written in that of the letter before
+    own = np.where(is_letter, scripts[code], 0)
+    before = np.maximum.accumulate(np.where(own > 0, place, -1))
+    script = np.where(before >= run, own[np.maximum(before, 0)], 0)
+    at = np.flatnonzero(inside)
+    here = script[at]
+    head = np.append(True, (np.diff(at) > 1) | (here[1:] != here[:-1]) & (here[1:] > 0) & (here[:-1] > 0)) if len(at) else np.zeros(0, bool)
+    tail = np.append(head[1:], True) if len(at) else head
+    sym = code[at].astype(np.uint64)
+    left = np.where(head, _U(0), np.concatenate([np.zeros(1, np.uint64), sym[:-1]])[: len(sym)])
+    right = np.where(tail, _U(0), np.concatenate([sym[1:], np.zeros(1, np.uint64)])[: len(sym)])
+    buckets = (mix((left << _U(42)) | (sym << _U(21)) | right) % _U(BUCKETS)).astype(np.int64)
     word = np.flatnonzero(head)
     begin = at[word]
     end = at[np.append(word[1:], len(at)) - 1] + 1 if len(word) else begin
     first = np.searchsorted(begin, offsets)
-    own = np.searchsorted(offsets, begin, side="right") - 1
-    return Letters(buckets, scripts[code[at]], np.append(word, len(at)), begin - offsets[own], end - offsets[own], first)
+    text = np.searchsorted(offsets, begin, side="right") - 1
+    by_word = np.maximum.reduceat(here, word) if len(word) else here
+    return Letters(buckets, here, np.append(word, len(at)), by_word, begin - offsets[text], end - offsets[text], first)
 
 
 def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -109,8 +135,8 @@ class Model:
 
 
 def train(docs: DataFrame, penalty: float = 8.0, alpha: float = 0.1, least_share: float = 0.01) -> Model:
-    """Counts every trigram of every row with a text and a lang.  What reaches the driver is bounded by
-    BUCKETS counts for each language, whatever the number of rows."""
+    """Counts every trigram of every row with a text and a lang; repeated rows count each.  What reaches the driver is
+    bounded by BUCKETS counts for each language, whatever the number of rows.  Without such rows nothing is learnt."""
     small_batches(docs.sparkSession)
     docs = docs.filter("lang is not null and text is not null").select("lang", "text")
 
@@ -152,89 +178,122 @@ def _scores(model: Model, x: Letters) -> np.ndarray:
         # at most CHUNK_CHARS letters at once, or one text
         per = np.add.reduceat(model.logp[x.buckets].astype(np.float64), x.word[:-1], axis=0)
         out[:] = per
-        can = model.written[x.scripts[x.word[:-1]]]
+        can = model.written[x.script]
         can |= ~can.any(axis=1, keepdims=True)  # a script that no language is written in narrows nothing
         out[~can] -= 1e4
     return out
 
 
+def _room(long: int, size: int) -> int:
+    """How many texts step together, so that what is remembered of `size` bytes a step stays within 4 MB."""
+    return max(1, min(256, 4_000_000 // max(long * size, 1)))
+
+
+def _short(scores: np.ndarray, starts: np.ndarray, lens: np.ndarray, penalty: float, labels: np.ndarray) -> None:
+    """Viterbi over texts of SEGMENT words at most, many at once."""
+    n_langs = scores.shape[1]
+    order = np.argsort(lens, kind="stable")
+    lo = 0
+    while lo < len(order):
+        # lengths ascend; the last of the block is its longest
+        hi = min(len(order), lo + 256)
+        hi = lo + min(hi - lo, _room(int(lens[order[hi - 1]]), 5 * n_langs))
+        seg = order[lo:hi]
+        lo, long = hi, int(lens[order[hi - 1]])
+        v = np.zeros((len(seg), n_langs))
+        moved = np.zeros((long, len(seg), n_langs), bool)
+        origin = np.zeros((long, len(seg)), np.int32)
+        for t in range(long):
+            k = int(np.argmax(lens[seg] > t))
+            if t:
+                origin[t, k:] = v[k:].argmax(axis=1)
+                least = (v[k:].max(axis=1) - penalty)[:, None]
+                moved[t, k:] = v[k:] < least
+                v[k:] = np.maximum(v[k:], least)
+            v[k:] += scores[starts[seg[k:]] + t]
+        state = v.argmax(axis=1)
+        for t in range(long - 1, -1, -1):
+            live = np.flatnonzero(lens[seg] > t)
+            labels[starts[seg[live]] + t] = state[live]
+            if t:
+                state[live] = np.where(moved[t, live, state[live]], origin[t, live], state[live])
+
+
 def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word: maximal sum of scores less a penalty for each switch inside a text.
 
-    Long texts are cut into segments, each solved for every language it may be entered with; the segments of a text
-    are then strung together, which gives the same labels as one pass.  All segments of a length class step at once.
+    Texts of over SEGMENT words are cut into segments, each solved for every language it may be entered with; the
+    segments of a text are then strung together, which gives the same labels as one pass.
     """
-    n_langs = scores.shape[1]
     labels = np.zeros(len(scores), np.int64)
-    starts, lens, heads = [], [], []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        heads.append((len(starts), (b - a + SEGMENT - 1) // SEGMENT))
-        for s in range(a, b, SEGMENT):
-            starts.append(s)
-            lens.append(min(SEGMENT, b - s))
-    if not starts:
-        return labels
-    starts, lens = np.array(starts), np.array(lens)
+    lens = np.diff(first)
+    few = np.flatnonzero((lens > 0) & (lens <= SEGMENT))
+    _short(scores, first[few], lens[few], penalty, labels)
+    for i in np.flatnonzero(lens > SEGMENT).tolist():
+        _long(scores, int(first[i]), int(first[i + 1]), penalty, labels)
+    return labels
+
+
+def _long(scores: np.ndarray, begin: int, end: int, penalty: float, labels: np.ndarray) -> None:
+    n_langs = scores.shape[1]
+    starts = np.arange(begin, end, SEGMENT)
+    lens = np.minimum(SEGMENT, end - starts)
     n = len(starts)
     through = np.empty((n, n_langs, n_langs))  # entered with, left with
-    back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    order = np.argsort(lens, kind="stable")
     enter = np.where(np.eye(n_langs, dtype=bool), 0.0, -penalty)
-    for lo in range(0, n, 256):
-        seg = order[lo : lo + 256]
-        long = int(lens[seg].max())
+    back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    room = _room(SEGMENT, 5 * n_langs * n_langs)
+    for lo in range(0, n, room):
+        seg = np.arange(lo, min(lo + room, n))[::-1]  # the last one may be short, and short ones come first
         v = np.broadcast_to(enter, (len(seg), n_langs, n_langs)).copy()
-        moved = np.zeros((long, len(seg), n_langs, n_langs), bool)
-        origin = np.zeros((long, len(seg), n_langs), np.uint8)
-        for t in range(long):
-            live = lens[seg] > t
-            k = int(np.argmax(live))  # lengths ascend: the live ones are at the end
-            at = starts[seg[k:]] + t
+        moved = np.zeros((SEGMENT, len(seg), n_langs, n_langs), bool)
+        origin = np.zeros((SEGMENT, len(seg), n_langs), np.int32)
+        for t in range(int(lens[seg].max())):
+            k = int(np.argmax(lens[seg] > t))
             if t:
-                best = v[k:].max(axis=2)
                 origin[t, k:] = v[k:].argmax(axis=2)
-                jump = v[k:] < (best - penalty)[:, :, None]
-                moved[t, k:] = jump
-                v[k:] = np.where(jump, (best - penalty)[:, :, None], v[k:])
-            v[k:] += scores[at][:, None, :]
+                least = (v[k:].max(axis=2) - penalty)[:, :, None]
+                moved[t, k:] = v[k:] < least
+                v[k:] = np.maximum(v[k:], least)
+            v[k:] += scores[starts[seg[k:]] + t][:, None, :]
         through[seg] = v
         back.append((seg, moved, origin))
     entered, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for i, count in heads:
-        if not count:
-            continue
-        value = through[i].max(axis=0) if count else None
-        came = [through[i].argmax(axis=0)]
-        for j in range(i + 1, i + count):
-            total = value[:, None] + through[j]
-            came.append(total.argmax(axis=0))
-            value = total.max(axis=0)
-        state = int(value.argmax())
-        for j in range(count - 1, -1, -1):
-            left[i + j] = state
-            state = int(came[j][state])
-            entered[i + j] = state
+    value = through[0].max(axis=0)
+    came = [through[0].argmax(axis=0)]
+    for j in range(1, n):
+        total = value[:, None] + through[j]
+        came.append(total.argmax(axis=0))
+        value = total.max(axis=0)
+    state = int(value.argmax())
+    for j in range(n - 1, -1, -1):
+        left[j] = state
+        state = int(came[j][state])
+        entered[j] = state
     for seg, moved, origin in back:
         state = left[seg].copy()
         for t in range(moved.shape[0] - 1, -1, -1):
             live = np.flatnonzero(lens[seg] > t)
             labels[starts[seg[live]] + t] = state[live]
-            if t:
+            if t and len(live):
                 e = entered[seg[live]]
                 jump = moved[t, live, e, state[live]]
                 state[live] = np.where(jump, origin[t, live, e], state[live])
-    return labels
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
     """(id_col, lang_pred, score, spans): the language of most letters, its share of the letters, and the spans
     (array of start, end in code points, lang), which cover the words in order.
 
-    A text without letters, or a null one, is `und` with score 0 and no spans; so is any, if nothing was learnt.
+    A text without letters (marks are none), or a null one, is `und` with score 0 and no spans; so is any, if nothing
+    was learnt.  Of languages with equally many letters the first by name is taken.  Rows that repeat an id are texts
+    of their own; a text of any length is read whole; columns of other names are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each language
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         langs = np.array(model.langs)
         for batch in batches:
             texts = batch["text"].to_pylist()
