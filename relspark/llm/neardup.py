@@ -309,10 +309,12 @@ def linked(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sig: S
     none = F.array().cast("array<struct<i:bigint,j:bigint,is_left:boolean>>")
     tiled = rows.select("key", "id", "comp", "stray", F.explode(F.concat(as_right, F.when(F.col("stray"), as_left).otherwise(none))).alias("t"))
     tile = ["key", "i", "j"]
+    # a tile's work is that of its pairs, not of its bytes: as many tasks as the session has for any shuffle
+    n_tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tiled = tiled.join(sets.select("id", "n", "sig", "hist"), "id").select("key", "t.i", "t.j", "t.is_left", "stray", "id", "comp", "n", "sig", "hist")
-    want = tiled.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_wanted(sig), "key long, i long, j long, is_left boolean, stray boolean, id long, comp long")
+    want = tiled.repartition(n_tasks, *tile).sortWithinPartitions(*tile).mapInArrow(_wanted(sig), "key long, i long, j long, is_left boolean, stray boolean, id long, comp long")
     want = keep(want, "wanted")
-    pairs = want.join(sets, "id").repartition(*tile).sortWithinPartitions(*tile).mapInArrow(_decided(sig), "a long, b long")
+    pairs = want.join(sets, "id").repartition(n_tasks, *tile).sortWithinPartitions(*tile).mapInArrow(_decided(sig), "a long, b long")
     more = keep(pairs, "links")
     for used in (shared, sets, mixed, want):
         drop(used)
