@@ -22,9 +22,9 @@ def html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
     # labels grow with the documents: never broadcast
-    return lm_score.score(docs, lm_score.fit(docs.join(good.hint("merge"), "doc_id", "left_semi"), docs))
+    return lm_score.score_within(docs.join(good.hint("merge"), "doc_id", "left"), "good")
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
