@@ -8,8 +8,10 @@ one passage and of the other anywhere, or `overlap` of the whole in one passage
 (so a changed word in a short answer does not hide a copy).  A question without its answer is not a leak.
 
 Passages are windows of two steps, a step being at least the longest item's length, so every stretch of an item's
-length lies inside one of them.  A passage is weighed against blocks of items at once first; the few blocks whose
-maxima could reach a threshold are searched by block-max WAND.
+length lies inside one of them.  As in WAND, an item's commonest words cannot make a pivot: those that together score
+no more than half its threshold are left out of the first look, which follows the postings of the other words only and
+asks each item for the rest of its threshold.  The blocks of the items that this leaves are searched by block-max WAND
+over all words.
 """
 
 from __future__ import annotations
@@ -28,7 +30,10 @@ from .store import small_batches
 from .text import _WEIGHTS, Words, chunks, mix
 
 _U = np.uint64
-BLOCK = 2
+#: Items of a block.
+BLOCK = 64
+#: Sums of the first look that are held at a time.
+SUMS = 2_000_000
 #: Items are indexed in shards of about so many characters: what a worker holds is bounded, and a larger benchmark
 #: takes more passes over the documents.
 SHARD_CHARS = 4_000_000
@@ -48,7 +53,9 @@ class Index:
     ids: list
     vocabulary: np.ndarray  # sorted word hashes
     postings: list[tuple[np.ndarray, np.ndarray]]  # by term: items ascending, impacts
-    block_max: np.ndarray  # (terms, blocks)
+    block_max: list[tuple[np.ndarray, np.ndarray]]  # by term: blocks that hold it, their greatest impacts
+    pivots: tuple[np.ndarray, np.ndarray, np.ndarray]  # where each term's begin; items, impacts
+    needed: np.ndarray  # by item: of its threshold what its pivots must bring
     thresholds: np.ndarray  # by item
     block_least: np.ndarray  # least threshold of each block
     whole: list[np.ndarray]  # shingle hashes
@@ -58,18 +65,24 @@ class Index:
     heavy: list[bool]  # whether the question scores more than the answer
     width: list[tuple[int, int, int]]  # words to a shingle, by item: of the whole, of the question, of the answer
     step: int
+    size: int  # items of a block
 
     def retrieve(self, terms: list[int], blocks: set[int]) -> list[tuple[int, float]]:
         """Block-max WAND: all items in the blocks that reach their thresholds, for a query of distinct terms."""
         found = []
         cursor = {t: 0 for t in terms}
-        most = {t: float(self.block_max[t].max()) for t in terms}
+        most = {t: float(self.block_max[t][1].max()) for t in terms}
         n = len(self.ids)
 
         def forward(t: int, item: int) -> None:
             items = self.postings[t][0]
             cursor[t] += int(np.searchsorted(items[cursor[t] :], item))
 
+        def greatest(t: int, block: int) -> float:
+            at_blocks, impacts = self.block_max[t]
+            i = int(np.searchsorted(at_blocks, block))
+            return float(impacts[i]) if i < len(at_blocks) and at_blocks[i] == block else 0.0
+
         at = lambda t: int(self.postings[t][0][cursor[t]]) if cursor[t] < len(self.postings[t][0]) else n
         least = min((float(self.block_least[b]) for b in blocks), default=math.inf)
         live = list(terms)
@@ -83,13 +96,13 @@ class Index:
                     break
             if pivot == n:
                 break
-            block = pivot // BLOCK
+            block = pivot // self.size
             upto = [t for t in live if at(t) <= pivot]
             # the block's own maxima: of all terms that may occur in it
-            if block not in blocks or sum(float(self.block_max[t, block]) for t in live if at(t) < (block + 1) * BLOCK) < self.block_least[block]:
+            if block not in blocks or sum(greatest(t, block) for t in live if at(t) < (block + 1) * self.size) < self.block_least[block]:
                 for t in live:
-                    if at(t) < (block + 1) * BLOCK:
-                        forward(t, (block + 1) * BLOCK)
+                    if at(t) < (block + 1) * self.size:
+                        forward(t, (block + 1) * self.size)
                 continue
             if at(live[0]) == pivot:
                 score = sum(float(self.postings[t][1][cursor[t]]) for t in live if at(t) == pivot)
@@ -133,15 +146,17 @@ def build(items: list[tuple[object, str]], overlap: float = 0.8, shingle: int =
         for t, f in zip(terms.tolist(), tf.tolist()):
             by_term[t].append((i, f))
     n_blocks = (len(ids) + BLOCK - 1) // BLOCK
-    block_max = np.zeros((len(vocabulary), n_blocks), np.float32)
-    postings, own = [], [[] for _ in ids]
+    postings, block_max, own, own_terms = [], [], [[] for _ in ids], [[] for _ in ids]
     for t, found in enumerate(by_term):
         idf = math.log(1 + (len(ids) - len(found) + 0.5) / (len(found) + 0.5))
         impacts = np.array([idf * f * (k1 + 1) / (f + k1 * (1 - b + b * len(tokens[i]) / mean)) for i, f in found], np.float32)
-        postings.append((np.array([i for i, _ in found]), impacts))
-        for (i, _), x in zip(found, impacts.tolist()):
+        at = np.array([i for i, _ in found])
+        postings.append((at, impacts))
+        head = np.flatnonzero(np.append(True, np.diff(at // BLOCK) > 0))
+        block_max.append((at[head] // BLOCK, np.maximum.reduceat(impacts, head)))
+        for i, x in zip(at.tolist(), impacts.tolist()):
             own[i].append(x)
-            block_max[t, i // BLOCK] = max(block_max[t, i // BLOCK], x)
+            own_terms[i].append(t)
     thresholds, heavy = np.zeros(len(ids)), []
 
     def least_score(i: int, part: np.ndarray) -> float:
@@ -156,10 +171,19 @@ def build(items: list[tuple[object, str]], overlap: float = 0.8, shingle: int =
         question, answer = least_score(i, h[:c]), least_score(i, h[c:])
         heavy.append(question > answer)
         thresholds[i] = min(least_score(i, h), max(question, answer))
+    needed, pivots = np.zeros(len(ids)), []
+    for i, (terms, x) in enumerate(zip(own_terms, map(np.array, own))):
+        order = np.argsort(x, kind="stable")
+        n = int(np.searchsorted(np.cumsum(x[order]), thresholds[i] / 2, side="right"))
+        needed[i] = (thresholds[i] - x[order[:n]].sum()) * (1 - 1e-5)
+        pivots.extend((terms[j], i, x[j]) for j in order[n:].tolist())
+    pivots.sort()
+    of, items_of, impacts_of = (np.array(c) for c in zip(*pivots))
+    pivots = (np.searchsorted(of, np.arange(len(vocabulary) + 1)), items_of, impacts_of)
     least = np.array([thresholds[j * BLOCK : (j + 1) * BLOCK].min() for j in range(n_blocks)])
     whole = [np.unique(_shingles(h, shingle)) for h in tokens]
     parts = [(np.unique(_shingles(h[:c], shingle)), np.unique(_shingles(h[c:], shingle))) for h, c in zip(tokens, cuts)]
-    return Index(ids, vocabulary, postings, block_max, thresholds, least, whole, [p[0] for p in parts], [p[1] for p in parts], [np.unique(h[c:]) for h, c in zip(tokens, cuts)], heavy, [(min(shingle, len(h)), min(shingle, c), min(shingle, len(h) - c)) for h, c in zip(tokens, cuts)], max(64, max(map(len, tokens))))
+    return Index(ids, vocabulary, postings, block_max, pivots, needed, thresholds, least, whole, [p[0] for p in parts], [p[1] for p in parts], [np.unique(h[c:]) for h, c in zip(tokens, cuts)], heavy, [(min(shingle, len(h)), min(shingle, c), min(shingle, len(h) - c)) for h, c in zip(tokens, cuts)], max(64, max(map(len, tokens))), BLOCK)
 
 
 def _share(part: np.ndarray, seen: np.ndarray) -> float:
@@ -176,6 +200,25 @@ def _half_of_words(answer: np.ndarray, hashes: np.ndarray) -> bool:
     return 2 * np.isin(answer, hashes).sum() >= len(answer)
 
 
+def _pivots(index: Index, terms: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, set[int]]]:
+    """(query, blocks to look at) of queries with the terms [begin, next begin): of items whose pivots bring enough."""
+    of, items, impacts = index.pivots
+    n = len(index.ids)
+    each = max(1, SUMS // n)
+    for lo in range(0, len(begin) - 1, each):
+        hi = min(lo + each, len(begin) - 1)
+        part = terms[begin[lo] : begin[hi]]
+        query = np.repeat(np.arange(hi - lo), np.diff(begin[lo : hi + 1]))
+        size = of[part + 1] - of[part]
+        if not size.any():
+            continue
+        at = np.arange(size.sum()) + np.repeat(of[part] - np.cumsum(size) + size, size)
+        sums = np.bincount(np.repeat(query, size) * n + items[at], weights=impacts[at], minlength=(hi - lo) * n).reshape(-1, n)
+        rows, hits = np.nonzero(sums >= index.needed)
+        for q in np.unique(rows).tolist():
+            yield lo + q, set((hits[rows == q] // index.size).tolist())
+
+
 def search(index: Index, words: Words, overlap: float, slots: np.ndarray) -> Iterator[tuple[int, int, float, float, float, float]]:
     """(text, item, score, overlap, question overlap, answer overlap) for every passage that holds an item, or its
     heavier part while the text holds the other."""
@@ -204,10 +247,9 @@ def search(index: Index, words: Words, overlap: float, slots: np.ndarray) -> Ite
     begin = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
     texts: dict[int, np.ndarray] = {}  # of the text at hand, its shingles by width
     at_hand = -1
-    could = np.add.reduceat(index.block_max[t], begin, axis=0) >= index.block_least * (1 - 1e-4)
-    for p in np.flatnonzero(could.any(axis=1)).tolist():
+    for p, blocks in _pivots(index, t, np.append(begin, len(t))):
         terms = t[begin[p] : begin[p + 1] if p + 1 < len(begin) else None].tolist()
-        found = index.retrieve(terms, set(np.flatnonzero(could[p]).tolist()))
+        found = index.retrieve(terms, blocks)
         if not found:
             continue
         at = int(passage[begin[p]])
