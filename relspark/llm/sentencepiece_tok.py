@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -183,9 +184,9 @@ class Pieces:
         self.buffer = np.frombuffer(b"".join(raw), np.uint8)
         self.prefix = m.add_dummy_prefix
 
-    def decode(self, ids: list[list[int]]) -> list[bytes]:
-        """UTF-8 of each list of ids, without the leading space that encoding added."""
-        flat = np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids)))
+    def decode(self, ids: list) -> list[bytes]:
+        """UTF-8 of each sequence of ids, without the leading space that encoding added."""
+        flat = np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, np.int32) for x in ids)])
         size = self.size[flat]
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[flat] - (ends - size), size)
@@ -195,10 +196,11 @@ class Pieces:
         return [x[1:] if self.prefix and x[:1] == b" " else x for x in texts]
 
 
-_ready: dict[bytes, object] = {}
+_ready: dict[bytes, tuple] = {}
 
 
-def _tokenizer(data: bytes, threads: int):
+def _tokenizer(data: bytes, threads: int) -> tuple:
+    """The tokenizer, compared with the library, and the table of pieces; made once in a worker."""
     key = hashlib.sha256(data).digest()
     if key not in _ready:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -206,7 +208,7 @@ def _tokenizer(data: bytes, threads: int):
         t = build(parse(data))
         if bad := differences(data, list(PROBES), t):
             raise RuntimeError(f"the rebuilt tokenizer differs from the model on {bad!r}")
-        _ready[key] = t
+        _ready[key] = (t, Pieces(parse(data)))
     return _ready[key]
 
 
@@ -222,41 +224,48 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2, batch_chars: int = 2
     """docs with ids (array of int), n_tokens (long) and round_trip (boolean: decoding gives the text again, the
     marker character itself counting as a space) added; columns of these names are replaced.
 
-    A null text has null ids, no tokens and a null round_trip; an empty one has empty ids.  Texts are encoded whole.
+    A null text has null ids, no tokens and a null round_trip; an empty one has empty ids.  Texts are encoded whole,
+    whatever their length; repeated rows come back each; an empty table stays empty.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("ids", "n_tokens", "round_trip")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, table = _tokenizer(model, threads), Pieces(parse(model))
+        t, table = _tokenizer(model, threads)
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            ids, same = [], []
+            column = batch["text"]
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+            flat, counts, same = [], [], []
             at = 0
-            while at < len(texts):
+            while at < batch.num_rows:
                 end, size = at, 0
-                while end < len(texts) and (end == at or size < batch_chars):
-                    size += len(texts[end] or "")
+                while end < batch.num_rows and (end == at or size < batch_chars):
+                    size += int(sizes[end])
                     end += 1
-                part = [x or "" for x in texts[at:end]]
-                found = [e.ids for e in t.encode_batch_fast(part, add_special_tokens=False)]
-                back = table.decode(found)
-                ids += [None if x is None else i for x, i in zip(texts[at:end], found)]
-                same += [None if x is None else x.encode().replace(_MARK_BYTES, b" ") == y for x, y in zip(texts[at:end], back)]
+                texts = [x or "" for x in column.slice(at, end - at).to_pylist()]
+                # numbers, not objects, are what is held until the batch is done
+                found = [np.array(e.ids, np.int32) for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+                same += [x.encode().replace(_MARK_BYTES, b" ") == y for x, y in zip(texts, table.decode(found))]
+                counts += map(len, found)
+                flat.append(np.concatenate(found))
                 at = end
-            counts = [len(i or ()) for i in ids]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.int64()), pa.array(same, pa.bool_())], [*batch.schema.names, "ids", "n_tokens", "round_trip"])
+            null = column.is_null()
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32(), mask=np.append(null.to_numpy(zero_copy_only=False), False))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+            trip = pa.array(same, pa.bool_(), mask=null.to_numpy(zero_copy_only=False)) if len(null) else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(counts, pa.int64()), trip], [*batch.schema.names, "ids", "n_tokens", "round_trip"])
 
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("ids array<int>, n_tokens long, round_trip boolean").fields])
     return docs.mapInArrow(rows, schema)
 
 
 def decode(rows: DataFrame, model: bytes, threads: int = 2) -> DataFrame:
-    """rows with text (string) from ids; null ids give a null text."""
+    """rows with text (string) from ids; null ids give a null text, empty ones an empty text.  A column of that name is
+    replaced; repeated rows come back each, ids of any number are one text, an empty table stays empty."""
     rows = rows.drop("text")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _tokenizer(model, threads)
+        t, _ = _tokenizer(model, threads)
         for batch in batches:
             ids = batch["ids"].to_pylist()
             out = t.decode_batch([i or [] for i in ids], skip_special_tokens=False)
