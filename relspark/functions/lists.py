@@ -77,10 +77,27 @@ def fold(xs: Column, start: Column, merge) -> Column:
     return F.aggregate(xs, start, merge)
 
 
+def map_merge(a: Column, b: Column, merge, default: Column) -> Column:
+    """Two maps as one: values of keys that both have are merged, a missing one counts as the default."""
+    return F.map_zip_with(a, b, lambda _, x, y: merge(F.coalesce(x, default), F.coalesce(y, default)))
+
+
+def map_append(xs: Column, f) -> Column:
+    """The lists that f makes of each element, one after the other."""
+    return F.flatten(F.transform(xs, f))
+
+
 def bytes_to_list(value: Column) -> Column:
     """The bytes of a binary as numbers."""
     hexed = F.hex(value)
-    return F.transform(F.sequence(F.lit(0), F.octet_length(value) - 1), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    # a sequence from 0 to -1 would descend
+    places = F.when(F.octet_length(value) > 0, F.sequence(F.lit(0), F.octet_length(value) - 1)).when(value.isNotNull(), F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+
+
+def bytes_ref(value: Column, i: Column) -> Column:
+    """The byte at a 0-based place as a number; null beyond the ends."""
+    return F.get(bytes_to_list(value), i)
 
 
 def list_to_bytes(xs: Column) -> Column:

@@ -12,20 +12,28 @@ from pyspark.sql import functions as F
 #: Ranks of the kinds of terms in their order.
 RANK = {"null": 0, "number": 1, "symbol": 2, "string": 3, "bytes": 4, "pair": 5, "vector": 6, "boolean": 7}
 
-TERM = "struct<rank:tinyint,num:decimal(38,9),txt:string,bin:binary,size:int,items:array<string>>"
+_ATOM = "struct<rank:tinyint,num:decimal(38,9),txt:string,bin:binary>"
+TERM = f"struct<rank:tinyint,num:decimal(38,9),txt:string,bin:binary,size:int,items:array<{_ATOM}>>"
 
 
-def term(kind: str, value: Column | None = None) -> Column:
-    """A value of one kind as a mixed term.  Items of pairs and vectors are given as text."""
+def _atom(kind: str, value: Column) -> Column:
     num = value.cast("decimal(38,9)") if kind == "number" else value.cast("int").cast("decimal(38,9)") if kind == "boolean" else F.lit(None)
-    items = value.cast("array<string>") if kind in ("pair", "vector") else F.lit(None)
+    txt = value if kind in ("symbol", "string") else F.lit(None)
+    return F.struct(F.lit(RANK[kind]).cast("tinyint").alias("rank"), num.cast("decimal(38,9)").alias("num"), txt.cast("string").alias("txt"), (value if kind == "bytes" else F.lit(None)).cast("binary").alias("bin"))
+
+
+def term(kind: str, value: Column | None = None, items: str = "string") -> Column:
+    """A value of one kind as a mixed term.  Pairs and vectors are given as arrays, whose elements, of the kind `items`,
+    are ordered as terms of their own."""
+    num = value.cast("decimal(38,9)") if kind == "number" else value.cast("int").cast("decimal(38,9)") if kind == "boolean" else F.lit(None)
+    held = F.transform(value, lambda x: _atom(items, x)) if kind in ("pair", "vector") else F.lit(None)
     parts = {
         "rank": F.lit(RANK[kind]).cast("tinyint"),
         "num": num.cast("decimal(38,9)"),
         "txt": (value if kind in ("symbol", "string") else F.lit(None)).cast("string"),
         "bin": (value if kind == "bytes" else F.lit(None)).cast("binary"),
         "size": (F.size(value) if kind == "vector" else F.lit(None)).cast("int"),
-        "items": items.cast("array<string>"),
+        "items": held.cast(f"array<{_ATOM}>"),
     }
     return F.struct(*(c.alias(k) for k, c in parts.items()))
 

@@ -7,39 +7,66 @@ survives lost executors.  Only row counts reach the driver.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import keep
+from ..storage import drop, keep
 
 
 class NoFixpoint(RuntimeError):
     """The round limit was reached while rows were still new."""
 
 
-def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], rounds: int = 1000) -> DataFrame:
-    """Least set that holds seed and step(delta, total), where step may look at the last round's new rows only."""
-    total = delta = keep(seed.distinct(), "delta")
-    for _ in range(rounds):
+#: Rounds whose new rows are tables of their own before they are made one.
+MERGED = 16
+
+
+def _rounds(limit: int | None):
+    return count() if limit is None else range(limit)
+
+
+def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], rounds: int | None = None, stop: bool = False) -> DataFrame:
+    """Least set that holds seed and step(delta, total), where step may look at the last round's new rows only.
+
+    A step that makes no new values ends by itself; for any other, rounds is the limit, at which it is an error that
+    rows are still new, or, with stop, what there is by then is the result."""
+    parts = [keep(seed.distinct(), "delta")]
+    total = delta = parts[0]
+    for _ in _rounds(rounds):
         if delta.isEmpty():
             return total
         delta = keep(step(delta, total).select(total.columns).distinct().join(total, total.columns, "left_anti"), "delta")
-        total = total.unionByName(delta)
+        parts.append(delta)
+        if len(parts) > MERGED:
+            one = keep(reduce(DataFrame.unionByName, parts), "total")
+            for p in parts[:-1]:
+                drop(p)
+            # the new rows stay a table of their own for the next step
+            parts, total = [one], one
+        else:
+            total = total.unionByName(delta)
+    if stop:
+        return total
     raise NoFixpoint(f"rows were still new after {rounds} rounds")
 
 
-def best_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, least: bool = True, rounds: int = 1000) -> DataFrame:
+def best_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, least: bool = True, rounds: int | None = None) -> DataFrame:
     """Each key's least (or greatest) value, where better values go on to make others."""
     best = F.min if least else F.max
     total = delta = keep(seed.groupBy(*keys).agg(best(value).alias(value)), "delta")
-    for _ in range(rounds):
+    for _ in _rounds(rounds):
         if delta.isEmpty():
             return total
+        before = (total, delta)
         new = step(delta).groupBy(*keys).agg(best(value).alias("__new"))
         better = F.col(value).isNull() | (F.col("__new") < F.col(value) if least else F.col("__new") > F.col(value))
         delta = keep(new.join(total, keys, "left").filter(better).select(*keys, F.col("__new").alias(value)), "delta")
         total = keep(total.unionByName(delta).groupBy(*keys).agg(best(value).alias(value)), "total")
+        for old in {x._kept_at: x for x in before}.values():
+            drop(old)
     raise NoFixpoint(f"values still improved after {rounds} rounds")
 
 
@@ -58,11 +85,12 @@ def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return fixpoint(edges, step)
 
 
-def reach(edges: DataFrame, sources: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(source, b): what each source reaches; only the sources' part of the closure is worked out."""
+def reach(edges: DataFrame, sources: DataFrame, a: str = "a", b: str = "b", steps: int | None = None) -> DataFrame:
+    """(source, b): what each source reaches, in so many steps at most if given; only the sources' part of the closure
+    is worked out."""
     hop = edges.select(F.col(a).alias("m"), F.col(b).alias("to")).distinct()
     start = sources.toDF("source").join(hop, F.col("source") == F.col("m")).select("source", F.col("to").alias("b"))
-    return fixpoint(start, lambda delta, _: delta.join(hop, F.col("b") == F.col("m")).select("source", F.col("to").alias("b")))
+    return fixpoint(start, lambda delta, _: delta.join(hop, F.col("b") == F.col("m")).select("source", F.col("to").alias("b")), None if steps is None else steps - 1, stop=True)
 
 
 def shortest(edges: DataFrame, sources: DataFrame | None = None, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:
@@ -74,6 +102,27 @@ def shortest(edges: DataFrame, sources: DataFrame | None = None, a: str = "a", b
     return best_fixpoint(start, lambda x: x.join(hop, F.col("b") == F.col("m")).select("a", F.col("to").alias("b"), (F.col("d") + F.col("w")).alias("d")), ["a", "b"], "d")
 
 
+def shortest_routes(edges: DataFrame, sources: DataFrame | None = None, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:
+    """(a, b, d, route): shortest() with the nodes of a path of that total, both ends included; of several paths the one
+    that comes, seen from its end, from the least node each time.  Weights must be positive."""
+    best = keep(shortest(edges, sources, a, b, d), "best")
+    hop = keep(edges.groupBy(F.col(a).alias("c"), F.col(b).alias("b")).agg(F.min(d).alias("w")), "hops")
+    direct = best.join(hop, (best.a == hop.c) & (best.b == hop.b) & (best.d == hop.w)).select(best.a, best.b, F.col("c"))
+    before = best.select(F.col("a").alias("a2"), F.col("b").alias("c2"), F.col("d").alias("d2"))
+    through = best.join(hop, "b").join(before, (F.col("a") == F.col("a2")) & (F.col("c") == F.col("c2")) & (F.col("d2") + F.col("w") == F.col("d"))).select("a", "b", "c")
+    last = keep(direct.union(through).groupBy("a", "b").agg(F.min("c").alias("c")), "last")
+    now = best.select("a", "b", "d", F.col("b").alias("at"), F.array("b").alias("route"), F.lit(False).alias("done"))
+    step = last.select(F.col("a").alias("pa"), F.col("b").alias("pb"), F.col("c").alias("pc"))
+    out = None
+    while True:
+        now = keep(now.join(step, (F.col("a") == F.col("pa")) & (F.col("at") == F.col("pb"))).select("a", "b", "d", F.col("pc").alias("at"), F.concat(F.array("pc"), "route").alias("route"), (F.col("pc") == F.col("a")).alias("done")), "routes")
+        ended = now.filter("done").select("a", "b", "d", "route")
+        out = ended if out is None else out.union(ended)
+        now = now.filter("not done")
+        if now.isEmpty():
+            return out
+
+
 def routes(edges: DataFrame, below, sources: DataFrame | None = None, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:
     """(a, b, d) of all walks with a total below the bound."""
     hop = edges.select(F.col(a).alias("m"), F.col(b).alias("to"), F.col(d).alias("w")).distinct()
@@ -90,8 +139,8 @@ def classes(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     a component's width rather than with the width.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = keep(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
-    label = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "label")
+    both = both_kept = keep(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
+    label = last = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "label")
     while True:
         near = both.join(label.withColumnsRenamed({"u": "v"}), "v").groupBy("u").agg(F.min("l").alias("n"))
         step = label.join(near, "u").select("u", F.col("l").alias("old"), F.least("l", "n").alias("l"))
@@ -100,7 +149,10 @@ def classes(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         hook = step.groupBy(F.col("old").alias("k")).agg(F.min("l").alias("hooked"))
         step = step.join(jump, F.col("l") == F.col("k"), "left").drop("k").join(hook, F.col("old") == F.col("k"), "left")
         step = keep(step.select("u", "old", F.least("l", F.coalesce("up", "l"), F.coalesce("hooked", "l")).alias("l")), "label")
+        drop(last)
+        last = step
         if step.filter("l != old").isEmpty():
+            drop(both_kept)
             return step.select(F.col("u").alias("member"), F.col("l").alias("representative"))
         label = step.select("u", "l")
 
@@ -112,7 +164,8 @@ def strong_pairs(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def levels(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
-    """(node, level): the most edges on a path from the node; the graph must have no cycles."""
+    """(node, level): the most edges on a path from the node; the graph must have no cycles (rounds: where one is
+    taken for a cycle)."""
     pairs = edges.select(F.col(a).alias("p"), F.col(b).alias("node")).distinct()
     nodes = pairs.select("node").union(pairs.select("p")).distinct().withColumn("level", F.lit(0).cast("long"))
     return best_fixpoint(nodes, lambda x: x.join(pairs, "node").select(F.col("p").alias("node"), (F.col("level") + 1).alias("level")), ["node"], "level", least=False, rounds=rounds)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,9 +159,18 @@ def seek_le(df: DataFrame, key: str, high, inclusive: bool = True) -> DataFrame:
 
 
 def sorted_strictly(df: DataFrame, order: Names, position: str) -> bool:
-    """Whether rows, in the order of position, ascend strictly."""
-    w = Window.orderBy(position)
-    return df.withColumn("__ok", (F.struct(*order) > F.lag(F.struct(*order)).over(w)) | (F.row_number().over(w) == 1)).filter("not __ok").isEmpty()
+    """Whether rows, in the order of position, ascend strictly.  Rows are compared inside ranges of positions, and the
+    ranges by their first and last rows, so no task gets all of them."""
+    from ..storage import drop, keep
+
+    dealt = keep(df.select(F.struct(*order).alias("v"), F.col(position).alias("at")).repartitionByRange("at").withColumn("__part", F.spark_partition_id()), "ranges")
+    w = Window.partitionBy("__part").orderBy("at")
+    inside = dealt.withColumn("__ok", (F.col("v") > F.lag("v").over(w)) | (F.row_number().over(w) == 1)).filter("not __ok").isEmpty()
+    ends = dealt.groupBy("__part").agg(F.min_by("v", "at").alias("low"), F.max_by("v", "at").alias("high"))
+    # one row for each range
+    across = ends.withColumn("__ok", (F.col("low") > F.lag("high").over(Window.orderBy("__part"))) | (F.row_number().over(Window.orderBy("__part")) == 1)).filter("not __ok").isEmpty()
+    drop(dealt)
+    return inside and across
 
 
 # groups
@@ -175,9 +185,24 @@ def fold(df: DataFrame, on: Names, **aggregates: Column) -> DataFrame:
     return df.groupBy(*on).agg(*(c.alias(k) for k, c in aggregates.items()))
 
 
-def merge(df: DataFrame, by: str) -> DataFrame:
+@dataclass(frozen=True)
+class Merge:
+    """A merge of one's own: an aggregate of a column that is associative and commutative.  An idempotent one, in which
+    a value met again changes nothing, may stand inside a recursion."""
+
+    aggregate: Callable[[str], Column]
+    idempotent: bool = False
+
+
+def is_idempotent(by: str | Merge) -> bool:
+    return by.idempotent if isinstance(by, Merge) else by in IDEMPOTENT
+
+
+def merge(df: DataFrame, by: str | Merge) -> DataFrame:
     """Facts that agree in all columns but the last become one, their last values merged."""
     *keys, last = df.columns
+    if isinstance(by, Merge):
+        return df.groupBy(*keys).agg(by.aggregate(last).alias(last))
     return top_merge(df, keys, last, by) if "_" in by and by.split("_")[0] in ("top", "bottom") else df.groupBy(*keys).agg(MERGES[by](last).alias(last))
 
 
@@ -209,3 +234,61 @@ def greatest_by_negation(df: DataFrame, on: Names, value: str) -> DataFrame:
     for c in on:
         condition = condition & (F.col(f"a.{c}") == F.col(f"b.{c}"))
     return a.join(b, condition, "left_anti")
+
+
+def least_with(df: DataFrame, on: Names, order: str, value: str, into: str, greatest: bool = False) -> DataFrame:
+    """Each key's value at its least (greatest) order; of several the least."""
+    rank = F.struct(F.col(order), F.col(value))
+    if greatest:
+        most = df.groupBy(*on).agg(F.max(order).alias("__most"))
+        return df.join(most, list(on)).filter(F.col(order) == F.col("__most")).groupBy(*on).agg(F.min(value).alias(into))
+    return df.groupBy(*on).agg(F.min(rank)[value].alias(into))
+
+
+def lookup(df: DataFrame, keys: DataFrame, on: Names, missing: dict) -> DataFrame:
+    """The row of each key asked for; where there is none, the values of missing."""
+    return keys.select(*on).distinct().join(df, list(on), "left").fillna(missing)
+
+
+def pop_least(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of the least key, and the others."""
+    least = df.agg(F.min(key).alias("__least"))
+    first = df.join(F.broadcast(least), F.col(key) == F.col("__least"), "left_semi")
+    return first, df.join(F.broadcast(least), F.col(key) == F.col("__least"), "left_anti")
+
+
+def zip_rows(left: DataFrame, right: DataFrame, left_order: Names, right_order: Names) -> DataFrame:
+    """Rows of the same position side by side, as many as the shorter has."""
+    return row_position(left, left_order).join(row_position(right, right_order), "position")
+
+
+def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Attributes by new names; unknown ones are an error."""
+    if unknown := set(names) - set(df.columns):
+        raise KeyError(f"no attribute {', '.join(sorted(unknown))}")
+    return df.withColumnsRenamed(names)
+
+
+def keep_attributes(df: DataFrame, names: Names) -> DataFrame:
+    """Only these attributes, as a set."""
+    return df.select(*names).distinct()
+
+
+def drop_attributes(df: DataFrame, names: Names) -> DataFrame:
+    if unknown := set(names) - set(df.columns):
+        raise KeyError(f"no attribute {', '.join(sorted(unknown))}")
+    return df.drop(*names).distinct()
+
+
+def reorder_attributes(df: DataFrame, names: Names) -> DataFrame:
+    """The same attributes in another order."""
+    if sorted(names) != sorted(df.columns):
+        raise ValueError(f"not an order of {', '.join(df.columns)}")
+    return df.select(*names)
+
+
+def statistics(df: DataFrame, columns: Names) -> DataFrame:
+    """(attribute, cardinality, ratio): how many values each has, and how many for each row.  One pass."""
+    counts = df.agg(F.count("*").alias("__rows"), *(F.countDistinct(c).alias(f"__{c}") for c in columns))
+    rows = F.array(*(F.struct(F.lit(c).alias("attribute"), F.col(f"__{c}").alias("cardinality"), (F.col(f"__{c}") / F.col("__rows")).alias("ratio")) for c in columns))
+    return counts.select(F.inline(rows))

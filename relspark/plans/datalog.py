@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.recursion import NoFixpoint
-from ..operators.relational import IDEMPOTENT, merge
+from ..operators.relational import Merge, is_idempotent, merge
 from ..storage import keep
 from .analyze import UnsafeFormulaError, stratify
 from .compile import Relation, query, query_bag
-from .formula import ANY, And, Compare, Compute, Formula, Not, Rel, Var, free
+from .formula import ANY, TRUE, And, Compare, Compute, Domain, Exists, Formula, Not, Or, Rel, Solve, Var, free
+from .rewrite import simplify
 
 
 @dataclass(frozen=True)
@@ -27,19 +29,35 @@ class Rule:
 
 @dataclass
 class Program:
-    """rules; merges: how the facts of a predicate that agree in all but the last argument are merged; once: predicates
-    whose rules run a single time, as merges that are not idempotent must."""
+    """rules; merges: how the facts of a predicate that agree in all but the last argument are merged (a name, or a
+    Merge of one's own); once: predicates whose rules run a single time, as merges that are not idempotent must."""
 
     rules: list[Rule]
-    merges: dict[str, str] = field(default_factory=dict)
+    merges: dict[str, str | Merge] = field(default_factory=dict)
     once: set[str] = field(default_factory=set)
 
 
-_TOKEN = re.compile(r"""\s*(?:(?P<text>"[^"]*"|'[^']*')|(?P<number>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z][A-Za-z0-9_]*)|(?P<op>:-|<=|>=|!=|=|<|>|\(|\)|,|\.(?!\d)|_))""")
+_TOKEN = re.compile(r"""\s*(?:(?P<text>"[^"]*"|'[^']*')|(?P<number>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z][A-Za-z0-9_]*)|(?P<op>:-|<=|>=|!=|=|<|>|\(|\)|,|\.(?!\d)|_|[-+*/]))""")
+_ARITHMETIC: dict[str, Callable] = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / b}
+
+
+@dataclass(frozen=True)
+class _Sum:
+    """A term of arithmetic: its variables and constants, and what makes a column of theirs."""
+
+    inputs: tuple
+    column: Callable
+
+    @staticmethod
+    def of(op: str, left: Any, right: Any) -> _Sum:
+        a, b = (x if isinstance(x, _Sum) else _Sum((x,), lambda c: c) for x in (left, right))
+        n = len(a.inputs)
+        return _Sum(a.inputs + b.inputs, lambda *c: _ARITHMETIC[op](a.column(*c[:n]), b.column(*c[n:])))
 
 
 def parse(source: str) -> list[Rule]:
-    """Rules such as  path(X, Z) :- path(X, Y), edge(Y, Z), not bad(Z), X != Z.
+    """Rules such as  path(X, Z) :- path(X, Y), edge(Y, Z), not bad(Z), X != Z.  Terms of + - * / stand on either side
+    of a comparison, as in  near(B, D) :- near(C, E), road(C, B, W), D = E + W.
 
     Names in capitals are variables, _ is anonymous, quoted texts and numbers are constants; % begins a comment.
     """
@@ -84,10 +102,36 @@ def parse(source: str) -> list[Rule]:
                 args.append(term())
             take(")")
             return Rel(name, tuple(args))
-        left, op, right = term(), take()[1], term()
+        left, op, right = expression(), take()[1], expression()
         if op in (">", ">="):
             left, right, op = right, left, op.replace(">", "<")
-        return Compare("==" if op == "=" else op, left, right)
+        op = "==" if op == "=" else op
+        if not isinstance(left, _Sum) and not isinstance(right, _Sum):
+            return Compare(op, left, right)
+        if op == "==" and isinstance(left, Var):
+            return Compute(right.column, right.inputs, left)
+        if op == "==" and isinstance(right, Var):
+            return Compute(left.column, left.inputs, right)
+        a, b = (x if isinstance(x, _Sum) else _Sum((x,), lambda c: c) for x in (left, right))
+        n = len(a.inputs)
+        test = {"==": lambda x, y: x == y, "!=": lambda x, y: x != y, "<": lambda x, y: x < y, "<=": lambda x, y: x <= y}[op]
+        return Compute(lambda *c: test(a.column(*c[:n]), b.column(*c[n:])), a.inputs + b.inputs)
+
+    def product() -> Any:
+        out = term()
+        while i < len(tokens) and tokens[i][1] in ("*", "/"):
+            out = _Sum.of(take()[1], out, term())
+        return out
+
+    def expression() -> Any:
+        out = product()
+        while i < len(tokens) and (tokens[i][1] in ("+", "-") or tokens[i][0] == "number" and tokens[i][1][0] == "-"):
+            if tokens[i][0] == "number":  # X -1
+                tokens[i] = ("number", tokens[i][1][1:])
+                out = _Sum.of("-", out, product())
+            else:
+                out = _Sum.of(take()[1], out, product())
+        return out
 
     rules = []
     while i < len(tokens):
@@ -121,13 +165,13 @@ def _used(f: Formula, negated: bool = False) -> list[tuple[str, bool]]:
             return _used(part, True)
         case And(parts):
             return [x for p in parts for x in _used(p, negated)]
-        case Compare() | Compute():
+        case Compare() | Compute() | Domain() | Solve():
             return []
     parts = getattr(f, "parts", None) or (getattr(f, "part", None),)
     return [x for p in parts if p is not None for x in _used(p, True)]
 
 
-def run(program: Program, facts: Mapping[str, DataFrame], spark: SparkSession, rounds: int = 1000) -> dict[str, DataFrame]:
+def run(program: Program, facts: Mapping[str, DataFrame], spark: SparkSession, rounds: int | None = None) -> dict[str, DataFrame]:
     """All predicates' facts, by stratum, semi-naively inside a recursive one."""
     known: dict[str, Relation] = dict(facts)
     by_name: dict[str, list[Rule]] = {}
@@ -137,14 +181,14 @@ def run(program: Program, facts: Mapping[str, DataFrame], spark: SparkSession, r
     against = {n: {u for r in rules for f in r.body for u, neg in _used(f) if neg} for n, rules in by_name.items()}
     for n, kind in program.merges.items():
         # what reads a merged predicate waits for it, unless a better value can only add to what follows
-        if kind not in IDEMPOTENT:
+        if not is_idempotent(kind):
             for reader in depends:
                 if n in depends[reader]:
                     against.setdefault(reader, set()).add(n)
     for part, recursive in stratify(depends, against):
         if recursive and not part & program.once:
             for n in part:
-                if program.merges.get(n, "min") not in IDEMPOTENT:
+                if not is_idempotent(program.merges.get(n, "min")):
                     raise UnsafeFormulaError(f"{n}: {program.merges[n]} inside a recursion has no fixpoint")
             _fixpoint(part, by_name, program, known, spark, rounds)
         else:
@@ -153,6 +197,118 @@ def run(program: Program, facts: Mapping[str, DataFrame], spark: SparkSession, r
     return {n: known[n] for n in {*by_name, *facts}}
 
 
+def define(head: Rel, body: Formula) -> list[Rule]:
+    """Rules for a relation that is defined by any formula, which may use the relation itself: its disjunctions become
+    rules, and what it quantifies becomes variables of their bodies."""
+    fresh = iter(range(1 << 30))
+
+    def normal(f: Formula) -> list[tuple[Formula, ...]]:
+        match f:
+            case Or(parts):
+                return [x for p in parts for x in normal(p)]
+            case And(parts):
+                out: list[tuple[Formula, ...]] = [()]
+                for p in parts:
+                    out = [a + b for a in out for b in normal(p)]
+                return out
+            case Exists(names, part):
+                return normal(_renamed(part, {n: f"{n}'{next(fresh)}" for n in names}))
+        return [(f,)]
+
+    rules = [Rule(head, body) for body in normal(simplify(body))]
+    for r in rules:
+        safe(r)
+    return rules
+
+
+def _renamed(f: Formula, names: dict[str, str]) -> Formula:
+    from dataclasses import fields, replace
+
+    def change(x):
+        if isinstance(x, Var):
+            return Var(names.get(x.name, x.name))
+        if isinstance(x, Formula):
+            return _renamed(x, names)
+        return tuple(map(change, x)) if isinstance(x, tuple) and any(isinstance(y, (Var, Formula)) for y in x) else x
+
+    if isinstance(f, Exists):
+        return Exists(f.names, _renamed(f.part, {k: v for k, v in names.items() if k not in f.names}))
+    return replace(f, **{x.name: change(getattr(f, x.name)) for x in fields(f) if x.name not in ("names", "by", "fns")})
+
+
+def demand(program: Program, goal: Rel) -> tuple[Program, Rel]:
+    """The program that works out only what the goal's constants ask for (magic sets), and the goal in it.
+
+    A predicate that is asked for with some places bound gets a copy for them, guarded by a relation of the bindings
+    that are asked for; bindings are passed from left to right.  Predicates asked for without any, or under a negation,
+    are worked out whole, as are merged ones whose bound places include the merged value.
+    """
+    by_name: dict[str, list[Rule]] = {}
+    for r in program.rules:
+        by_name.setdefault(r.head.name, []).append(r)
+    rules: list[Rule] = []
+    merges, once = dict(program.merges), set(program.once)
+    whole: set[str] = set()
+
+    def keep_whole(name: str) -> None:
+        if name in by_name and name not in whole:
+            whole.add(name)
+            rules.extend(by_name[name])
+            for r in by_name[name]:
+                for f in r.body:
+                    for u, _ in _used(f):
+                        keep_whole(u)
+
+    def places(atom: Rel, have: set[str]) -> tuple[int, ...]:
+        last = len(atom.args) - 1 if atom.name in program.merges else len(atom.args)
+        return tuple(i for i, a in enumerate(atom.args[:last]) if not isinstance(a, Var) or a != ANY and a.name in have)
+
+    def name_of(name: str, at: tuple[int, ...]) -> str:
+        return f"{name}/{''.join(map(str, at))}"
+
+    todo = [(goal.name, places(goal, set()))]
+    done: set[tuple[str, tuple[int, ...]]] = set()
+    if not todo[0][1] or goal.name in program.once:
+        return program, goal
+    start = name_of(goal.name, todo[0][1])
+    rules.append(Rule(Rel(f"asked {start}", tuple(goal.args[i] for i in todo[0][1])), ()))
+    while todo:
+        name, at = todo.pop()
+        if (name, at) in done:
+            continue
+        done.add((name, at))
+        own = name_of(name, at)
+        if name in program.merges:
+            merges[own] = program.merges[name]
+        for r in by_name[name]:
+            asked = Rel(f"asked {own}", tuple(r.head.args[i] for i in at))
+            body: list[Formula] = [asked]
+            have = set(free(asked))
+            for f in r.body:
+                if isinstance(f, Rel) and f.name in by_name and f.name not in program.once and (to := places(f, have)):
+                    inner = name_of(f.name, to)
+                    wanted = tuple(f.args[i] for i in to)
+                    if (f.name, to) != (name, at) or wanted != asked.args:
+                        rules.append(Rule(Rel(f"asked {inner}", wanted), tuple(body)))
+                    todo.append((f.name, to))
+                    f = Rel(inner, f.args)
+                else:
+                    for u, _ in _used(f):
+                        keep_whole(u)
+                body.append(f)
+                have |= free(f)
+            rules.append(Rule(Rel(own, r.head.args), tuple(body)))
+    return Program(rules, merges, once), Rel(start, goal.args)
+
+
+def ask(program: Program, goal: Rel, facts: Mapping[str, DataFrame], spark: SparkSession, rounds: int | None = None) -> DataFrame:
+    """The goal's answers, one column for each of its variables; only what its constants ask for is worked out."""
+    seeded, atom = demand(program, goal)
+    out = run(seeded, facts, spark, rounds)
+    names = list(dict.fromkeys(a.name for a in goal.args if isinstance(a, Var) and a != ANY))
+    return query(names, atom, out, spark)
+
+
 def _columns(n: int) -> list[str]:
     return [f"c{i}" for i in range(n)]
 
@@ -175,7 +331,7 @@ def _once(rules: list[Rule], how: str | None, known: Mapping[str, Relation], spa
     return merge(out, how) if how else out.distinct()
 
 
-def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program, known: dict[str, Relation], spark: SparkSession, rounds: int) -> None:
+def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program, known: dict[str, Relation], spark: SparkSession, rounds: int | None) -> None:
     seeds: dict[str, DataFrame] = {}
     for n in sorted(part):
         first = [r for r in by_name[n] if not any(u in part for f in r.body for u, _ in _used(f))]
@@ -192,7 +348,7 @@ def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program,
             d = _apply(r, {**known, **{m: (s if s is not None else blank) for m, s in seeds.items()}}, spark, False).limit(0)
         how = program.merges.get(n)
         total[n] = delta[n] = keep(merge(d, how) if how else d.distinct(), n)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if all(d.isEmpty() for d in delta.values()):
             known.update(total)
             return
@@ -215,6 +371,6 @@ def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program,
                 total[n] = total[n].unionByName(delta[n])
             else:
                 both = keep(merge(total[n].union(new), how), n)
-                delta[n] = both.join(total[n], names, "left_anti")
+                delta[n] = keep(both.join(total[n], names, "left_anti"), n)
                 total[n] = both
     raise NoFixpoint(f"facts were still new after {rounds} rounds: {', '.join(sorted(part))}")

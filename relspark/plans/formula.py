@@ -29,10 +29,21 @@ class Formula:
 
 @dataclass(frozen=True)
 class Rel(Formula):
-    """name(args): one argument for each column in order, a Var, ANY or a constant."""
+    """name(args): one argument for each column in order, a Var, ANY or a constant.  With rest, the columns after those
+    of args are bound to it as one struct."""
 
     name: str
     args: tuple[Any, ...]
+    rest: Var | None = None
+
+
+@dataclass(frozen=True)
+class Domain(Formula):
+    """var is an integer from low to high, both included."""
+
+    var: Var
+    low: int
+    high: int
 
 
 @dataclass(frozen=True)
@@ -94,6 +105,21 @@ class Compute(Formula):
     many: bool = False
 
 
+@dataclass(frozen=True)
+class Solve(Formula):
+    """A relation over args that works in several modes: fns maps the place of the one argument that is not bound to a
+    function of the others' columns, in order, which gives it (null: no solution), and None to a test of all."""
+
+    fns: tuple[tuple[int | None, Callable], ...]
+    args: tuple[Any, ...]
+
+    def ready(self, names: set[str] | frozenset[str]) -> tuple[int | None, Callable] | None:
+        """The mode for these bound variables, if there is one."""
+        open_ = [i for i, a in enumerate(self.args) if isinstance(a, Var) and a.name not in names]
+        place = open_[0] if open_ else None
+        return next(((i, fn) for i, fn in self.fns if i == place), None) if len(open_) <= 1 else None
+
+
 @dataclass(frozen=True)
 class Aggregate(Formula):
     """out = the aggregate fn(column of value) over the solutions of part, for each binding of part's other variables
@@ -132,7 +158,11 @@ def _named(*terms: Any) -> set[str]:
 def free(f: Formula) -> set[str]:
     """Names of the variables that are free in f."""
     match f:
-        case Rel(_, args):
+        case Rel(_, args, rest):
+            return _named(*args, rest)
+        case Domain(var):
+            return _named(var)
+        case Solve(_, args):
             return _named(*args)
         case Compare(_, a, b):
             return _named(a, b)

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import arith, lists, terms, trigram
+from .operators import graph
 from .operators import recursion as rec
 from .operators import relational as ops
 from .plans import datalog
 from .plans.compile import query
-from .plans.formula import ANY, Aggregate, And, Compute, Exists, ForAll, Iff, Imply, Not, Or, Rel, Var, eq, le, lt, neq
+from .plans.formula import ANY, Aggregate, And, Compute, Exists, ForAll, Iff, Imply, Not, Or, Rel, Solve, Var, eq, le, lt, neq
+from .sources import files
 from .sources.catalog import Catalog
 from .storage import shared_folder
 from .streaming import ticks
@@ -342,7 +344,7 @@ def seek_le(spark, d):
 
 _HOPS = "SELECT DISTINCT o_orderkey AS a, nxt AS b FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders) WHERE nxt IS NOT NULL"
 _TRADE = "SELECT s_nationkey AS a, c_nationkey AS b, CAST(min(l_linenumber * 7 + (l_orderkey % 11)) AS BIGINT) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY ALL"
-_PARTS = "SELECT DISTINCT x.l_partkey AS a, y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_partkey < y.l_partkey WHERE x.l_orderkey % 50 = 0"
+_PARTS = "SELECT DISTINCT a, b FROM (SELECT min(l_partkey) OVER (PARTITION BY l_orderkey, l_shipdate) AS a, l_partkey AS b FROM lineitem) WHERE a < b"
 
 
 def _hops(spark, d):
@@ -361,8 +363,10 @@ def _trade(spark, d):
 
 
 def _parts(spark, d):
-    some = _t(spark, d, "lineitem", "l_orderkey", "l_partkey").filter("l_orderkey % 50 = 0")
-    return some.withColumnRenamed("l_partkey", "a").join(some.withColumnRenamed("l_partkey", "b"), "l_orderkey").filter("a < b").select("a", "b").distinct()
+    """Parts that one order ships on one day, each linked with the least of them: as many links as lines, not pairs."""
+    lines = _t(spark, d, "lineitem", "l_orderkey", "l_shipdate", F.col("l_partkey").alias("b"))
+    least = lines.groupBy("l_orderkey", "l_shipdate").agg(F.min("b").alias("a"), F.max("b").alias("most")).filter("a < most")
+    return lines.join(least, ["l_orderkey", "l_shipdate"]).filter("a < b").select("a", "b").distinct()
 
 
 @_query(f"WITH RECURSIVE e AS ({_HOPS}), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a, b FROM p")
@@ -370,17 +374,17 @@ def transitive_closure(spark, d):
     return rec.closure(_hops(spark, d))
 
 
-@_query(f"WITH RECURSIVE e AS ({_HOPS}), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a, b FROM p WHERE a <= 500")
+@_query(f"WITH RECURSIVE e AS ({_HOPS}), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT a, b FROM p")
 def datalog_path(spark, d):
     """The closure as a program of two rules and a query in the stratum above."""
-    rules = datalog.parse("path(X, Y) :- edge(X, Y). path(X, Z) :- path(X, Y), edge(Y, Z). answer(X, Y) :- path(X, Y), X <= 500.")
+    rules = datalog.parse("path(X, Y) :- edge(X, Y). path(X, Z) :- path(X, Y), edge(Y, Z). answer(X, Y) :- path(X, Y).")
     return datalog.run(datalog.Program(rules), {"edge": _hops(spark, d)}, spark)["answer"].toDF("a", "b")
 
 
-@_query(f"WITH RECURSIVE e AS ({_HOPS}), p AS (SELECT a AS source, b FROM e WHERE a < 200 UNION SELECT p.source, e.b FROM p JOIN e ON p.b = e.a) SELECT source, b FROM p")
+@_query(f"WITH RECURSIVE e AS ({_HOPS}), p AS (SELECT a AS source, b FROM e WHERE a IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') UNION SELECT p.source, e.b FROM p JOIN e ON p.b = e.a) SELECT source, b FROM p")
 def reach_from_source(spark, d):
     edges = _hops(spark, d)
-    return rec.reach(edges, edges.select("a").filter("a < 200").distinct())
+    return rec.reach(edges, _t(spark, d, "orders", "o_orderkey", "o_orderpriority").filter("o_orderpriority = '1-URGENT'").select("o_orderkey"))
 
 
 _SHORT = f"WITH RECURSIVE e AS ({_TRADE}), p(a, b, d, h) AS (SELECT a, b, d, 1 FROM e UNION SELECT p.a, e.b, min(p.d + e.d), h + 1 FROM p JOIN e ON p.b = e.a WHERE h < 25 GROUP BY p.a, e.b, h)"
@@ -405,10 +409,13 @@ def bounded_route(spark, d):
     return rec.routes(_trade(spark, d), 24)
 
 
-_LINKED = f"WITH RECURSIVE e AS (SELECT a, b FROM ({_PARTS}) UNION SELECT b, a FROM ({_PARTS})), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a)"
+_LINKED = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM ({_PARTS}) UNION SELECT b, a FROM ({_PARTS})), p(member, representative) USING KEY (member) AS (
+    SELECT a, a FROM e
+    UNION
+    SELECT e.b, min(p.representative) FROM p JOIN e ON p.member = e.a JOIN recurring.p AS r ON r.member = e.b WHERE p.representative < r.representative GROUP BY e.b)"""
 
 
-@_query(f"{_LINKED} SELECT a AS member, least(a, min(b)) AS representative FROM p GROUP BY a")
+@_query(f"{_LINKED} SELECT member, representative FROM p")
 def equiv_classes(spark, d):
     return rec.classes(_parts(spark, d))
 
@@ -531,3 +538,375 @@ def tick_counter(spark, d):
         state = ticks.tick(program, {"count": state}, {"arrived": arrived}, spark).state["count"]
     return state.toDF("event_type", "n")
 
+
+
+# the planner: seeded recursion, recursive views, modes, domains
+
+
+@_query(f"WITH RECURSIVE e AS ({_HOPS}), p AS (SELECT b FROM e WHERE a = (SELECT min(o_orderkey) FROM orders WHERE o_orderpriority = '1-URGENT') UNION SELECT e.b FROM p JOIN e ON p.b = e.a) SELECT b FROM p")
+def path_seeded(spark, d):
+    """The closure asked for one source: only what it reaches is worked out."""
+    first = _t(spark, d, "orders", "o_orderkey", "o_orderpriority").filter("o_orderpriority = '1-URGENT'").agg(F.min("o_orderkey")).first()[0]
+    rules = datalog.parse("path(X, Y) :- edge(X, Y). path(X, Z) :- edge(X, Y), path(Y, Z).")
+    return datalog.ask(datalog.Program(rules), Rel("path", (first, V("b"))), {"edge": _hops(spark, d)}, spark)
+
+
+@_query(f"WITH RECURSIVE e AS ({_TRADE}), p AS (SELECT a, b FROM e WHERE d < 9 UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a WHERE e.d < 9) SELECT a, b FROM p")
+def recursive_view(spark, d):
+    """A relation defined by one formula that uses itself inside a disjunction and a quantifier."""
+    near = Exists(("w",), And((Rel("road", (V("a"), V("b"), V("w"))), lt(V("w"), 9))))
+    on = Exists(("m", "w"), And((Rel("far", (V("a"), V("m"))), Rel("road", (V("m"), V("b"), V("w"))), lt(V("w"), 9))))
+    rules = datalog.define(Rel("far", (V("a"), V("b"))), Or((near, on)))
+    return datalog.run(datalog.Program(rules), {"road": _trade(spark, d)}, spark)["far"].toDF("a", "b")
+
+
+@_query(f"""WITH RECURSIVE e AS MATERIALIZED ({_TRADE}), sp(a, b, d, h) AS (SELECT a, b, d, 1 FROM e UNION SELECT sp.a, e.b, min(sp.d + e.d), h + 1 FROM sp JOIN e ON sp.b = e.a WHERE h < 25 GROUP BY sp.a, e.b, h),
+    best AS MATERIALIZED (SELECT a, b, min(d) AS d FROM sp GROUP BY a, b),
+    last AS MATERIALIZED (SELECT a, b, min(c) AS c FROM (SELECT best.a, best.b, e.a AS c FROM best JOIN e ON e.a = best.a AND e.b = best.b AND e.d = best.d UNION ALL SELECT x.a, x.b, e.a FROM best x JOIN e ON e.b = x.b JOIN best y ON y.a = x.a AND y.b = e.a AND y.d + e.d = x.d) GROUP BY a, b),
+    r AS (SELECT best.a, best.b, d, last.c AS here, concat_ws('-', last.c, best.b) AS route FROM best JOIN last ON last.a = best.a AND last.b = best.b
+          UNION ALL SELECT r.a, r.b, r.d, last.c, concat_ws('-', last.c, r.route) FROM r JOIN last ON last.a = r.a AND last.b = r.here WHERE r.here <> r.a)
+    SELECT a, b, CAST(d AS BIGINT) AS d, route FROM r WHERE here = a""")
+def route(spark, d):
+    """Shortest totals with the nodes on the way."""
+    out = rec.shortest_routes(_trade(spark, d))
+    return out.select("a", "b", "d", F.array_join(F.transform("route", lambda x: x.cast("string")), "-").alias("route"))
+
+
+@_query(f"WITH RECURSIVE e AS ({_HOPS}), p AS (SELECT a AS source, b, 1 AS n FROM e UNION SELECT p.source, e.b, n + 1 FROM p JOIN e ON p.b = e.a WHERE n < 3) SELECT DISTINCT source, b FROM p")
+def bounded_steps(spark, d):
+    """A search that stops after three steps."""
+    edges = _hops(spark, d)
+    return rec.reach(edges, edges.select("a").distinct(), steps=3)
+
+
+@_query("SELECT x, y FROM (SELECT unnest(range(3, 8)) AS x) JOIN (SELECT DISTINCT p_size AS y FROM part) ON x + y = 20")
+def domain_and_modes(spark, d):
+    """A variable that only bounds hold ranges over its finite domain; + solves for whichever argument is open."""
+    plus = Solve(((2, lambda a, b: a + b), (1, lambda a, c: c - a), (0, lambda b, c: c - b), (None, lambda a, b, c: a + b == c)), (V("x"), V("y"), 20))
+    sizes = {"size": _t(spark, d, "part", F.col("p_size").cast("bigint").alias("y")).distinct()}
+    return query(["x", "y"], And((le(3, V("x")), le(V("x"), 7), plus, Rel("size", (V("y"),)))), sizes, spark).select("x", F.col("y").cast("int").alias("y"))
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P')")
+def unlinked_test(spark, d):
+    """A part that shares no variable with the question is a test, not a product."""
+    env = {"customer": _t(spark, d, "customer", "c_custkey", "c_acctbal"), "orders": _t(spark, d, "orders", "o_orderkey", "o_orderstatus")}
+    f = And((Rel("customer", (V("c_custkey"), V("b"))), lt(V("b"), 0.0), Rel("orders", (V("o"), "P"))))
+    return query(["c_custkey"], Exists(("b", "o"), f), env, spark)
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def apply_rest(spark, d):
+    """A relation applied to its first argument and a variable for all others."""
+    env = {"nation": _t(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey")}
+    return query(["n_nationkey", "rest"], Rel("nation", (V("n_nationkey"),), V("rest")), env, spark).select("n_nationkey", "rest.*")
+
+
+@_query("SELECT l_suppkey AS s, CAST(bit_or(l_linenumber) AS INTEGER) AS bits FROM lineitem GROUP BY l_suppkey")
+def own_merge(spark, d):
+    """A merge that is not one of those with a name."""
+    rules = datalog.parse("seen(S, N) :- lineitem(S, N).")
+    program = datalog.Program(rules, {"seen": ops.Merge(F.bit_or, idempotent=True)})
+    out = datalog.run(program, {"lineitem": _t(spark, d, "lineitem", "l_suppkey", "l_linenumber")}, spark)["seen"]
+    return out.toDF("s", "bits")
+
+
+@_query("SELECT l_orderkey, CAST(sum(cents) AS BIGINT) AS cents FROM (SELECT DISTINCT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) * l_linenumber - 1 AS cents FROM lineitem) GROUP BY l_orderkey")
+def rule_arithmetic(spark, d):
+    """Terms of + - * in a rule's body."""
+    rules = datalog.parse("worth(O, L, W) :- line(O, L, Q), W = Q * L - 1. total(O, W) :- worth(O, _, W).")
+    lines = _t(spark, d, "lineitem", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("q"))
+    out = datalog.run(datalog.Program(rules, {"total": "sum"}, {"total"}), {"line": lines}, spark)
+    return out["total"].toDF("l_orderkey", "cents")
+
+
+# graphs of concepts, edges and their properties
+
+_BRAND = "SELECT DISTINCT 'supp:' || l_suppkey AS object, n_name AS place, l_returnflag AS flag FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey"
+
+
+def _graph(spark, d):
+    parts = _t(spark, d, "part", F.concat(F.lit("part:"), "p_partkey").alias("curie"), F.lit("brand").alias("key"), F.col("p_brand").alias("value"))
+    supp = _t(spark, d, "supplier", "s_suppkey", F.col("s_nationkey").alias("n_nationkey")).join(_t(spark, d, "nation", "n_nationkey", "n_name"), "n_nationkey")
+    concepts = parts.union(supp.select(F.concat(F.lit("supp:"), "s_suppkey"), F.lit("place"), "n_name"))
+    lines = _t(spark, d, "lineitem", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("eid"), F.concat(F.lit("part:"), "l_partkey").alias("subject"), F.concat(F.lit("supp:"), "l_suppkey").alias("object"), "l_returnflag")
+    return graph.Graph(concepts, lines.select("eid", "subject", "object"), lines.select("eid", F.lit("flag").alias("key"), F.col("l_returnflag").alias("value")))
+
+
+@_query(f"{_BRAND} WHERE p_brand = 'Brand#12' AND l_returnflag = 'R'")
+def graph_known_to_x(spark, d):
+    """From concepts of a known property over edges of a known property to others and their properties."""
+    g = _graph(spark, d)
+    out = g.known_to_x(g.having("brand", ["Brand#12"]), {"flag": ["R"]})
+    return g.with_properties(out, "object", {"place": "place"}).select("object", "place", F.lit("R").alias("flag")).distinct()
+
+
+@_query("SELECT DISTINCT 'part:' || x.l_partkey AS a, 'supp:' || x.l_suppkey AS m, 'part:' || y.l_partkey AS b FROM lineitem x JOIN lineitem y ON x.l_suppkey = y.l_suppkey JOIN part p ON p.p_partkey = x.l_partkey JOIN part q ON q.p_partkey = y.l_partkey WHERE p.p_brand = 'Brand#11' AND p.p_size = 1 AND q.p_brand = 'Brand#23' AND q.p_size = 2")
+def graph_two_hop(spark, d):
+    """Two known ends and what lies between them."""
+    g = _graph(spark, d)
+    size = _t(spark, d, "part", F.concat(F.lit("part:"), "p_partkey").alias("curie"), "p_size")
+    left = g.having("brand", ["Brand#11"]).join(size.filter("p_size = 1"), "curie", "left_semi")
+    right = g.having("brand", ["Brand#23"]).join(size.filter("p_size = 2"), "curie", "left_semi")
+    return g.known_to_known(left, right)
+
+
+# sources and sinks: each writes a table in a format to the shared folder and reads it again
+
+
+def _written(spark, df, fmt, **how):
+    path = f"{shared_folder(spark)}/relspark-{uuid.uuid4().hex}.{fmt}"
+    files.write(df, path, **how)
+    return path
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def tsv_round_trip(spark, d):
+    path = _written(spark, _t(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"), "tsv", header=True)
+    return files.read(spark, path, "n_nationkey int, n_name string, n_regionkey int", header=["n_nationkey", "n_name", "n_regionkey"])
+
+
+@_query("SELECT p_partkey, p_name || ', \"' || p_brand || '\"; ' AS label, p_size FROM part")
+def csv_round_trip(spark, d):
+    """Fields with separators and quotes inside."""
+    part = _t(spark, d, "part", "p_partkey", F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"; ')).alias("label"), "p_size")
+    path = _written(spark, part, "csv", header=True, sep=";")
+    return files.read(spark, path, "p_partkey bigint, label string, p_size int", header="p_partkey;label;p_size", sep=";")
+
+
+@_query("SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_nationkey < 5 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def jsonl_round_trip(spark, d):
+    customer = _t(spark, d, "customer", "c_custkey", "c_name", "c_acctbal", F.when(F.col("c_nationkey") >= 5, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return files.read(spark, _written(spark, customer, "jsonl"), "c_custkey bigint, c_name string, c_acctbal double, c_mktsegment string")
+
+
+@_query("SELECT r_regionkey, r_name FROM region")
+def json_round_trip(spark, d):
+    return files.read(spark, _written(spark, _t(spark, d, "region", "r_regionkey", "r_name"), "json"), "r_regionkey int, r_name string")
+
+
+@_query("SELECT c_custkey, upper(c_mktsegment) AS segment FROM customer WHERE c_acctbal < 0")
+def ingest_hooks(spark, d):
+    """Rows are mapped, then filtered, while they are read."""
+    path = _written(spark, _t(spark, d, "customer", "c_custkey", "c_mktsegment", "c_acctbal"), "tsv")
+    shape = lambda df: df.select("c_custkey", F.upper("c_mktsegment").alias("segment"), "c_acctbal")
+    return files.read(spark, path, "c_custkey bigint, c_mktsegment string, c_acctbal double", map=shape, filter="c_acctbal < 0").drop("c_acctbal")
+
+
+@_query("SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
+def ingest_flat_map(spark, d):
+    """Each row read makes several."""
+    path = _written(spark, _t(spark, d, "part", "p_partkey", "p_name"), "csv")
+    words = lambda df: df.select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    return files.read(spark, path, "p_partkey bigint, p_name string", flat_map=words)
+
+
+@_query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+def tsv_relation(spark, d):
+    """A file's rows as a set."""
+    path = _written(spark, _t(spark, d, "orders", "o_orderstatus", "o_orderpriority"), "tsv")
+    return files.relation(spark, path, "o_orderstatus string, o_orderpriority string")
+
+
+@_query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 ELSE 2 END AS code FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def literal_facts(spark, d):
+    """Facts given as rows, joined with a table."""
+    env = {"code": files.literal(spark, "segment string, code int", [("BUILDING", 1), ("MACHINERY", 2), ("BUILDING", 1)]), "customer": _t(spark, d, "customer", "c_custkey", "c_mktsegment")}
+    return query(["c_custkey", "code"], Exists(("s",), And((Rel("customer", (V("c_custkey"), V("s"))), Rel("code", (V("s"), V("code")))))), env, spark)
+
+
+def _new_catalog(spark):
+    return Catalog(spark, f"{shared_folder(spark)}/relspark-catalog-{uuid.uuid4().hex}")
+
+
+@_query("SELECT * FROM (VALUES ('clients'), ('copy'), ('orders')) t(name)")
+def catalog_names(spark, d):
+    """Relations made, renamed, copied and deleted, and the names that are left."""
+    c = _new_catalog(spark)
+    for name, key in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("supplier", "s_suppkey")):
+        c.create(name, f"{key} bigint")
+        c.insert(name, _t(spark, d, name, key))
+    c.rename("customer", "clients")
+    c.copy("orders", "copy")
+    c.delete("supplier")
+    c.commit()
+    return spark.createDataFrame([(n,) for n in _reopened(spark, c).names()], "name string")
+
+
+def _reopened(spark, c):
+    return Catalog(spark, c.path)
+
+
+@_query("SELECT s_suppkey AS id, s_name AS title FROM supplier")
+def catalog_attributes(spark, d):
+    """Attributes by new names; a change that is reverted leaves nothing."""
+    c = _new_catalog(spark)
+    c.create("supplier", "s_suppkey bigint, s_name string")
+    c.insert("supplier", _t(spark, d, "supplier", "s_suppkey", "s_name"))
+    c.rename_attributes("supplier", ["id", "title"])
+    c.commit()
+    c.rename_attributes("supplier", ["x", "y"])
+    c.delete("supplier")
+    c.revert()
+    return c.relation("supplier")
+
+
+@_query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS BIGINT) AS position FROM (SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def catalog_index(spark, d):
+    """A relation of several tables made one in the order of its index, and read by it."""
+    c = _new_catalog(spark)
+    c.create("orders", "o_orderkey bigint, o_custkey bigint")
+    for status in ("F", "O"):
+        c.insert("orders", _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus").filter(F.col("o_orderstatus") == status).drop("o_orderstatus"))
+    c.add_index("orders", ["o_custkey", "o_orderkey"])
+    c.compact("orders")
+    c.commit()
+    return ops.row_position(c.ordered("orders", ["o_custkey", "o_orderkey"]).select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"])
+
+
+@_query("SELECT text, CAST(row_number() OVER (ORDER BY text) - 1 AS BIGINT) AS id FROM (SELECT n_name AS text FROM nation UNION SELECT substr(n_name, 1, 3) FROM nation)")
+def catalog_texts(spark, d):
+    """A relation's texts with ids that keep their order."""
+    c = _new_catalog(spark)
+    c.create("nation", "a string, b string")
+    c.insert("nation", _t(spark, d, "nation", "n_name", F.substring("n_name", 1, 3).alias("b")))
+    return c.texts("nation")
+
+
+@_query("SELECT r_regionkey, r_name, CAST(2 AS INTEGER) AS gone FROM region WHERE r_regionkey <> 0")
+def catalog_vacuum(spark, d):
+    """Tables that nothing reads any more go; what is read stays."""
+    c = _new_catalog(spark)
+    region = _t(spark, d, "region", "r_regionkey", "r_name")
+    for name in ("a", "b"):
+        c.create(name, region.schema)
+    c.insert("a", region)
+    c.insert("b", region.filter("r_regionkey = 0"))
+    c.assign("a", ("-", "a", "b"))
+    c.commit()
+    c.compact("a")
+    c.delete("b")
+    c.commit()
+    gone = [n for n in c.vacuum() if n.startswith("t-")]
+    return c.relation("a").withColumn("gone", F.lit(len(gone)))
+
+
+@_query("SELECT s_suppkey, s_name, true AS built, false AS again FROM supplier")
+def materialized_source(spark, d):
+    """A relation built from a file once, and again only if the file changes."""
+    path = _written(spark, _t(spark, d, "supplier", "s_suppkey", "s_name"), "tsv")
+    c = _new_catalog(spark)
+    build = lambda spark, source: files.read(spark, source, "s_suppkey bigint, s_name string")
+    built, again = c.materialize("supplier", path, build), c.materialize("supplier", path, build)
+    return c.relation("supplier").select("*", F.lit(built).alias("built"), F.lit(again).alias("again"))
+
+
+@_query("SELECT n_regionkey, CAST(count(*) AS INTEGER) AS n, min(n_name) AS first FROM nation GROUP BY n_regionkey")
+def catalog_index_dict(spark, d):
+    """A relation as a dictionary by its index: each first key with its sorted rows."""
+    c = _new_catalog(spark)
+    c.create("nation", "n_nationkey int, n_name string, n_regionkey int")
+    c.insert("nation", _t(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"))
+    c.add_index("nation", ["n_regionkey", "n_name"])
+    return c.index_dict("nation", ["n_regionkey", "n_name"]).select("n_regionkey", F.size("rows").alias("n"), F.col("rows")[0]["n_name"].alias("first"))
+
+
+# terms, dictionaries, attributes
+
+
+@_query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN p_size % 2 = 0 THEN 'vector' ELSE 'number' END AS kind FROM part) GROUP BY kind")
+def vector_tests(spark, d):
+    """Tests of a term's type, and their opposites, over terms of mixed type."""
+    part = _t(spark, d, "part", "p_name", "p_size")
+    even = F.col("p_size") % 2 == 0
+    mixed = part.select(F.when(even, terms.term("vector", F.split("p_name", " "))).otherwise(terms.term("number", F.col("p_size"))).alias("t"))
+    kind = F.when(terms.is_kind(F.col("t"), "vector") & terms.is_not_kind(F.col("t"), "number"), "vector").when(terms.is_integer(F.col("t.num")), "number")
+    return mixed.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT p_partkey, CAST(row_number() OVER (ORDER BY len(v), v, p_partkey) - 1 AS BIGINT) AS position FROM (SELECT p_partkey, [p_size, p_partkey % 7] AS v FROM part)")
+def number_vectors(spark, d):
+    """Vectors of numbers in the order of terms: elements compare as numbers."""
+    vector = terms.term("vector", F.array(F.col("p_size").cast("bigint"), F.col("p_partkey") % 7), items="number")
+    return ops.row_position(_t(spark, d, "part", "p_partkey", vector.alias("t")), ["t", "p_partkey"]).select("p_partkey", "position")
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_acctbal >= 100.0 AND c_acctbal < 900.0")
+def bounds_algebra(spark, d):
+    """The common part of two intervals as one filter."""
+    low, low_closed, high, high_closed = terms.intersect_bounds((100.0, True, 5000.0, True), (-50.0, False, 900.0, False))
+    return _t(spark, d, "customer", "c_custkey", "c_acctbal").filter(terms.between(F.col("c_acctbal"), low, low_closed, high, high_closed)).select("c_custkey")
+
+
+@_query("SELECT DISTINCT n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0")
+def defined_relation(spark, d):
+    """A relation defined over others by a formula, used like a table."""
+    poor = lambda env: query(["n", "s"], Exists(("b",), And((Rel("customer", (V("n"), V("s"), V("b"))), lt(V("b"), 0.0)))), env, spark)
+    env = {"customer": _t(spark, d, "customer", "c_nationkey", "c_mktsegment", "c_acctbal"), "nation": _t(spark, d, "nation", "n_nationkey", "n_name"), "poor": poor}
+    f = Exists(("n",), And((Rel("poor", (V("n"), V("c_mktsegment"))), Rel("nation", (V("n"), V("n_name"))))))
+    return query(["n_name", "c_mktsegment"], f, env, spark)
+
+
+@_query("SELECT p_partkey, CAST(octet_length(encode(p_name)) AS INTEGER) AS n, ascii(p_name) AS first, p_name AS text FROM part")
+def text_bytes(spark, d):
+    """Texts as bytes, bytes as numbers, and back."""
+    part = _t(spark, d, "part", "p_partkey", arith.to_bytes(F.col("p_name")).alias("raw"))
+    back = arith.to_text(lists.list_to_bytes(lists.bytes_to_list(F.col("raw"))))
+    return part.select("p_partkey", F.size(lists.bytes_to_list(F.col("raw"))).alias("n"), lists.bytes_ref(F.col("raw"), F.lit(0)).alias("first"), back.alias("text"))
+
+
+@_query("SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 10 WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS n FROM orders GROUP BY o_custkey")
+def map_merge(spark, d):
+    """Two dictionaries merged key by key, with a default where one has none."""
+    counts = lambda s, by: _t(spark, d, "orders", "o_custkey", "o_orderstatus").groupBy("o_custkey").agg(F.map_from_entries(F.array(F.struct(F.lit("n"), F.sum(F.when(F.col("o_orderstatus") == s, by).otherwise(0))))).alias(s))
+    both = counts("F", 10).join(counts("O", 1), "o_custkey")
+    return both.select("o_custkey", lists.map_merge(F.col("F"), F.col("O"), lambda x, y: x + y, F.lit(0).cast("bigint"))["n"].alias("n"))
+
+
+@_query("SELECT o_custkey, o_orderkey AS first_order FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS r FROM orders) WHERE r = 1")
+def least_value(spark, d):
+    """The value that goes with each key's least order."""
+    return ops.least_with(_t(spark, d, "orders", "o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "o_orderkey", "first_order")
+
+
+@_query("SELECT n_nationkey, coalesce(n, 0) AS n FROM nation LEFT JOIN (SELECT s_nationkey, CAST(count(*) AS BIGINT) AS n FROM supplier GROUP BY s_nationkey) ON s_nationkey = n_nationkey")
+def dict_lookup(spark, d):
+    """Keys looked up in a dictionary, with a default for missing ones."""
+    counts = _t(spark, d, "supplier", F.col("s_nationkey").alias("n_nationkey")).groupBy("n_nationkey").agg(F.count("*").alias("n"))
+    return ops.lookup(counts, _t(spark, d, "nation", "n_nationkey"), ["n_nationkey"], {"n": 0})
+
+
+@_query("SELECT p_partkey, p_size, p_size = (SELECT min(p_size) FROM part) AS popped FROM part")
+def pop_least(spark, d):
+    """The entries of a dictionary's least key, and what is left."""
+    first, rest = ops.pop_least(_t(spark, d, "part", "p_partkey", "p_size"), "p_size")
+    return first.withColumn("popped", F.lit(True)).union(rest.withColumn("popped", F.lit(False)))
+
+
+@_query("SELECT c_custkey, s_suppkey, a.position FROM (SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS BIGINT) AS position FROM customer) a JOIN (SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_suppkey DESC) - 1 AS BIGINT) AS position FROM supplier) b ON a.position = b.position")
+def zip_streams(spark, d):
+    """Two streams side by side, as long as the shorter."""
+    suppliers = _t(spark, d, "supplier", "s_suppkey", (-F.col("s_suppkey")).alias("back"))
+    return ops.zip_rows(_t(spark, d, "customer", "c_custkey"), suppliers, ["c_custkey"], ["back"]).drop("back")
+
+
+@_query("SELECT DISTINCT n_regionkey AS region, substr(n_name, 1, 1) AS initial FROM nation")
+def attribute_algebra(spark, d):
+    """Attributes renamed, dropped, kept and put in another order."""
+    nation = _t(spark, d, "nation", "n_nationkey", "n_regionkey", F.substring("n_name", 1, 1).alias("initial"))
+    out = ops.drop_attributes(ops.rename(nation, {"n_regionkey": "region"}), ["n_nationkey"])
+    return ops.keep_attributes(ops.reorder_attributes(out, ["initial", "region"]), ["initial", "region"])
+
+
+@_query("SELECT 'l_orderkey' AS attribute, CAST(count(DISTINCT l_orderkey) AS BIGINT) AS cardinality, count(DISTINCT l_orderkey) / count(*) AS ratio FROM lineitem UNION ALL SELECT 'l_suppkey', count(DISTINCT l_suppkey), count(DISTINCT l_suppkey) / count(*) FROM lineitem")
+def relation_statistics(spark, d):
+    return ops.statistics(_t(spark, d, "lineitem", "l_orderkey", "l_suppkey"), ["l_orderkey", "l_suppkey"])
+
+
+@_query("SELECT event_type AS kind, CAST(count(*) AS BIGINT) AS n FROM events WHERE value > 50 GROUP BY event_type")
+def tick_send(spark, d):
+    """What a tick sends out: facts of the tick, not part of its state."""
+    events = _t(spark, d, "events", "event_id", "event_type", "value")
+    program = ticks.TickProgram({}, send=[datalog.Rule(Rel("alarm", (V("i"), V("t"))), (Rel("event", (V("i"), V("t"), V("v"))), lt(50.0, V("v"))))])
+    sent = ticks.tick(program, {}, {"event": events}, spark).sent["alarm"].toDF("i", "kind")
+    return sent.groupBy("kind").agg(F.count("*").alias("n"))

@@ -192,6 +192,14 @@ class Catalog:
             raise KeyError(f"{name} has no index on {', '.join(columns)}")
         return self.relation(name).orderBy(*columns)
 
+    def index_dict(self, name: str, columns: list[str]) -> DataFrame:
+        """A relation by one of its indexes: each value of its first column with the sorted rows of the others."""
+        if list(columns) not in self._entry(name)["indexes"]:
+            raise KeyError(f"{name} has no index on {', '.join(columns)}")
+        first, *rest = columns
+        others = [*rest, *(c for c in self.schema(name).names if c not in columns)]
+        return self.relation(name).groupBy(first).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("rows"))
+
     def texts(self, name: str) -> DataFrame:
         """(text, id): the relation's texts with ids that keep their order."""
         from ..operators.relational import row_position

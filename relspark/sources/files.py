@@ -33,12 +33,30 @@ def _fields(line: str, fmt: str, sep: str) -> list[str]:
 
 
 def check_header(spark: SparkSession, path: str, header: list[str] | str, fmt: str, sep: str = ",") -> None:
-    """Compare the first line with a list of names, or with a line."""
-    first = spark.read.text(path).first()
-    found = _fields(first[0] if first else "", fmt, sep)
+    """Compare the first line of every file with a list of names, or with a line."""
     want = _fields(header, fmt, sep) if isinstance(header, str) else list(header)
-    if found != want:
-        raise HeaderError(f"{path}: header {found}, not {want}")
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    # one line of each file is read, by the tasks that read the file names
+    found = [s.getPath().toString() for s in files.globStatus(at) or []]
+    names = [x for f in found for x in _files_of(spark, f)]
+    if not names:
+        raise FileNotFoundError(path)
+    for name in names:
+        first = spark.read.text(name).first()
+        line = _fields(first[0] if first else "", fmt, sep)
+        if line != want:
+            raise HeaderError(f"{name}: header {line}, not {want}")
+
+
+def _files_of(spark: SparkSession, path: str) -> list[str]:
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    if files.getFileStatus(at).isFile():
+        return [path]
+    return sorted(s.getPath().toString() for s in files.listStatus(at) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))
 
 
 def read(
@@ -52,10 +70,12 @@ def read(
     filter: Column | str | None = None,
     flat_map: Callable[[DataFrame], DataFrame] | None = None,
     strict: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Rows of a file or folder; each file's header is none (False), skipped (True) or must match (names).
 
     tsv: tabs split, nothing is quoted, empty fields are empty texts.  csv: `"` quotes, `""` stands for one.
+    A csv field that holds a line end needs multi_line, which makes one task of each file.
     json: one array; jsonl: a value a line.  Integers are strict base 10 when `strict`, else null where they are not.
     map then filter, or flat_map, are applied to what was read.
     """
@@ -71,11 +91,11 @@ def read(
         df = spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", fmt == "json").json(path)
     else:
         texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-        reader = spark.read.schema(texts).option("header", bool(header)).option("enforceSchema", True).option("mode", "FAILFAST").option("nullValue", "\x00").option("emptyValue", "")
         if fmt == "tsv":
-            df = reader.option("sep", sep or "\t").option("quote", "").option("escape", "").csv(path).fillna("")
+            df = _lines(spark, path, texts.names, sep or "\t", bool(header))
         else:
-            df = reader.option("sep", sep or ",").option("quote", '"').option("escape", '"').option("multiLine", True).csv(path).fillna("")
+            reader = spark.read.schema(texts).option("header", bool(header)).option("enforceSchema", True).option("mode", "FAILFAST").option("nullValue", "\x00").option("emptyValue", "")
+            df = reader.option("sep", sep or ",").option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(path).fillna("")
         df = df.select(*(_typed(F.col(f.name), f, strict).alias(f.name) for f in schema.fields))
     if map:
         df = map(df)
@@ -84,6 +104,21 @@ def read(
     return flat_map(df) if flat_map else df
 
 
+def _lines(spark: SparkSession, path: str, names: list[str], sep: str, header: bool) -> DataFrame:
+    """Lines cut at every separator, whatever is in them; an empty line is a row of one empty field."""
+    rows = spark.read.text(path)
+    if header:
+        # a file's first line is where its first block begins
+        rows = rows.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("__at"))
+        first = rows.filter("file_block_start = 0").groupBy("file_path").agg(F.min("__at").alias("__first"))
+        rows = rows.join(F.broadcast(first), "file_path").filter("__at != __first").select("value")  # a row for each file
+    # a line end may be \r\n
+    cells = F.split(F.regexp_replace("value", "\r$", ""), f"\\Q{sep}\\E", -1)
+    wrong = F.raise_error(F.concat(F.lit(f"{path}: a line without {len(names)} fields: "), F.col("value")))
+    fields = F.when(F.size("__cells") == len(names), F.col("__cells")).otherwise(wrong.cast("array<string>"))
+    return rows.select("value", cells.alias("__cells")).select(fields.alias("__cells")).select(*(F.get("__cells", F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
 def _typed(value: Column, field: T.StructField, strict: bool) -> Column:
     if isinstance(field.dataType, T.StringType):
         return value
@@ -123,11 +158,13 @@ def write(df: DataFrame, path: str, fmt: str | None = None, header: bool = False
         lines = F.when(bad, F.raise_error(F.lit("a tab or line end inside a field"))).otherwise(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)))
         out = df.select(lines.alias("value"))
         if header:
-            df.write.mode(mode).option("sep", "\t").option("header", True).option("quote", "\x00").option("emptyValue", "").csv(path)
-        else:
-            out.write.mode(mode).text(path)
+            # the header goes in front of each file's rows
+            names = "\t".join(df.columns)
+            out = out.withColumn("__first", F.monotonically_increasing_id() % (1 << 33) == 0)
+            out = out.select(F.explode(F.when(F.col("__first"), F.array(F.lit(names), F.col("value"))).otherwise(F.array("value"))).alias("value"))
+        out.write.mode(mode).text(path)
     elif fmt == "csv":
-        df.write.mode(mode).option("sep", sep or ",").option("header", header).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
+        df.write.mode(mode).option("sep", sep or ",").option("header", header).option("escape", '"').option("emptyValue", "").option("nullValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:  # one array in one file: for results of a size that one task may write
         df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]"))).write.mode(mode).text(path)
 

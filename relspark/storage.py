@@ -27,8 +27,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, name: str = "kept") -> DataFrame:
-    """Write df as Parquet and read it back."""
+    """Write df as Parquet and read it back; drop() deletes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/relspark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table made by keep() that nothing reads any more."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from relspark.operators import recursion as rec
 from relspark.operators import relational as ops
 from relspark.plans import analyze, datalog
 from relspark.plans.compile import query, query_bag
-from relspark.plans.formula import ANY, And, Compute, Exists, ForAll, Iff, Imply, Not, Or, Rel, Var, eq, le, lt, neq
+from relspark.plans.formula import ANY, And, Compute, Exists, ForAll, Iff, Imply, Not, Or, Rel, Solve, Var, eq, le, lt, neq
 from relspark.plans.rewrite import clean, factor, merge_cycles, simplify
 
 X, Y, Z = Var("x"), Var("y"), Var("z")
@@ -143,3 +145,107 @@ def test_no_products_in_plans(spark, edge):
 def test_positions(spark):
     rows = spark.range(0, 1000).selectExpr("(id * 7919) % 1009 as x")
     assert ops.row_position(rows, ["x"]).agg(F.countDistinct("position"), F.max("position")).first()[:] == (1000, 999)
+
+
+def test_parts_without_a_link_are_tests(spark, edge):
+    env = {"edge": edge, "r": spark.createDataFrame([(1,), (2,)], "x long"), "s": spark.createDataFrame([(7,)], "x long")}
+    f = Exists(("y",), And((Rel("r", (X,)), Rel("s", (Y,)))))
+    df = query(["x"], f, env, spark)
+    assert got(df) == {(1,), (2,)} and "Cartesian" not in df._jdf.queryExecution().toString()
+    assert got(query(["x"], Exists(("y",), And((Rel("r", (X,)), Rel("s", (Y,)), lt(Y, 3)))), env, spark)) == set()
+
+
+def test_small_relations_are_joined_first(spark, tmp_path):
+    spark.range(0, 200_000).selectExpr("id as a", "id % 100 as b").write.parquet(str(tmp_path / "big"))
+    spark.range(0, 3).selectExpr("id as b", "id as c").write.parquet(str(tmp_path / "small"))
+    spark.range(0, 3).selectExpr("id as c").write.parquet(str(tmp_path / "tiny"))
+    env = {n: spark.read.parquet(str(tmp_path / n)) for n in ("big", "small", "tiny")}
+    f = Exists(("b", "c"), And((Rel("big", (Var("a"), Var("b"))), Rel("small", (Var("b"), Var("c"))), Rel("tiny", (Var("c"),)))))
+    df = query(["a"], f, env, spark)
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert df.count() == 6000 and re.findall(r"Relation \[(\w)#", plan)[-1] == "a"
+
+
+def test_finite_domains_and_modes(spark):
+    f = And((le(2, X), le(X, 4)))
+    assert got(query(["x"], f, {}, spark)) == {(2,), (3,), (4,)}
+    plus = lambda a, b, c: Solve(((2, lambda a, b: a + b), (1, lambda a, c: c - a), (0, lambda b, c: c - b), (None, lambda a, b, c: a + b == c)), (a, b, c))
+    assert got(query(["x", "y"], And((le(1, X), le(X, 3), plus(X, Y, 5))), {}, spark)) == {(1, 4), (2, 3), (3, 2)}
+    assert got(query(["x", "y"], And((le(1, X), le(X, 3), le(1, Y), le(Y, 3), plus(X, Y, 5))), {}, spark)) == {(2, 3), (3, 2)}
+    with pytest.raises(analyze.UnsafeFormulaError):
+        query(["x", "y"], plus(X, Y, 5), {}, spark)
+
+
+def test_shared_subformulas_are_one_relation(spark, edge):
+    both = Exists(("y",), And((Rel("edge", (X, Y)), Rel("edge", (Y, Z)))))
+    f = Or((And((both, lt(X, Z))), And((both, eq(X, 1)))))
+    assert got(query(["x", "z"], f, {"edge": edge}, spark)) == {(a, d) for a, b in EDGES for c, d in EDGES if b == c and (a < d or a == 1)}
+
+
+def test_rest_of_a_relation(spark):
+    t = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "k long, s string, d double")
+    rows = query(["rest"], Rel("t", (2,), Var("rest")), {"t": t}, spark).collect()
+    assert [tuple(r.rest) for r in rows] == [("b", 3.0)]
+
+
+def test_demand_works_out_only_what_is_asked_for(spark):
+    chains = spark.range(0, 1000).selectExpr("id as a", "id + 1 as b").filter("a % 100 != 99")
+    rules = datalog.parse("path(X, Y) :- edge(X, Y). path(X, Z) :- edge(X, Y), path(Y, Z).")
+    program, goal = datalog.demand(datalog.Program(rules), Rel("path", (950, Y)))
+    out = datalog.run(program, {"edge": chains}, spark)
+    assert "path" not in out and out[goal.name].count() == sum(range(50)) and out[f"asked {goal.name}"].count() == 50
+    assert got(datalog.ask(datalog.Program(rules), Rel("path", (950, Y)), {"edge": chains}, spark)) == {(i,) for i in range(951, 1000)}
+    back = datalog.parse("path(X, Y) :- edge(X, Y). path(X, Z) :- path(X, Y), edge(Y, Z).")
+    assert got(datalog.ask(datalog.Program(back), Rel("path", (3, Y)), {"edge": chains}, spark)) == {(i,) for i in range(4, 100)}
+    assert datalog.ask(datalog.Program(back), Rel("path", (X, Y)), {"edge": chains.filter("a < 10")}, spark).count() == 55
+    least = datalog.parse("near(A, B, W) :- road(A, B, W). near(A, C, D) :- near(A, B, E), road(B, C, W), D = E + W.")
+    roads = spark.createDataFrame([("a", "b", 1), ("a", "c", 7), ("b", "c", 1), ("c", "d", 1), ("d", "a", 5)], "a string, b string, d long")
+    assert got(datalog.ask(datalog.Program(least, {"near": "min"}), Rel("near", ("a", Y, Z)), {"road": roads}, spark)) == {("b", 1), ("c", 2), ("d", 3), ("a", 8)}
+    neg = datalog.parse("p(X, Y) :- e(X, Y), not q(X, Y). q(X, Y) :- e(Y, X).")
+    e = spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "a long, b long")
+    assert got(datalog.ask(datalog.Program(neg), Rel("p", (1, Y)), {"e": e}, spark)) == {(3,)}
+
+
+def test_routes(spark):
+    roads = spark.createDataFrame([("a", "b", 1), ("a", "c", 7), ("b", "c", 1), ("c", "d", 1), ("d", "a", 5)], "a string, b string, d long")
+    routes = {(r.a, r.b): (r.d, r.route) for r in rec.shortest_routes(roads).collect()}
+    assert routes["a", "d"] == (3, ["a", "b", "c", "d"]) and routes["a", "a"] == (8, ["a", "b", "c", "d", "a"]) and len(routes) == 16
+
+
+def test_long_paths_have_no_round_limit(spark):
+    chain = spark.range(0, 40).selectExpr("id as a", "id + 1 as b")
+    assert rec.reach(chain, spark.createDataFrame([(0,)], "s long")).count() == 40
+    assert rec.reach(chain, spark.createDataFrame([(0,)], "s long"), steps=5).count() == 5
+
+
+def test_definitions_by_formulas(spark, edge):
+    rules = datalog.define(Rel("far", (X, Y)), Or((Rel("edge", (X, Y)), Exists(("z",), And((Rel("far", (X, Z)), Rel("edge", (Z, Y))))))))
+    assert got(datalog.run(datalog.Program(rules), {"edge": edge}, spark)["far"]) == got(rec.closure(edge))
+
+
+def test_arithmetic_in_rules(spark):
+    t = spark.createDataFrame([(1, 2), (3, 5)], "a long, b long")
+    rules = datalog.parse("s(X, Z) :- t(X, Y), Z = X + Y * 2 -1. u(X) :- t(X, Y), X * 2 < Y. v(X) :- t(X, Y), Y - X = 2.")
+    out = datalog.run(datalog.Program(rules), {"t": t}, spark)
+    assert got(out["s"]) == {(1, 4), (3, 12)} and got(out["u"]) == set() and got(out["v"]) == {(3,)}
+
+
+def test_terms_and_lists(spark):
+    from relspark.functions import lists, terms
+
+    rows = spark.createDataFrame([([9, 9],), ([10, 9],), ([2],)], "v array<int>")
+    assert [r.v for r in rows.orderBy(terms.term("vector", F.col("v"), items="number")).collect()] == [[2], [9, 9], [10, 9]]
+    raw = spark.createDataFrame([(bytearray(b""),), (bytearray(b"\x00\xff"),), (None,)], "b binary")
+    assert [r[0] for r in raw.select(lists.bytes_to_list(F.col("b"))).collect()] == [[], [0, 255], None]
+    assert ops.sorted_strictly(spark.range(0, 500).selectExpr("id as p", "id * 2 as v"), ["v"], "p")
+    assert not ops.sorted_strictly(spark.range(0, 500).selectExpr("id as p", "id % 499 as v"), ["v"], "p")
+
+
+def test_a_merge_of_ones_own(spark):
+    t = spark.createDataFrame([(1, 1), (1, 4), (2, 2)], "k long, v long")
+    e = spark.createDataFrame([(1, 2)], "a long, b long")
+    rules = datalog.parse("m(K, V) :- t(K, V). m(B, V) :- m(A, V), e(A, B).")
+    out = datalog.run(datalog.Program(rules, {"m": ops.Merge(F.bit_or, idempotent=True)}), {"t": t, "e": e}, spark)["m"]
+    assert got(out) == {(1, 5), (2, 7)}
+    with pytest.raises(analyze.UnsafeFormulaError):
+        datalog.run(datalog.Program(rules, {"m": ops.Merge(F.sum)}), {"t": t, "e": e}, spark)

@@ -130,3 +130,40 @@ def test_tick_stream(spark, tmp_path):
     assert got(p.state(1)["seen"]) == {(1,), (2,), (3,)}
     votes = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 1)], "k string, v long")
     assert got(ticks.quorum(votes, ["k"], "v", 2)) == {("a", 2)}
+
+
+def test_every_files_header_is_compared(spark, tmp_path):
+    folder = tmp_path / "two.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("v,k\n1,2\n")
+    (folder / "b.csv").write_text("k,v\n30,40\n")
+    with pytest.raises(files.HeaderError):
+        files.read(spark, str(folder), "v int, k int", header=["v", "k"])
+    (folder / "b.csv").write_text("v,k\n30,40\n")
+    assert {tuple(r) for r in files.read(spark, str(folder), "v int, k int", header=["v", "k"]).collect()} == {(1, 2), (30, 40)}
+
+
+def test_tsv_with_a_header_in_many_files(spark, tmp_path):
+    rows = spark.range(0, 1000).selectExpr("id", "concat('\"a', id, ' ') as t")
+    path = str(tmp_path / "x.tsv")
+    files.write(rows.repartition(7), path, header=True)
+    back = files.read(spark, path, "id bigint, t string", header=["id", "t"])
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in rows.collect()} and back.count() == 1000
+    bad = spark.createDataFrame([(1, "a\tb")], "id long, t string")
+    with pytest.raises(Exception, match="tab or line end"):
+        files.write(bad, str(tmp_path / "y.tsv"), header=True)
+
+
+def test_empty_lines_and_short_lines(spark, tmp_path):
+    (tmp_path / "one.tsv").write_text("a\n\nb\r\n\n")
+    assert sorted(r[0] for r in files.read(spark, str(tmp_path / "one.tsv"), "t string").collect()) == ["", "", "a", "b"]
+    (tmp_path / "two.tsv").write_text("a\tb\nc\n")
+    with pytest.raises(Exception, match="without 2 fields"):
+        files.read(spark, str(tmp_path / "two.tsv"), "t string, u string").collect()
+
+
+def test_csv_fields_keep_their_spaces_and_lines(spark, tmp_path):
+    rows = spark.createDataFrame([(" a ", 'q"x'), ("", "two\nlines"), ("c,d", " ")], "a string, b string")
+    path = str(tmp_path / "s.csv")
+    files.write(rows, path)
+    assert {tuple(r) for r in files.read(spark, path, "a string, b string", multi_line=True).collect()} == {tuple(r) for r in rows.collect()}
