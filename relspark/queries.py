@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from .plans.compile import query
 from .plans.formula import ANY, Aggregate, And, Compute, Exists, ForAll, Iff, Imply, Not, Or, Rel, Solve, Var, eq, le, lt, neq
 from .sources import files
 from .sources.catalog import Catalog
-from .storage import shared_folder
+from .storage import scratch
 from .streaming import ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -504,7 +503,7 @@ def vector_order(spark, d):
 
 @_query("(SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders) EXCEPT SELECT s_suppkey FROM supplier")
 def catalog_assign(spark, d):
-    c = Catalog(spark, f"{shared_folder(spark)}/relspark-catalog-{uuid.uuid4().hex}")
+    c = _new_catalog(spark)
     for name, table, key in (("a", "customer", "c_custkey"), ("b", "orders", "o_custkey"), ("c", "supplier", "s_suppkey")):
         c.create(name, "k bigint")
         c.insert(name, _t(spark, d, table, F.col(key).alias("k")))
@@ -655,7 +654,7 @@ def graph_two_hop(spark, d):
 
 
 def _written(spark, df, fmt, **how):
-    path = f"{shared_folder(spark)}/relspark-{uuid.uuid4().hex}.{fmt}"
+    path = scratch(spark, f"written.{fmt}")
     files.write(df, path, **how)
     return path
 
@@ -716,7 +715,7 @@ def literal_facts(spark, d):
 
 
 def _new_catalog(spark):
-    return Catalog(spark, f"{shared_folder(spark)}/relspark-catalog-{uuid.uuid4().hex}")
+    return Catalog(spark, scratch(spark, "catalog"))
 
 
 @_query("SELECT * FROM (VALUES ('clients'), ('copy'), ('orders')) t(name)")
