@@ -14,29 +14,34 @@ from relspark.llm.store import keep, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble, learnt from all labels, accepts."""
+    """Documents that the rule ensemble, learnt from all labels, accepts.  A null text is scored as an empty one; rows
+    that repeat an id are each scored by their own text; a null id is no reason to go."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).filter("predicted = 1").select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id."""
+    """One document of each near-duplicate group, that of the smallest doc_id.  Null and empty texts and null ids stay;
+    rows that repeat an id are one document."""
     return minhash.drop_near_duplicates(docs)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has go; documents with nothing left go too.  n_chars follows the text."""
+    """Passages that an earlier document has go; documents with nothing left go too.  n_chars follows the text where it
+    was cut.  Null and empty texts and rows without an id stay as they are; rows that repeat an id lose nothing to one
+    another."""
     cut = passages.cut_repeated(docs).filter("removed_runs = 0 or trim(text) != ''")
     return cut.selectExpr(*(c if c != "n_chars" else "case when removed_runs > 0 then length(text) else n_chars end as n_chars" for c in docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item.  Null and empty texts and null ids stay; of rows that repeat an id all go if
+    one holds an item."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document that is left."""
+    """Token ids of every document that is left, one row for each.  A null text has null ids, an empty one none."""
     model = sentencepiece_tok.read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
     return sentencepiece_tok.encode(docs, model).select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
