@@ -29,8 +29,9 @@ from .store import drop, keep, small_batches
 from .text import CHUNK_BYTES, Words, chunks, mix
 
 _U = np.uint64
-#: Shorter runs are left alone: set phrases, headings, licence lines.
-MIN_WORDS = 20
+#: Shorter runs are left alone: set phrases, headings, licence lines, test items.  What the cuts cover of a passage inside
+#: differing text is some 15 words less than the passage, so this stands for passages of 45 to 50 words and more.
+MIN_WORDS = 30
 #: Words on either side of a cut that decide it.
 CALM = 3
 #: Recurrences in a piece where words recur every CALM words or sooner.
