@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import arith, lists, terms, trigram
+from .functions import arith, expr, lists, terms, trigram
 from .operators import graph
 from .operators import recursion as rec
 from .operators import relational as ops
@@ -909,3 +909,26 @@ def tick_send(spark, d):
     program = ticks.TickProgram({}, send=[datalog.Rule(Rel("alarm", (V("i"), V("t"))), (Rel("event", (V("i"), V("t"), V("v"))), lt(50.0, V("v"))))])
     sent = ticks.tick(program, {}, {"event": events}, spark).sent["alarm"].toDF("i", "kind")
     return sent.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# the language of terms
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'small' WHEN o_orderstatus = 'P' AND o_totalprice < 100000 THEN 'open' ELSE 'large' END AS kind, CASE WHEN NOT (o_custkey > 50 OR o_orderkey % 4 = 0) THEN 2 * (o_custkey + 1) + (o_custkey + 1) * (o_custkey + 1) ELSE -1 END AS n FROM orders")
+def term_control(spark, d):
+    """cond, and, or, not, if, let* as one column expression."""
+    kind = ("cond", (("<", V("o_totalprice"), 1000), "small"), (("and", ("=", V("o_orderstatus"), "P"), ("<", V("o_totalprice"), 100000)), "open"), ("else", "large"))
+    whole = ("=", ("*", 4, ("floor", ("/", V("o_orderkey"), 4))), V("o_orderkey"))
+    n = ("if", ("not", ("or", (">", V("o_custkey"), 50), whole)), ("let*", (("x", ("+", V("o_custkey"), 1)), ("y", ("*", V("x"), V("x")))), ("+", ("*", 2, V("x")), V("y"))), -1)
+    orders = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return orders.select("o_orderkey", expr.column(kind).alias("kind"), expr.column(n).cast("bigint").alias("n"))
+
+
+@_query(f"SELECT p_partkey, array_to_string(list_transform(list_filter(w, lambda x: x <> w[1]), lambda x: x || '!'), ' ') AS marked, array_to_string(list_reverse(w), '') AS folded, array_to_string(['<', w[1], '>'], '') AS quoted, CAST(len(w) AS INTEGER) AS n FROM ({_WORDS})")
+def term_lists(spark, d):
+    """map, filter, folds, templates over lists."""
+    marked = ("map", ("lambda", ("x",), ("string-append", V("x"), "!")), ("filter-not", ("lambda", ("x",), ("equal?", V("x"), ("car", V("w")))), V("w")))
+    folded = ("foldl", ("lambda", ("x", "out"), ("string-append", V("x"), V("out"))), "", V("w"))
+    quoted = ("quasiquote", ["<", ("unquote", ("car", V("w"))), ">"])
+    join = lambda t, sep: F.array_join(expr.column(t), sep)
+    return _words(spark, d).select("p_partkey", join(marked, " ").alias("marked"), expr.column(folded).alias("folded"), join(quoted, "").alias("quoted"), expr.column(("length", V("w"))).alias("n"))

@@ -3,9 +3,10 @@ import io
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relspark.cli import csv2tsv
-from relspark.functions import arith, lists, terms, trigram
+from relspark.functions import arith, expr, lists, terms, trigram
 from relspark.plans import datalog
 from relspark.plans.formula import Rel, Var
 from relspark.sources import files
@@ -167,3 +168,33 @@ def test_csv_fields_keep_their_spaces_and_lines(spark, tmp_path):
     path = str(tmp_path / "s.csv")
     files.write(rows, path)
     assert {tuple(r) for r in files.read(spark, path, "a string, b string", multi_line=True).collect()} == {tuple(r) for r in rows.collect()}
+
+
+def test_processes_move_merge_and_answer(spark, tmp_path):
+    schema = T._parse_datatype_string("k bigint")
+    program = ticks.TickProgram({"seen": schema}, insert=[datalog.Rule(Rel("seen", (Var("k"),)), (Rel("new", (Var("k"),)),))], inputs={"new"}, outputs={"out"})
+    a, b = (ticks.Process(program, str(tmp_path / n), spark) for n in "ab")
+    a.step(0, {"new": spark.createDataFrame([(1,)], "k bigint")})
+    b.step(0, {"new": spark.createDataFrame([(2,)], "k bigint")})
+    both = a.merge(0, b, 0, str(tmp_path / "c")).move(str(tmp_path / "d")).modify(program)
+    both.step(1, {"new": spark.createDataFrame([(3,)], "k bigint")})
+    assert {r[0] for r in both.query(1, ["k"], Rel("seen", (Var("k"),))).collect()} == {1, 2, 3}
+    for rules in ({"now": [datalog.Rule(Rel("new", (Var("k"),)), (Rel("seen", (Var("k"),)),))]}, {"insert": [datalog.Rule(Rel("seen", (Var("k"),)), (Rel("out", (Var("k"),)),))]}):
+        with pytest.raises(ValueError, match="device"):
+            ticks.TickProgram({"seen": schema}, inputs={"new"}, outputs={"out"}, **rules).check()
+
+
+def test_terms_compile_to_columns(spark):
+    row = spark.createDataFrame([([1, 2, 3], {"a": 1}, "xy", 5)], "v array<bigint>, d map<string,int>, s string, n int")
+    v, n = Var("v"), Var("n")
+    for term, want in [
+        (("if", (">", n, 4), "big", "small"), "big"), (("when", ("<", n, 4), 1), None), (("unless", ("<", n, 4), 1), 1), (("and",), True), (("or", ("=", n, 5), ("=", n, 6)), True),
+        (("let", (("n", 1), ("m", n)), ("+", n, Var("m"))), 6), (("let*", (("n", 1), ("m", n)), ("+", n, Var("m"))), 2), (("sum", v), 6), (("max", v), 3), (("min", 4, n), 4),
+        (("foldr", ("lambda", ("x", "acc"), ("+", ("*", 10, Var("acc")), Var("x"))), ("integer", 0), v), 321), (("map/append", ("lambda", ("x",), ("list", Var("x"), Var("x"))), v), [1, 1, 2, 2, 3, 3]),
+        (("quasiquote", [7, ("unquote", n)]), [7, 5]), (("quote", [1, 2]), [1, 2]), (("dict-ref", Var("d"), "b", 9), 9), (("dict-ref", Var("d"), "a"), 1), (("-", n), -5),
+        (("bytes-ref", ("string->bytes", Var("s")), 1), 121), (("cons", 0, ("cdr", v)), [0, 2, 3]), (("set-subtract", v, ("quote", [2])), [1, 3]), (("filter", ("lambda", ("x",), (">", Var("x"), 1)), v), [2, 3]),
+    ]:
+        got = row.select(expr.column(term)).first()[0]
+        assert got == want, term
+    with pytest.raises(NameError):
+        expr.column(("no-such", 1))
