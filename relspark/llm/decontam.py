@@ -337,6 +337,11 @@ def _search_rows(shared, overlap: float, item_type: T.DataType):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8) -> DataFrame:
-    """docs without those that hold a benchmark item."""
+    """docs without those that hold a benchmark item.
+
+    Null and empty texts stay, and so do rows without a doc_id, which no result can name; of rows that repeat a doc_id
+    all go if one holds an item.  All columns come back, whatever their names; an empty table on either side takes
+    nothing away.
+    """
     bad = contaminated(docs, benchmark, overlap).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

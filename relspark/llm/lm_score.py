@@ -54,7 +54,8 @@ def _grams(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 def count(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """(bucket, n): words below 2**bits, pairs from there, contexts from twice that.  Counts are combined in the
-    worker, then summed; every token of every text is counted."""
+    worker, then summed; every token of every text is counted, of repeated rows each.  Null and empty texts have none;
+    other columns are ignored; an empty table gives no rows."""
     small_batches(docs.sparkSession)
     size = 1 << bits
 
