@@ -34,8 +34,8 @@ from .text import chunks, mix
 
 _U = np.uint64
 #: A block of a tile has about so many members, and about so many shingles, at most.
-BLOCK = 256
-SHINGLES = 1 << 17
+BLOCK = 2048
+SHINGLES = 1 << 18
 SETS = "id long, n long, sig binary, hist binary, set binary"
 
 
