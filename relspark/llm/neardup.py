@@ -14,7 +14,10 @@ No step emits the pairs of a group:
 2. keys that still hold several components are gone through in tiles: the members outside the key's largest
    component against all members, in blocks of bounded size.  Signatures and histograms of the sets (whose distance
    bounds that of the sets from below) tell which members of a tile have a candidate at all; the full sets of these
-   are then brought to the tile, every candidate is decided there, and the links go out as a spanning forest.
+   are then brought to the tile, every candidate is decided there, and the links go out as a spanning forest;
+3. a key of more than GROUP members in several components, such as one that a common passage makes, is not gone
+   through as a whole: two sets that are similar enough share one of their rarest shingles (as many as may differ, and
+   one), so its members meet by these instead, again in tiles.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ _U = np.uint64
 #: A block of a tile has about so many members, and about so many shingles, at most.
 BLOCK = 2048
 SHINGLES = 1 << 18
+#: Keys of several components with more members than this are split by rare shingles.
+GROUP = 8192
 SETS = "id long, n long, sig binary, hist binary, set binary"
 
 
@@ -177,7 +182,7 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Tab
         if not batch.num_rows:
             continue
         now = pa.Table.from_batches([batch])
-        cols = [now[c].to_numpy() for c in by]
+        cols = [now[c].to_numpy(zero_copy_only=False) if now[c].type == pa.bool_() else now[c].to_numpy() for c in by]
         cut = np.zeros(now.num_rows - 1, bool)
         for c in cols:
             cut |= c[1:] != c[:-1]
@@ -200,7 +205,7 @@ def _candidates(sig: Signature, group: pa.Table) -> Iterator[tuple[int, np.ndarr
         return
     w, hist = sig.slots(group["sig"]), np.frombuffer(b"".join(group["hist"].to_pylist()), np.uint8).reshape(-1, sig.bins).astype(np.int16)
     ids, comp, n = (group[c].to_numpy() for c in ("id", "comp", "n"))
-    keys, here = sig.keys(w).view(np.int64), group["key"][0].as_py()
+    keys, here, rare = sig.keys(w).view(np.int64), group["key"][0].as_py(), group["rare"][0].as_py()
     to = np.flatnonzero(~left)
     for x in np.flatnonzero(left):
         # of two strays, which both are left members somewhere, the larger id is the left one
@@ -210,7 +215,7 @@ def _candidates(sig: Signature, group: pa.Table) -> Iterator[tuple[int, np.ndarr
         ok, far = ok[near], far[near]
         ok = ok[np.argsort(far, kind="stable")]
         ok = ok[sig.may_be(n[ok], n[x], np.abs(hist[ok] - hist[x]).sum(1))]
-        if len(ok):
+        if len(ok) and not rare:
             ok = ok[keys[x][(keys[ok] == keys[x]).argmax(axis=1)] == here]
         if len(ok):
             yield int(x), ok
@@ -220,22 +225,58 @@ def _wanted(sig: Signature):
     """The members of each tile that have a candidate."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["key", "i", "j"]):
+        for group in _groups(batches, ["key", "rare", "i", "j"]):
             want = np.zeros(group.num_rows, bool)
             for x, ok in _candidates(sig, group):
                 want[x] = True
                 want[ok] = True
             if want.any():
-                yield from group.filter(pa.array(want)).select(["key", "i", "j", "is_left", "stray", "id", "comp"]).to_batches()
+                yield from group.filter(pa.array(want)).select(["key", "i", "j", "rare", "is_left", "stray", "id", "comp"]).to_batches()
+
+    return rows
+
+
+def _shingles_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, set) to a row for each shingle."""
+    for batch in batches:
+        for id_, n, raw in zip(batch["id"].to_pylist(), batch["n"].to_pylist(), batch["set"].to_pylist()):
+            values = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), id_)), pa.array(np.full(len(values), n)), pa.array(values)], ["id", "n", "key"])
+
+
+def _rarest(sig: Signature):
+    """Of rows sorted by id and rarity, each id's first ones: of sets of n that are similar enough at least
+    percent * n shingles are common, so one of any n - percent * n + 1 is."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, n = batch["id"].to_numpy(), batch["n"].to_numpy()
+            head = np.append(True, ids[1:] != ids[:-1])
+            place = np.arange(len(ids)) - np.maximum.accumulate(np.where(head, np.arange(len(ids)), 0))
+            if last == ids[0]:
+                place[: int(np.argmax(head[1:])) + 1 if head[1:].any() else len(ids)] += seen
+            last, seen = ids[-1], int(place[-1]) + 1
+            yield batch.filter(pa.array(place <= n - -(-sig.percent * n // 100))).select(["key", "id"])
 
     return rows
 
 
+def _by_rare_shingles(hot: DataFrame, sets: DataFrame, sig: Signature) -> tuple[DataFrame, DataFrame]:
+    """(key, id): the rarest shingles of the classes of hot (id), as keys; and the table that they are made from."""
+    rows = sets.join(hot.select("id").distinct(), "id", "left_semi").select("id", "n", "set").dropDuplicates(["id"]).mapInArrow(_shingles_of, "id long, n long, key long")
+    rows = keep(rows, "shingles")
+    held = rows.groupBy("key").agg(F.count("*").alias("held"))
+    return rows.join(held, "key").repartition("id").sortWithinPartitions("id", "held", "key").mapInArrow(_rarest(sig), "key long, id long"), rows
+
+
 def _decided(sig: Signature):
     """The links of each tile, as a spanning forest over components."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["key", "i", "j"]):
+        for group in _groups(batches, ["key", "rare", "i", "j"]):
             ids, comp, n = (group[c].to_numpy() for c in ("id", "comp", "n"))
             sets = [np.frombuffer(x, _U) for x in group["set"].to_pylist()]
             # the tile's hashes by small numbers, so that one look-up for each value counts what a set shares with all
@@ -294,29 +335,45 @@ def linked(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], sig: S
 
     size = comp.groupBy("comp").agg(F.count("*").alias("held"))
     label = comp.join(size, "comp")
-    rows = shared.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"))
-    info = rows.groupBy("key").agg(F.max(F.struct("held", "comp")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    rows = rows.join(info.select("key", F.col("most.comp").alias("main")), "key").join(sets.select("id", "n"), "id")
-    mixed = keep(rows.select("key", "id", "comp", "n", (F.col("comp") != F.col("main")).alias("stray")), "mixed")
+
+    def in_several(members: DataFrame) -> DataFrame:
+        """(key, id, comp, n, stray) of the keys whose members are in several components."""
+        rows = members.select("key", "id").join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("held", F.lit(1)).alias("held"))
+        info = rows.groupBy("key").agg(F.max(F.struct("held", "comp")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("members")).filter("low < high")
+        rows = rows.join(info.select("key", "members", F.col("most.comp").alias("main")), "key").join(sets.select("id", "n"), "id")
+        return rows.select("key", "id", "comp", "n", "members", (F.col("comp") != F.col("main")).alias("stray"))
+
+    mixed = keep(in_several(shared), "mixed")
+    hot = mixed.filter(F.col("members") > GROUP)
+    if not hot.isEmpty():
+        split, shingles = _by_rare_shingles(hot, sets, sig)
+        split = in_several(split)
+        both = keep(mixed.filter(F.col("members") <= GROUP).withColumn("rare", F.lit(False)).unionByName(split.withColumn("rare", F.lit(True))), "mixed")
+        for used in (mixed, shingles):
+            drop(used)
+        mixed = mixed_kept = both
+    else:
+        mixed, mixed_kept = mixed.withColumn("rare", F.lit(False)), mixed
 
     def blocks(some) -> F.Column:
         return F.ceil(F.greatest(F.count_if(some) / BLOCK, F.sum(F.when(some, F.col("n"))) / SHINGLES))
 
-    shape = mixed.groupBy("key").agg(blocks(F.lit(True)).alias("right"), blocks(F.col("stray")).alias("left"))
-    rows = mixed.drop("n").join(shape, "key").withColumn("at", F.xxhash64("id"))
+    # a key and a shingle may be the same number
+    shape = mixed.groupBy("key", "rare").agg(blocks(F.lit(True)).alias("right"), blocks(F.col("stray")).alias("left"))
+    rows = mixed.drop("n", "members").join(shape, ["key", "rare"]).withColumn("at", F.xxhash64("id"))
     as_right = F.transform(F.sequence(F.lit(0).cast("long"), F.col("left") - 1), lambda i: F.struct(i.alias("i"), F.pmod("at", "right").alias("j"), F.lit(False).alias("is_left")))
     as_left = F.transform(F.sequence(F.lit(0).cast("long"), F.col("right") - 1), lambda j: F.struct(F.pmod("at", "left").alias("i"), j.alias("j"), F.lit(True).alias("is_left")))
     none = F.array().cast("array<struct<i:bigint,j:bigint,is_left:boolean>>")
-    tiled = rows.select("key", "id", "comp", "stray", F.explode(F.concat(as_right, F.when(F.col("stray"), as_left).otherwise(none))).alias("t"))
-    tile = ["key", "i", "j"]
+    tiled = rows.select("key", "rare", "id", "comp", "stray", F.explode(F.concat(as_right, F.when(F.col("stray"), as_left).otherwise(none))).alias("t"))
+    tile = ["key", "rare", "i", "j"]
     # a tile's work is that of its pairs, not of its bytes: as many tasks as the session has for any shuffle
     n_tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiled = tiled.join(sets.select("id", "n", "sig", "hist"), "id").select("key", "t.i", "t.j", "t.is_left", "stray", "id", "comp", "n", "sig", "hist")
-    want = tiled.repartition(n_tasks, *tile).sortWithinPartitions(*tile).mapInArrow(_wanted(sig), "key long, i long, j long, is_left boolean, stray boolean, id long, comp long")
+    tiled = tiled.join(sets.select("id", "n", "sig", "hist"), "id").select("key", "rare", "t.i", "t.j", "t.is_left", "stray", "id", "comp", "n", "sig", "hist")
+    want = tiled.repartition(n_tasks, *tile).sortWithinPartitions(*tile).mapInArrow(_wanted(sig), "key long, i long, j long, rare boolean, is_left boolean, stray boolean, id long, comp long")
     want = keep(want, "wanted")
     pairs = want.join(sets, "id").repartition(n_tasks, *tile).sortWithinPartitions(*tile).mapInArrow(_decided(sig), "a long, b long")
     more = keep(pairs, "links")
-    for used in (shared, sets, mixed, want):
+    for used in (shared, sets, mixed_kept, want):
         drop(used)
     if more.isEmpty():
         return comp

@@ -75,6 +75,25 @@ def test_tiles_put_out_a_forest(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_large_keys_are_split_by_rare_shingles(spark, monkeypatch):
+    """A passage that is most of many documents makes keys of many components; links among them are still all found."""
+    monkeypatch.setattr(neardup, "GROUP", 6)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    common = prose(1, 60, 10**6).split()
+    rows = []
+    for i in range(300):
+        own = prose(1000 + int(rng.integers(0, 120)), int(rng.integers(8, 30)), 10**6).split()
+        t = [*common, *own]
+        if i % 3 == 0:
+            t[int(rng.integers(0, len(t)))] = f"y{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:40])]
+    check(spark, rows)
+    docs = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(400).collect()]
+    check(spark, docs)
+
+
 def test_repeated_ids_and_repeated_rows(spark):
     a, b, c = prose(1, 30), prose(2, 50), prose(3, 40)
     rows = [(5, a), (5, b), (9, b), (8, a), (7, c), (7, c), (6, None), (6, c), (4, ""), (4, None), (3, "one"), (3, "one")]
