@@ -132,29 +132,42 @@ def routes(edges: DataFrame, below, sources: DataFrame | None = None, a: str = "
     return fixpoint(start, lambda x, _: x.join(hop, F.col("b") == F.col("m")).select("a", F.col("to").alias("b"), (F.col("d") + F.col("w")).alias("d")).filter(F.col("d") < below))
 
 
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One step over edges u > v.  Large: the greater neighbours of each vertex go to its least one.  Small: the lesser
+    neighbours and the vertex itself do."""
+    if large:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+
+
 def classes(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(member, representative): the least member of each undirected component.
 
-    Labels are propagated along edges and also along the labels found so far, so the rounds grow with the logarithm of
-    a component's width rather than with the width.
+    Alternating large and small stars: each step is a minimum for each vertex, combined before the shuffle, and an
+    equi-join, which adaptive execution may split, so a vertex of high degree meets in no one task; the number of rounds
+    is logarithmic in a component's size.  Self-edges make classes of one.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = both_kept = keep(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "both")
-    label = last = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("l")), "label")
+    all_edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    now = keep(all_edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
+    seen = None
     while True:
-        near = both.join(label.withColumnsRenamed({"u": "v"}), "v").groupBy("u").agg(F.min("l").alias("n"))
-        step = label.join(near, "u").select("u", F.col("l").alias("old"), F.least("l", "n").alias("l"))
-        jump = label.select(F.col("u").alias("k"), F.col("l").alias("up"))
-        # hooking the old label's own label to the new one lets whole classes merge at once
-        hook = step.groupBy(F.col("old").alias("k")).agg(F.min("l").alias("hooked"))
-        step = step.join(jump, F.col("l") == F.col("k"), "left").drop("k").join(hook, F.col("old") == F.col("k"), "left")
-        step = keep(step.select("u", "old", F.least("l", F.coalesce("up", "l"), F.coalesce("hooked", "l")).alias("l")), "label")
-        drop(last)
-        last = step
-        if step.filter("l != old").isEmpty():
-            drop(both_kept)
-            return step.select(F.col("u").alias("member"), F.col("l").alias("representative"))
-        label = step.select("u", "l")
+        large = keep(_star(now, True), "large")
+        after = keep(_star(large, False), "small")
+        mark = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        drop(large)
+        drop(now)
+        now = after
+        if mark == seen:
+            break
+        seen = mark
+    least = now.select(F.col("v").alias("member"), F.col("v").alias("representative")).distinct()
+    out = now.select(F.col("u").alias("member"), F.col("v").alias("representative")).unionByName(least)
+    alone = all_edges.filter(F.col("a").eqNullSafe(F.col("b"))).select(F.col("a").alias("member")).distinct().join(out, "member", "left_anti")
+    return out.unionByName(alone.withColumn("representative", F.col("member")))
 
 
 def strong_pairs(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -249,3 +249,21 @@ def test_a_merge_of_ones_own(spark):
     assert got(out) == {(1, 5), (2, 7)}
     with pytest.raises(analyze.UnsafeFormulaError):
         datalog.run(datalog.Program(rules, {"m": ops.Merge(F.sum)}), {"t": t, "e": e}, spark)
+
+
+def test_classes_of_any_shape(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000, i) for i in range(1001, 1300)] + [(2000 + i, 2001 + i) for i in range(150)] + [(5000, 5000)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    assert got(rec.classes(spark.createDataFrame(pairs, "a long, b long"))) == {(x, root(x)) for x in parent}
