@@ -73,16 +73,24 @@ def best_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys:
 def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Transitive closure: (a, b) with a path of one edge or more.
 
-    New paths go on with all known ones: path lengths double, and a pair's shortest path of 2**i to 2**(i+1) edges
-    begins with one of 2**i, which was new in the round before.
+    Lengths double: of round k are known the pairs nearer than 2**k, and `far`, those at just that distance.  A pair
+    between 2**k and 2**(k+1) is one nearer and one of far, a pair at 2**(k+1) is two of far, so a pair is made about
+    once in all, and there are as many rounds as the longest distance has bits.
     """
-    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-
-    def step(delta: DataFrame, total: DataFrame) -> DataFrame:
-        on = total.select(F.col("a").alias("m"), F.col("b").alias("to"))
-        return delta.join(on, F.col("b") == F.col("m")).select("a", F.col("to").alias("b"))
-
-    return fixpoint(edges, step)
+    far = keep(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct(), "far")
+    parts = [far]
+
+    def new(left: DataFrame, known: list[DataFrame]) -> DataFrame:
+        on = far.select(F.col("a").alias("m"), F.col("b").alias("to"))
+        found = left.join(on, F.col("b") == F.col("m")).select("a", F.col("to").alias("b")).distinct()
+        return keep(found.join(reduce(DataFrame.unionByName, known), ["a", "b"], "left_anti"), "paths")
+
+    while not far.isEmpty():
+        if parts[-1] is not far:
+            between = new(reduce(DataFrame.unionByName, parts), [*parts, far])
+            parts += [far, between]
+        far = new(far, parts)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def reach(edges: DataFrame, sources: DataFrame, a: str = "a", b: str = "b", steps: int | None = None) -> DataFrame:
