@@ -21,7 +21,7 @@ class NoFixpoint(RuntimeError):
 
 
 #: Rounds whose new rows are tables of their own before they are made one.
-MERGED = 16
+MERGED = 8
 
 
 def _rounds(limit: int | None):

@@ -12,9 +12,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.recursion import NoFixpoint
+from ..operators.recursion import MERGED, NoFixpoint
 from ..operators.relational import Merge, is_idempotent, merge
-from ..storage import keep
+from ..storage import drop, keep
 from .analyze import UnsafeFormulaError, stratify
 from .compile import Relation, query, query_bag
 from .formula import ANY, TRUE, And, Compare, Compute, Domain, Exists, Formula, Not, Or, Rel, Solve, Var, free
@@ -348,6 +348,7 @@ def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program,
             d = _apply(r, {**known, **{m: (s if s is not None else blank) for m, s in seeds.items()}}, spark, False).limit(0)
         how = program.merges.get(n)
         total[n] = delta[n] = keep(merge(d, how) if how else d.distinct(), n)
+    parts = {n: [d] for n, d in total.items()}
     for _ in count() if rounds is None else range(rounds):
         if all(d.isEmpty() for d in delta.values()):
             known.update(total)
@@ -368,7 +369,15 @@ def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program,
             new = reduce(lambda a, b: a.union(b), fresh[n])
             if not how:
                 delta[n] = keep(new.distinct().join(total[n], names, "left_anti"), n)
-                total[n] = total[n].unionByName(delta[n])
+                parts[n].append(delta[n])
+                if len(parts[n]) > MERGED:
+                    # a plan of many rounds' tables grows with the rounds: they are made one now and then
+                    one = keep(reduce(DataFrame.unionByName, parts[n]), n)
+                    for p in parts[n][:-1]:
+                        drop(p)
+                    parts[n], total[n] = [one], one
+                else:
+                    total[n] = total[n].unionByName(delta[n])
             else:
                 both = keep(merge(total[n].union(new), how), n)
                 delta[n] = keep(both.join(total[n], names, "left_anti"), n)
