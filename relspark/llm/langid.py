@@ -86,18 +86,19 @@ def _read(texts: list[str | None]) -> Letters:
     code = np.frombuffer("\n".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = kinds[code]
     is_letter = kind == 1
-    inside = kind > 0
-    # marks belong to the letter before them; those that follow no letter belong to no word
-    place = np.arange(len(code))
-    run = np.maximum.accumulate(np.where(inside & ~np.append(False, inside[:-1]), place, 0))
-    last_letter = np.maximum.accumulate(np.where(is_letter, place, -1))
-    inside &= last_letter >= run
-    # marks, and letters without a script, are written in that of the letter before
-    own = np.where(is_letter, scripts[code], 0)
-    before = np.maximum.accumulate(np.where(own > 0, place, -1))
-    script = np.where(before >= run, own[np.maximum(before, 0)], 0)
-    at = np.flatnonzero(inside)
-    here = script[at]
+    at = np.flatnonzero(is_letter)
+    here = scripts[code[at]]
+    if (kind == 2).any() or not here.all():
+        # marks belong to the letter before them; those that follow no letter belong to no word
+        inside = kind > 0
+        place = np.arange(len(code), dtype=np.int32)
+        run = np.maximum.accumulate(np.where(inside & ~np.append(False, inside[:-1]), place, 0))
+        inside &= np.maximum.accumulate(np.where(is_letter, place, -1)) >= run
+        # marks, and letters without a script, are written in that of the letter before
+        own = np.where(is_letter, scripts[code], 0)
+        before = np.maximum.accumulate(np.where(own > 0, place, -1))
+        at = np.flatnonzero(inside)
+        here = np.where(before >= run, own[np.maximum(before, 0)], 0)[at]
     head = np.append(True, (np.diff(at) > 1) | (here[1:] != here[:-1]) & (here[1:] > 0) & (here[:-1] > 0)) if len(at) else np.zeros(0, bool)
     tail = np.append(head[1:], True) if len(at) else head
     sym = code[at].astype(np.uint64)
@@ -229,26 +230,40 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     lens = np.diff(first)
     few = np.flatnonzero((lens > 0) & (lens <= SEGMENT))
     _short(scores, first[few], lens[few], penalty, labels)
+    # texts of so many segments together that the segments' tables stay within 8 MB, or one text
+    most = max(1, 1_000_000 // scores.shape[1] ** 2) if scores.shape[1] else 1
+    group, size = [], 0
     for i in np.flatnonzero(lens > SEGMENT).tolist():
-        _long(scores, int(first[i]), int(first[i + 1]), penalty, labels)
+        n = -(-int(lens[i]) // SEGMENT)
+        if group and size + n > most:
+            _long(scores, group, penalty, labels)
+            group, size = [], 0
+        group.append((int(first[i]), int(first[i + 1])))
+        size += n
+    if group:
+        _long(scores, group, penalty, labels)
     return labels
 
 
-def _long(scores: np.ndarray, begin: int, end: int, penalty: float, labels: np.ndarray) -> None:
+def _long(scores: np.ndarray, texts: list[tuple[int, int]], penalty: float, labels: np.ndarray) -> None:
+    """Viterbi over longer texts, the segments of all stepping together."""
     n_langs = scores.shape[1]
-    starts = np.arange(begin, end, SEGMENT)
-    lens = np.minimum(SEGMENT, end - starts)
+    starts = np.concatenate([np.arange(a, b, SEGMENT) for a, b in texts])
+    ends = np.concatenate([np.minimum(np.arange(a, b, SEGMENT) + SEGMENT, b) for a, b in texts])
+    lens = ends - starts
     n = len(starts)
     through = np.empty((n, n_langs, n_langs))  # entered with, left with
     enter = np.where(np.eye(n_langs, dtype=bool), 0.0, -penalty)
     back: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    order = np.argsort(lens, kind="stable")
     room = _room(SEGMENT, 5 * n_langs * n_langs)
     for lo in range(0, n, room):
-        seg = np.arange(lo, min(lo + room, n))[::-1]  # the last one may be short, and short ones come first
+        seg = order[lo : lo + room]  # lengths ascend
+        long = int(lens[seg[-1]])
         v = np.broadcast_to(enter, (len(seg), n_langs, n_langs)).copy()
-        moved = np.zeros((SEGMENT, len(seg), n_langs, n_langs), bool)
-        origin = np.zeros((SEGMENT, len(seg), n_langs), np.int32)
-        for t in range(int(lens[seg].max())):
+        moved = np.zeros((long, len(seg), n_langs, n_langs), bool)
+        origin = np.zeros((long, len(seg), n_langs), np.int32)
+        for t in range(long):
             k = int(np.argmax(lens[seg] > t))
             if t:
                 origin[t, k:] = v[k:].argmax(axis=2)
@@ -259,17 +274,21 @@ def _long(scores: np.ndarray, begin: int, end: int, penalty: float, labels: np.n
         through[seg] = v
         back.append((seg, moved, origin))
     entered, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    value = through[0].max(axis=0)
-    came = [through[0].argmax(axis=0)]
-    for j in range(1, n):
-        total = value[:, None] + through[j]
-        came.append(total.argmax(axis=0))
-        value = total.max(axis=0)
-    state = int(value.argmax())
-    for j in range(n - 1, -1, -1):
-        left[j] = state
-        state = int(came[j][state])
-        entered[j] = state
+    i = 0
+    for a, b in texts:
+        count = -(-(b - a) // SEGMENT)
+        value = through[i].max(axis=0)
+        came = [through[i].argmax(axis=0)]
+        for j in range(i + 1, i + count):
+            total = value[:, None] + through[j]
+            came.append(total.argmax(axis=0))
+            value = total.max(axis=0)
+        state = int(value.argmax())
+        for j in range(count - 1, -1, -1):
+            left[i + j] = state
+            state = int(came[j][state])
+            entered[i + j] = state
+        i += count
     for seg, moved, origin in back:
         state = left[seg].copy()
         for t in range(moved.shape[0] - 1, -1, -1):
