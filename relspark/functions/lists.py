@@ -69,8 +69,9 @@ def ref(xs: Column, i: Column) -> Column:
     return F.get(xs, i)
 
 
-def absent(x: Column, xs: Column) -> Column:
-    return not_member(x, xs)
+def absent(x: Column, xs: Column, depth: int = 1) -> Column:
+    """Whether x occurs nowhere in a list, or, with depth, in lists of lists."""
+    return not_member(x, xs) if depth == 1 else F.forall(xs, lambda ys: absent(x, ys, depth - 1))
 
 
 def fold(xs: Column, start: Column, merge) -> Column:

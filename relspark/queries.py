@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import arith, expr, lists, terms, trigram
+from .functions import arith, columns, expr, lists, terms, trigram
 from .operators import graph
 from .operators import recursion as rec
 from .operators import relational as ops
@@ -932,3 +932,62 @@ def term_lists(spark, d):
     quoted = ("quasiquote", ["<", ("unquote", ("car", V("w"))), ">"])
     join = lambda t, sep: F.array_join(expr.column(t), sep)
     return _words(spark, d).select("p_partkey", join(marked, " ").alias("marked"), expr.column(folded).alias("folded"), join(quoted, "").alias("quoted"), expr.column(("length", V("w"))).alias("n"))
+
+
+# columns by position, indexes, nested lists
+
+
+@_query("WITH s AS (SELECT s_name, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS position FROM supplier) SELECT a.position, 'x' AS fixed, a.position + 100 AS later, CAST(CASE WHEN a.position >= 50 THEN 2 WHEN a.position >= 10 THEN 1 ELSE 0 END AS INTEGER) AS part, b.s_name AS pointed FROM s a LEFT JOIN s b ON b.position = a.position * 3 WHERE a.position < 60")
+def virtual_columns(spark, d):
+    """Constants, offsets, intervals and pointers worked out from the rows' positions."""
+    rows = ops.row_position(_t(spark, d, "supplier", "s_suppkey", "s_name"), ["s_suppkey"]).drop("s_suppkey")
+    p = F.col("position")
+    some = columns.subtable(rows, "position", 0, 60).select(columns.identity(p).alias("position"), columns.const("x").alias("fixed"), columns.offset(p, 100).alias("later"), columns.interval(p, [0, 10, 50]).alias("part"), (p * 3).alias("at"))
+    return columns.indirect(some, "at", rows, "position", "s_name", "pointed").drop("at")
+
+
+@_query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_custkey BETWEEN 20 AND 60")
+def index_range(spark, d):
+    """A range of an index, read from the copy in its order."""
+    c = _new_catalog(spark)
+    orders = _t(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    c.create("orders", orders.schema)
+    c.insert("orders", orders)
+    c.add_index("orders", ["o_custkey"])
+    c.add_index("orders", ["o_orderstatus", "o_orderkey"])
+    c.build_indexes("orders")
+    c.commit()
+    return _reopened(spark, c).between("orders", ["o_custkey"], 20, 60).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@_query("SELECT how, CAST(count(*) AS BIGINT) AS n FROM nation, (VALUES ('bytes'), ('disk'), ('scm')) t(how) GROUP BY how")
+def retrieval_types(spark, d):
+    """The same rows from files, from memory as bytes, and from memory as objects."""
+    c = _new_catalog(spark)
+    nation = _t(spark, d, "nation", "n_nationkey", "n_name")
+    c.create("nation", nation.schema)
+    c.insert("nation", nation)
+    counts = []
+    for how in ("bytes", "disk", "scm"):
+        rows = c.relation("nation", how)
+        counts.append((how, rows.count()))
+        rows.unpersist()
+    return spark.createDataFrame(counts, "how string, n bigint")
+
+
+@_query("SELECT n_nationkey, true AS first, false AS same, false AS refused, true AS changed FROM nation WHERE n_nationkey > 3")
+def stale_sources(spark, d):
+    """A relation is built anew when the code that builds it changes, if whoever is asked agrees."""
+    path = _written(spark, _t(spark, d, "nation", "n_nationkey"), "tsv")
+    c = _new_catalog(spark)
+    one = lambda spark, source: files.read(spark, source, "n_nationkey int")
+    two = lambda spark, source: files.read(spark, source, "n_nationkey int").filter("n_nationkey > 3")
+    done = [c.materialize("nation", path, one), c.materialize("nation", path, one), c.materialize("nation", path, two, "interactive", lambda name, changed: changed != ["code"]), c.materialize("nation", path, two)]
+    return c.relation("nation").select("*", *(F.lit(x).alias(n) for n, x in zip(("first", "same", "refused", "changed"), done)))
+
+
+@_query("SELECT o_custkey FROM (SELECT o_custkey, o_orderstatus, list(o_orderpriority) AS ps FROM orders GROUP BY o_custkey, o_orderstatus) GROUP BY o_custkey HAVING NOT list_contains(flatten(list(ps)), '5-LOW')")
+def nested_absent(spark, d):
+    """A value that occurs nowhere in a list of lists."""
+    lists_of = _t(spark, d, "orders", "o_custkey", "o_orderstatus", "o_orderpriority").groupBy("o_custkey", "o_orderstatus").agg(F.collect_list("o_orderpriority").alias("ps"))
+    return lists_of.groupBy("o_custkey").agg(F.collect_list("ps").alias("all")).filter(lists.absent(F.lit("5-LOW"), F.col("all"), depth=2)).select("o_custkey")

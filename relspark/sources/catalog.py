@@ -7,9 +7,11 @@ content is a set expression over physical tables, evaluated when read: the name
 from __future__ import annotations
 
 import copy
+import hashlib
 import json
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +63,8 @@ class Catalog:
 
     def vacuum(self) -> list[str]:
         """Delete tables that neither the committed nor the working manifest reads, and old manifests."""
-        used = {t for m in (self._committed, self._now) for r in m["relations"].values() for t in _tables(r["content"])}
+        kept = [r for m in (self._committed, self._now) for r in m["relations"].values()]
+        used = {t for r in kept for t in _tables(r["content"])} | {t for r in kept if r.get("copies") for t in r["copies"]["tables"].values()}
         gone = []
         for s in self._fs.listStatus(self._path(self.path)):
             name = s.getPath().getName()
@@ -96,9 +99,14 @@ class Catalog:
     def schema(self, name: str) -> T.StructType:
         return T.StructType.fromJson(self._entry(name)["schema"])
 
-    def relation(self, name: str) -> DataFrame:
+    def relation(self, name: str, retrieval: str = "disk") -> DataFrame:
+        """A relation's rows.  retrieval: disk reads them from files each time; bytes and scm hold them in the
+        executors' memory once read, serialized or as objects, and beyond memory on disk."""
         entry = self._entry(name)
-        return self._evaluate(_tupled(entry["content"]), self.schema(name))
+        rows = self._evaluate(_tupled(entry["content"]), self.schema(name))
+        if retrieval == "disk":
+            return rows
+        return rows.persist({"bytes": StorageLevel.MEMORY_AND_DISK, "scm": StorageLevel.MEMORY_AND_DISK_DESER}[retrieval])
 
     def _evaluate(self, e, schema: T.StructType) -> DataFrame:
         if e == ():
@@ -186,11 +194,36 @@ class Catalog:
     def remove_index(self, name: str, columns: list[str]) -> None:
         self._entry(name)["indexes"].remove(list(columns))
 
+    def build_indexes(self, name: str) -> None:
+        """A copy of the relation in the order of each of its indexes, whose columns the others follow, so that a range
+        of the first column reads few row groups.  Copies go stale when the content changes, and are made anew here."""
+        entry, schema = self._entry(name), self.schema(name)
+        copies = {}
+        for columns in entry["indexes"]:
+            whole = [*columns, *(c for c in schema.names if c not in columns)]
+            table = f"t-{uuid.uuid4().hex}"
+            rows = self.relation(name).repartitionByRange(*whole).sortWithinPartitions(*whole)
+            rows.toDF(*(f"c{i}" for i in range(len(schema)))).write.parquet(f"{self.path}/{table}")
+            copies[json.dumps(columns)] = table
+        entry["copies"] = {"of": entry["content"], "tables": copies}
+
+    def _indexed(self, name: str, columns: list[str]) -> DataFrame:
+        entry = self._entry(name)
+        if list(columns) not in entry["indexes"]:
+            raise KeyError(f"{name} has no index on {', '.join(columns)}")
+        copies = entry.get("copies")
+        if copies and copies["of"] == entry["content"] and (table := copies["tables"].get(json.dumps(list(columns)))):
+            return self._evaluate(table, self.schema(name))
+        return self.relation(name)
+
     def ordered(self, name: str, columns: list[str]) -> DataFrame:
         """A relation in the order of one of its indexes."""
-        if list(columns) not in self._entry(name)["indexes"]:
-            raise KeyError(f"{name} has no index on {', '.join(columns)}")
-        return self.relation(name).orderBy(*columns)
+        return self._indexed(name, columns).orderBy(*columns)
+
+    def between(self, name: str, columns: list[str], low, high) -> DataFrame:
+        """Rows whose first column of an index lies from low to high."""
+        first = F.col(columns[0])
+        return self._indexed(name, columns).filter((first >= low) & (first <= high))
 
     def index_dict(self, name: str, columns: list[str]) -> DataFrame:
         """A relation by one of its indexes: each value of its first column with the sorted rows of the others."""
@@ -212,13 +245,17 @@ class Catalog:
 
     # sources
 
-    def materialize(self, name: str, source: str, build, policy: str = "always") -> bool:
-        """Build a relation from a source file or folder by build(spark, source).  An existing one is built anew if
-        the source's size or time has changed and policy is `always`; `never` keeps it.  Whether it was built."""
+    def materialize(self, name: str, source: str, build, policy: str = "always", ask=None) -> bool:
+        """Build a relation from a source file or folder by build(spark, source).  An existing one is stale if the
+        source's size or time or the code of build has changed: `always` builds it anew, `never` keeps it, and
+        `interactive` does as ask(name, what changed) says.  Whether it was built."""
         status = self._fs.getFileStatus(self._path(source)) if "://" not in source else self._path(source).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(self._path(source))
-        stamp = [source, status.getLen(), status.getModificationTime()]
-        if name in self and (policy == "never" or self._entry(name)["source"] == stamp):
-            return False
+        stamp = [source, status.getLen(), status.getModificationTime(), _code(build)]
+        if name in self:
+            old = self._entry(name)["source"] or [None] * 4
+            changed = [what for what, a, b in zip(("path", "size", "time", "code"), old, stamp) if a != b]
+            if policy == "never" or not changed or policy == "interactive" and not ask(name, changed):
+                return False
         rows = build(self.spark, source)
         if name in self:
             self.delete(name)
@@ -236,6 +273,18 @@ class Catalog:
         self.insert(name, rows)
 
 
+def _code(build) -> str:
+    """A digest of a function's code and constants, those of functions inside it too."""
+
+    def parts(code):
+        yield code.co_code
+        for c in code.co_consts:
+            yield from parts(c) if hasattr(c, "co_code") else [repr(c).encode()]
+        yield repr((code.co_names, code.co_varnames)).encode()
+
+    return hashlib.sha256(b"\0".join(parts(build.__code__))).hexdigest() if hasattr(build, "__code__") else ""
+
+
 def _tables(content) -> set[str]:
     return {content} if isinstance(content, str) else {t for p in content[1:] for t in _tables(p)} if content else set()
 
