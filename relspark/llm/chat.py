@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import keep
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -43,10 +45,26 @@ def word_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4) + 1
 
 
+def _dealt(t: DataFrame) -> DataFrame:
+    """Turns with pos, which ascends with conv_id, turn, role and text, and part: a conversation of many turns is in
+    several parts, each with a range of them."""
+    order = ["conv_id", "turn", "role"]  # turns that agree in these go together; texts would be sampled whole
+    return keep(t.repartitionByRange(*order).sortWithinPartitions(*order, "text").withColumn("pos", F.monotonically_increasing_id()), "turns").withColumn("part", F.shiftright("pos", 33))
+
+
+def _with_carry(t: DataFrame, carry: DataFrame) -> DataFrame:
+    """carry: (c_id, c_part, ...), of conversations in several parts only.  A part shares at most two conversations with
+    others, so that is two rows for each part at most, whatever the number of turns."""
+    return t.join(F.broadcast(carry), t["conv_id"].eqNullSafe(carry["c_id"]) & (t["part"] == carry["c_part"]), "left").drop("c_id", "c_part")
+
+
 def windows(conversations: DataFrame, budget: int = 1024, history: int = 2, tokens: Callable[[Column], Column] = word_tokens, target: str = "assistant") -> DataFrame:
     """One row per window: conv_id, window (from 0), n_repeated (leading turns that are repeats), n_turns (own ones),
     formatted, loss (array of start, length: code points of formatted under the mask), n_tokens, over (beyond budget).
 
+    Turns are dealt by ranges, so those of one conversation, however many, are numbered by several tasks (but turns of
+    the same number and role by one); its windows are then made each by itself.
+
     Turns go by turn, then role and text; null turns first, null roles and texts as empty ones.  Repeated rows are
     turns of their own.  A null conv_id is a conversation.  Other columns are ignored.
 
@@ -56,26 +74,52 @@ def windows(conversations: DataFrame, budget: int = 1024, history: int = 2, toke
     """
     share = budget // 4
     t = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    t = t.withColumn("n", tokens(F.col("text")).cast("long"))
-    by = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    t = t.withColumn("at", F.row_number().over(by).cast("long"))
-    upto = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    long = F.col("n") > share
+    t = _dealt(t.withColumn("n", tokens(F.col("text")).cast("long"))).withColumn("long", F.col("n") > share)
+    here = Window.partitionBy("part", "conv_id")
+    one = here.orderBy("pos")
+    upto, zero = one.rowsBetween(Window.unboundedPreceding, 0), F.lit(0).cast("long")
+    # prefix sums inside a part, and for conversations of several parts what the parts before bring
+    t = t.withColumns({"place": F.row_number().over(one).cast("long"), "sum": F.sum("n").over(upto), "longs": F.sum(F.col("long").cast("long")).over(upto)})
+    t = t.withColumn("edge", F.max(F.when(F.col("long"), F.col("sum"))).over(upto))
+    ends = t.groupBy("conv_id", "part").agg(F.count("*").alias("rows"), F.max("sum").alias("sums"), F.max("longs").alias("long_rows"), F.max("edge").alias("edges"), F.max_by("n", "pos").alias("last_n"), F.max_by("long", "pos").alias("last_long"))
+    ends = ends.withColumn("parts", F.count("*").over(Window.partitionBy("conv_id"))).filter("parts > 1")
+    parts = Window.partitionBy("conv_id").orderBy("part")
+    before, after = parts.rowsBetween(Window.unboundedPreceding, -1), parts.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.withColumn("c_sum", F.coalesce(F.sum("sums").over(before), zero))
+    ends = ends.select(
+        F.col("conv_id").alias("c_id"), F.col("part").alias("c_part"), "c_sum", F.coalesce(F.sum("rows").over(before), zero).alias("c_rows"), F.coalesce(F.sum("long_rows").over(before), zero).alias("c_longs"),
+        F.max(F.col("edges") + F.col("c_sum")).over(before).alias("c_edge"), F.lag("last_n").over(parts).alias("p_n"), F.lag("last_long").over(parts).alias("p_long"),
+    )
+    t = _with_carry(t, ends)
+    t = t.withColumn("at", F.col("place") + F.coalesce("c_rows", zero)).withColumn("sum", F.col("sum") + F.coalesce("c_sum", zero)).withColumn("longs", F.col("longs") + F.coalesce("c_longs", zero))
+    t = t.withColumn("edge", F.coalesce(F.greatest(F.col("edge") + F.coalesce("c_sum", zero), "c_edge"), zero))
+
     # runs of ordinary turns between long ones; in a run, a new window begins where the prefix sum enters a new share
-    t = t.withColumn("long", long).withColumn("sum", F.sum("n").over(upto))
-    t = t.withColumn("run", F.sum(long.cast("long")).over(upto) * 2 + F.when(long, 1).otherwise(2))
-    in_run = Window.partitionBy("conv_id", "run").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("cell", F.floor((F.col("sum") - F.col("n") - F.min(F.col("sum") - F.col("n")).over(in_run)) / share))
-    one = Window.partitionBy("conv_id").orderBy("at")
-    begins = F.coalesce((F.lag("run").over(one) != F.col("run")) | (F.lag("cell").over(one) != F.col("cell")), F.lit(True))
-    t = t.withColumn("begins", begins).withColumn("window", F.sum(F.col("begins").cast("long")).over(upto) - 1)
+    def run_and_cell(long: Column, longs: Column, total: Column, n: Column, edge: Column) -> Column:
+        return F.struct((longs * 2 + F.when(long, 1).otherwise(2)).alias("run"), F.when(long, zero).otherwise(F.floor((total - n - edge) / share)).alias("cell"))
+
+    t = t.withColumn("own", run_and_cell(F.col("long"), F.col("longs"), F.col("sum"), F.col("n"), F.col("edge")))
+    previous = F.when(F.col("p_n").isNotNull(), run_and_cell(F.col("p_long"), F.col("c_longs"), F.col("c_sum"), F.col("p_n"), F.coalesce("c_edge", zero)))
+    previous = F.when(F.col("place") > 1, F.lag("own").over(one)).otherwise(previous)
+    t = t.withColumn("begins", ~previous.eqNullSafe(F.col("own"))).withColumn("opened", F.sum(F.col("begins").cast("long")).over(upto))
+    spread = t.filter("c_rows is not null")
+    carry = spread.groupBy("conv_id", "part").agg(F.sum(F.col("begins").cast("long")).alias("opened"), F.sort_array(F.collect_list(F.when(F.col("place") <= history, F.struct("place", "begins", "sum", "n", F.col("opened").alias("window"))))).alias("head"))
+    carry = carry.withColumn("w_before", F.coalesce(F.sum("opened").over(before), zero)).withColumn("w_all", F.sum("opened").over(Window.partitionBy("conv_id")))
+    carry = carry.withColumn("head", F.transform("head", lambda x: F.struct(x["begins"].alias("begins"), x["sum"].alias("sum"), x["n"].alias("n"), (x["window"] + F.col("w_before") - 1).alias("window"))))
+    following = F.slice(F.flatten(F.collect_list("head").over(after)), 1, max(history, 1))
+    carry = carry.select(F.col("conv_id").alias("c_id"), F.col("part").alias("c_part"), "w_before", "w_all", following.alias("following"))
+    t = _with_carry(t.drop("c_rows", "c_sum", "c_longs", "c_edge", "p_n", "p_long"), carry)
+    t = t.withColumn("window", F.col("opened") + F.coalesce("w_before", zero) - 1).withColumn("last", F.coalesce("w_all", F.max("opened").over(here)) - 1)
     # a turn is repeated in the windows that begin within the next `history` turns, while the turns from it on fit
-    again = F.filter(
-        F.array(*(F.when(F.lead("begins", d).over(one) & (F.lead("sum", d).over(one) - F.lead("n", d).over(one) - F.col("sum") + F.col("n") <= share), F.lead("window", d).over(one)) for d in range(1, history + 1))),
-        lambda w: w.isNotNull(),
-    ) if history else F.array().cast("array<bigint>")
-    first = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    t = t.withColumn("again", again).withColumn("last", F.last("window").over(first))
+    t = t.withColumn("left", F.count("*").over(here) - F.col("place"))
+    copied = []
+    for d in range(1, history + 1):
+        next_one = F.coalesce(F.lead(F.struct("begins", "sum", "n", "window"), d).over(one), F.when(F.col("left") < d, F.get("following", (F.lit(d - 1) - F.col("left")).cast("int"))))
+        t = t.withColumn(f"next{d}", next_one)
+        x = F.col(f"next{d}")
+        copied.append(F.when(x["begins"] & (x["sum"] - x["n"] - F.col("sum") + F.col("n") <= share), x["window"]))
+    again = F.filter(F.array(*copied), lambda w: w.isNotNull()) if history else F.array().cast("array<bigint>")
+    t = t.withColumn("again", again)
     # the system turn opens every window; elsewhere it is not history
     system = (F.col("at") == 1) & (F.col("role") == "system")
     again = F.when(system & (F.col("last") > 0), F.sequence(F.lit(1).cast("long"), F.greatest(F.col("last"), F.lit(1).cast("long")))).when(system, F.array().cast("array<bigint>")).otherwise(F.col("again"))
