@@ -31,7 +31,7 @@ from .text import CHUNK_BYTES, Words, chunks, flat, mix
 _U = np.uint64
 BITS = 20
 #: Words of a block, and of a range of keys, about (by bytes of text).
-HELD = 1_200_000
+HELD = 900_000
 _WORD_BYTES = 6
 #: What a text is for.
 TARGET, BACKGROUND, SCORED = 1, 2, 4
@@ -123,26 +123,31 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made()
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, list[tuple[int, Words]]]:
-    """The marks of a block's texts, and their words in runs of whole texts of about CHUNK_BYTES, with their first row."""
+def _unpack(row: dict) -> tuple[np.ndarray, list[tuple[int, np.ndarray]], list[np.ndarray]]:
+    """The marks of a block's texts; for runs of whole texts of about CHUNK_BYTES the first row and where each text's
+    words begin; and the hashes of all words, contexts and pairs."""
     marks, lens = np.frombuffer(row["marks"], np.uint8), np.frombuffer(row["lens"], "<i8")
     data = np.frombuffer(pa.Codec("zstd").decompress(row["data"], row["size"], asbytes=True), np.uint8)
     offsets = np.concatenate([[0], np.cumsum(lens)])
-    out, at, n = [], 0, len(lens)
+    out, hashes, at, n = [], [(np.zeros(0, _U),) * 3], 0, len(lens)
     while at < n:
         end = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1))
-        out.append((at, Words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])))
+        words = Words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        out.append((at, words.first))
+        hashes.append(_hashes(words))
         at = end
-    return marks, out
+    return marks, out, [np.concatenate(x) for x in zip(*hashes)]
 
 
-def _distinct(parts: list[tuple[int, Words]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct words and pairs, and which of them each token's word, context and pair are."""
-    hashes = [_hashes(words) for _, words in parts] or [(np.zeros(0, _U),) * 3]
-    own, context, pair = (np.concatenate(x) for x in zip(*hashes))
-    words, at = np.unique(np.concatenate([own, context]), return_inverse=True)
-    pairs, third = np.unique(mix(pair), return_inverse=True)
-    return words, pairs, at[: len(own)], at[len(own) :], third
+def _distinct(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct words and pairs, and which of them each token's word, context and pair are.  Empties hashes."""
+    pairs, third = np.unique(mix(hashes.pop()), return_inverse=True)
+    context = hashes.pop()
+    n = len(context)
+    both = np.concatenate([hashes.pop(), context])
+    del context
+    words, at = np.unique(both, return_inverse=True)
+    return words, pairs, at[:n], at[n:], third
 
 
 def _ranges(value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,9 +195,9 @@ def _sent(bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                marks, parts = _unpack(row)
-                words, pairs, own, context, pair = _distinct(parts)
-                mark = np.concatenate([*(np.repeat(marks[lo : lo + len(w.first) - 1], np.diff(w.first)) for lo, w in parts), np.zeros(0, np.uint8)])
+                marks, parts, hashes = _unpack(row)
+                words, pairs, own, context, pair = _distinct(hashes)
+                mark = np.concatenate([*(np.repeat(marks[lo : lo + len(first) - 1], np.diff(first)) for lo, first in parts), np.zeros(0, np.uint8)])
                 some = [np.flatnonzero(mark & m) for m in (TARGET, BACKGROUND)]
                 count = lambda at, value: [np.bincount(at[x], minlength=len(value)).astype("<u4") for x in some]  # noqa: B023,E731
                 scored = bool((marks & SCORED).any())
@@ -264,16 +269,16 @@ def _scored(id_col: str, bits: int, tokens: tuple[int, int], vocabulary: int, pr
     scale = tokens[0] / tokens[1] if tokens[1] else 1.0
 
     def of(row: dict, ids: pa.Array, back: dict[int, bytes]) -> pa.RecordBatch:
-        marks, parts = _unpack(row)
-        words, pairs, *tokens_at = _distinct(parts)
+        marks, parts, hashes = _unpack(row)
+        words, pairs, *tokens_at = _distinct(hashes)
         by_pair = _totals(back, pairs, bits, 0, 2)
         by_word = _totals(back, words, _word_bits(bits), 1 << bits, 4)
         n, losses = np.zeros(len(marks), np.int64), np.zeros((2, len(marks)))
         begin = 0
-        for lo, w in parts:
-            own, context, pair = (x[begin : begin + len(w.hashes)] for x in tokens_at)
-            begin += len(w.hashes)
-            size = np.diff(w.first)
+        for lo, first in parts:
+            size = np.diff(first)
+            own, context, pair = (x[begin : begin + int(first[-1])] for x in tokens_at)
+            begin += int(first[-1])
             n[lo : lo + len(size)] = size
             some = np.flatnonzero(size)
             if not len(some):
@@ -286,7 +291,7 @@ def _scored(id_col: str, bits: int, tokens: tuple[int, int], vocabulary: int, pr
                 mass = (tokens[m] - size[text] * member) * by
                 one = (c_word + prior) / (mass + prior * vocabulary)
                 p = (c_pair + strength * one) / (c_context + strength)
-                losses[m, lo + some] = np.add.reduceat(-np.log(p), w.first[some]) / size[some]
+                losses[m, lo + some] = np.add.reduceat(-np.log(p), first[some]) / size[some]
         wanted = pa.array((marks & SCORED) > 0)
         none = n == 0
         t, b, d = (pa.array(x, mask=none) for x in (losses[0], losses[1], losses[0] - losses[1]))
