@@ -301,16 +301,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, sh
     """
     spark = docs.sparkSession
     small_batches(spark)
+    schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *T._parse_datatype_string(_FOUND).fields])
+    out = spark.createDataFrame([], schema)
+    for index in _indexes(benchmark, overlap, shingle, shard_chars):
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(_search_rows(spark.sparkContext.broadcast(index), overlap, benchmark.schema["item_id"].dataType), schema))
+    return out
+
+
+def _indexes(benchmark: DataFrame, overlap: float, shingle: int, shard_chars: int) -> Iterator[Index]:
+    """An index of each shard of the benchmark, of a bounded size."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / shard_chars))
-    schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *T._parse_datatype_string(_FOUND).fields])
-    out = None
     for shard in range(shards):
         part = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard) if shards > 1 else benchmark
         index = build([(r[0], r[1]) for r in part.select("item_id", "text").orderBy("item_id", "text").collect()], overlap, shingle)
-        found = spark.createDataFrame([], schema) if index is None else docs.select("doc_id", "text").mapInArrow(_search_rows(spark.sparkContext.broadcast(index), overlap, benchmark.schema["item_id"].dataType), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        if index is not None:
+            yield index
 
 
 def _search_rows(shared, overlap: float, item_type: T.DataType):
@@ -336,12 +342,29 @@ def _search_rows(shared, overlap: float, item_type: T.DataType):
     return rows
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8) -> DataFrame:
-    """docs without those that hold a benchmark item.
+def _clean_rows(shared, overlap: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        slots = _slots(index.vocabulary)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for lo, _, words in chunks(batch["text"], punctuation=True):
+                for doc, *_ in search(index, words, overlap, slots):
+                    clean[lo + doc] = False
+            yield batch.filter(pa.array(clean))
+
+    return rows
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, shingle: int = 5, shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """docs without the rows that hold a benchmark item, by the rule of contaminated().
 
-    Null and empty texts stay, and so do rows without a doc_id, which no result can name; of rows that repeat a doc_id
-    all go if one holds an item.  All columns come back, whatever their names; an empty table on either side takes
-    nothing away.
+    Each row is decided by its own text where it is read, and nothing is shuffled: rows without a doc_id are no
+    exception, and rows that repeat one are decided one by one.  Null and empty texts stay.  All columns come back,
+    whatever their names; an empty table on either side takes nothing away.  Shards of the benchmark follow one another
+    over the rows that are left.
     """
-    bad = contaminated(docs, benchmark, overlap).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    small_batches(docs.sparkSession)
+    for index in _indexes(benchmark, overlap, shingle, shard_chars):
+        docs = docs.mapInArrow(_clean_rows(docs.sparkSession.sparkContext.broadcast(index), overlap), docs.schema)
+    return docs

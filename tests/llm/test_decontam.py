@@ -112,5 +112,10 @@ def test_odd_rows(spark):
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
     got = Counter((r.doc_id, r.item_id) for r in decontam.contaminated(d, bench).collect())
     assert set(got) == {(7, 1), (None, None), (9, 1), (10, 4)} and got[7, 1] == 4
-    left = decontam.drop_contaminated(d, bench)
-    assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {8, None}
+    rows.append((7, "clean text of the same id"))
+    d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, item_id int")
+    for chars in (10**9, 60):  # one shard or several
+        left = decontam.drop_contaminated(d, bench, shard_chars=chars)
+        assert left.columns == d.columns and sorted((r.doc_id, r.text) for r in left.collect() if r.text) == [(7, "clean text of the same id")]
+        assert {r.doc_id for r in left.collect()} == {7, 8}
+    assert decontam.drop_contaminated(d, bench.limit(0)).count() == d.count() and decontam.drop_contaminated(d.limit(0), bench).count() == 0
