@@ -35,8 +35,8 @@ def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item.  Null and empty texts and null ids stay; of rows that repeat an id all go if
-    one holds an item."""
+    """Documents without a benchmark item.  Null and empty texts stay; a null id is no reason to stay or go; rows that
+    repeat an id are decided one by one."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
