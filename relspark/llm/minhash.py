@@ -59,7 +59,8 @@ def near_duplicates(docs: DataFrame, sig: Signature = FOUR_WORDS) -> DataFrame:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         want = classes.drop("owner").join(ids, "id")
-        return docs.join(want, "doc_id").select("id", "n", "sig", "h1", "h2", "text").mapInArrow(set_rows(sig), SETS)
+        # texts stream past the classes: they are not sorted
+        return docs.join(want.hint("shuffle_hash"), "doc_id").select("id", "n", "sig", "h1", "h2", "text").mapInArrow(set_rows(sig), SETS)
 
     comp = linked(classes, sets_of, sig)
     by_doc = member.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("id").alias("id"), F.max("id").alias("high"), F.min("owner").alias("owner"))
@@ -83,4 +84,4 @@ def drop_near_duplicates(docs: DataFrame, sig: Signature = FIVE_WORDS) -> DataFr
     kept as they are; an empty table stays empty.
     """
     gone = near_duplicates(docs, sig).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)

@@ -277,7 +277,8 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, sig: Signature |
     def sets_of(ids: DataFrame) -> DataFrame:
         want = classes.join(ids, "id", "left_semi").groupBy("doc_id", "t").agg(F.collect_list(F.struct(*_SPAN)).alias("spans"))
         last = set_rows(sig)
-        return docs.join(want, ["doc_id", "t"]).select("text", "spans").mapInArrow(lambda batches: last(_texts_of_spans(batches)), SETS)
+        # texts stream past the spans: they are not sorted
+        return docs.join(want.hint("shuffle_hash"), ["doc_id", "t"]).select("text", "spans").mapInArrow(lambda batches: last(_texts_of_spans(batches)), SETS)
 
     comp = linked(classes, sets_of, sig)
     group = classes.join(comp, "id", "left").select("n", "h1", "h2", "owner", "copies", F.coalesce("comp", "id").alias("comp"))
@@ -304,7 +305,7 @@ def cut_repeated(docs: DataFrame, min_words: int = MIN_WORDS, sig: Signature | N
     # a text with fewer repeated words than one run needs has nothing to cut
     found = found.agg(F.sum("words").alias("__n"), F.collect_list(F.struct("start", "end")).alias("__found")).filter(F.col("__n") >= min_words)
     found = found.select(F.col("doc_id").alias("__doc"), F.col("t").alias("__t"), "__found")
-    both = docs.join(found, (F.col("doc_id") == F.col("__doc")) & (F.hash("text").cast("long") == F.col("__t")), "left").select(*docs.columns, "__found")
+    both = docs.join(found.hint("shuffle_hash"), (F.col("doc_id") == F.col("__doc")) & (F.hash("text").cast("long") == F.col("__t")), "left").select(*docs.columns, "__found")
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("__runs long, __words long, __removed array<struct<start:bigint,text:string>>").fields])
     out = both.mapInArrow(_cut(min_words), schema)
     return out.withColumnsRenamed({"__runs": "removed_runs", "__words": "removed_words", "__removed": "removed"})
