@@ -302,10 +302,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, overlap: float = 0.8, sh
     spark = docs.sparkSession
     small_batches(spark)
     schema = T.StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *T._parse_datatype_string(_FOUND).fields])
-    out = spark.createDataFrame([], schema)
+    out = None
     for index in _indexes(benchmark, overlap, shingle, shard_chars):
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(_search_rows(spark.sparkContext.broadcast(index), overlap, benchmark.schema["item_id"].dataType), schema))
-    return out
+        found = docs.select("doc_id", "text").mapInArrow(_search_rows(spark.sparkContext.broadcast(index), overlap, benchmark.schema["item_id"].dataType), schema)
+        out = found if out is None else out.unionByName(found)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def _indexes(benchmark: DataFrame, overlap: float, shingle: int, shard_chars: int) -> Iterator[Index]:
