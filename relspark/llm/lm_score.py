@@ -208,8 +208,9 @@ def _sent(bits: int):
                         i, j = int(at[p]), int(at[p + 1])
                         out.append((first + p, row["block"], scored, *_squeeze(value[i:j], starts[p]), _planes(np.stack([c[i:j] for c in counts]))))
                 kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary())
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["p", "block", "scored", "width", "key", "n"])
+                # a block's keys are some 10 MB: a batch of all of them would be held by the worker and the executor at once
+                for i in range(0, len(out), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[i : i + 64]), kinds)], ["p", "block", "scored", "width", "key", "n"])
 
     return rows
 

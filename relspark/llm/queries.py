@@ -20,11 +20,16 @@ def html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def _good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs with a column `good`, true for those that have a label of quality 1."""
+    good = labels.filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    # labels grow with the documents: never broadcast; texts stream past them and are not sorted
+    return docs.join(good.hint("shuffle_hash"), "doc_id", "left")
+
+
 def lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    # labels grow with the documents: never broadcast
-    return lm_score.score_within(docs.join(good.hint("merge"), "doc_id", "left"), "good")
+    return lm_score.score_within(_good(docs, table(spark, sf_dir, "labels")), "good")
 
 
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

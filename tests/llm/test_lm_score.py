@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import prose, words
@@ -75,3 +76,26 @@ def test_a_very_long_text(spark):
     d = spark.createDataFrame([(1, prose(1, 400_000, 3000)), (2, prose(2, 50, 3000)), (3, "x" * 3_000_000)], "doc_id long, text string").withColumn("good", F.col("doc_id") == 2)
     got = {r.doc_id: r for r in lm_score.score_within(d, "good").collect()}
     assert {i: r.n_tokens for i, r in got.items()} == {1: 400_000, 2: 50, 3: 1} and all(np.isfinite(r.score) for r in got.values())
+
+
+def test_texts_are_not_sorted_by_the_labels_join(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(3, "again"), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] + [(1, 1), (50, 1), (None, 1)], "doc_id long, quality int")
+    marked = queries._good(docs, labels)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Broadcast" not in plan
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"], bool(r["good"])) for r in marked.collect())
+    want = [(False, i, f"text {i}", i % 2 == 1 and i < 10) for i in range(20)] + [(False, 3, "again", True), (True, 0, "no id", False)]
+    assert got == sorted(want)
+
+
+def test_a_block_is_sent_in_small_batches(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 400))) for i in range(40)]
+    rows = pa.RecordBatch.from_pylist([{"id": i, "text": t, "mark": 7} for i, t in data])
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    blocks = list(lm_score._pack(iter([rows])))
+    out = list(lm_score._sent(8)(iter(blocks)))
+    assert len(blocks) == 1 and max(b.num_rows for b in out) <= 64
+    p = [x for b in out for x in b["p"].to_pylist()]
+    assert len(p) == len(set(p)) == 256 + 64
