@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 _local: dict[str, str] = {}
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_HASHED = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+_ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+#: Bytes of a shuffled partition, at most, that a join hashes instead of sorting it.  A hash table does not spill.
+HASHED_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -53,15 +57,23 @@ atexit.register(_at_exit)
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffles that made the table are deleted as soon as it is written."""
+    The shuffles that made the table are deleted as soon as it is written.  Where the session's partitions are advised
+    to be no larger than HASHED_BYTES, joins one side of which has no larger ones hash it: each sort of a task, however
+    few its rows, would take pages of the heap."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/relspark-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    jvm = spark.sparkContext._jvm
+    advised = jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_ADVISED))
+    hashes = advised <= HASHED_BYTES and spark.conf.get(_HASHED, None) is None
+    now = {_CLEANUP: "true"} | ({_HASHED: str(HASHED_BYTES)} if hashes else {})
+    before = {key: spark.conf.get(key, None) for key in now}
     try:
+        for key, value in now.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._kept_at = path

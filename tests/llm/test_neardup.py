@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from test_operators import brute_components, prose, words
 
-from relspark.llm import minhash, neardup, passages
+from relspark.llm import minhash, neardup, passages, store
 
 
 def exact_components(rows, k=4, percent=80):
@@ -188,3 +188,30 @@ def test_passages_of_repeated_ids(spark):
     left = Counter((r.doc_id, r.text) for r in got)
     assert left[(1, f"é {a}")] == left[(1, b)] == left[(None, a)] == left[(3, None)] == left[(3, "")] == 1
     assert all(r.removed_words >= 50 for r in got if r.doc_id == 2)
+
+
+def test_joins_of_small_partitions_are_hashed_in_kept_tables(spark):
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m"}
+    left = spark.range(2000).select((F.col("id") % 100).alias("k"), "id")
+    right = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    before = {k: spark.conf.get(k) for k in (*confs, store._HASHED)}
+
+    def plan_of_last():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        plans = [found.apply(i).physicalPlanDescription() for i in range(found.size())]
+        return [p for p in plans if "Join" in p][-1].split("Initial Plan")[0]
+
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        kept = store.keep(left.join(right, "k"), "joined")
+        assert "ShuffledHashJoin" in plan_of_last() and "SortMergeJoin" not in plan_of_last()
+        assert sorted(map(tuple, kept.collect())) == sorted((i % 100, i, i % 100 * 2) for i in range(2000) if i % 100 < 50)
+        assert spark.conf.get(store._HASHED) == before[store._HASHED]
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
+        store.keep(left.join(right, "k"), "joined")
+        assert "SortMergeJoin" in plan_of_last()
+    finally:
+        for k in confs:
+            spark.conf.set(k, before[k])
