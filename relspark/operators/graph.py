@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 class Graph:
     """concepts: (curie, key, value); edges: (eid, subject, object); properties: (eid, key, value), of edges.
 
-    Filters on properties come first, then edges are met by the narrower side; sizes are left to Catalyst."""
+    Filters on properties come first, edges are met by the known concepts and then by their own properties; sizes are left
+    to Catalyst."""
 
     concepts: DataFrame
     edges: DataFrame
@@ -30,9 +31,9 @@ class Graph:
         """(value): all values of an edge property."""
         return self.properties.filter(F.col("key") == key).select("value").distinct()
 
-    def edges_having(self, wanted: dict[str, list[str]]) -> DataFrame:
-        """(eid, subject, object): edges that have, for each key, one of the values."""
-        out = self.edges
+    def edges_having(self, wanted: dict[str, list[str]], of: DataFrame | None = None) -> DataFrame:
+        """(eid, subject, object): edges, or those of some, that have, for each key, one of the values."""
+        out = self.edges if of is None else of
         for key, values in wanted.items():
             own = self.properties.filter((F.col("key") == key) & F.col("value").isin(values)).select("eid")
             out = out.join(own, "eid", "left_semi")
@@ -40,11 +41,13 @@ class Graph:
 
     def known_to_x(self, known: DataFrame, edge: dict[str, list[str]] | None = None) -> DataFrame:
         """(eid, subject, object) from the known concepts on."""
-        return self.edges_having(edge or {}).join(known.select(F.col("curie").alias("subject")), "subject", "left_semi").select("eid", "subject", "object")
+        near = self.edges.join(known.select(F.col("curie").alias("subject")), "subject", "left_semi")
+        return self.edges_having(edge or {}, near).select("eid", "subject", "object")
 
     def x_to_known(self, known: DataFrame, edge: dict[str, list[str]] | None = None) -> DataFrame:
         """(eid, subject, object) that lead to the known concepts."""
-        return self.edges_having(edge or {}).join(known.select(F.col("curie").alias("object")), "object", "left_semi").select("eid", "subject", "object")
+        near = self.edges.join(known.select(F.col("curie").alias("object")), "object", "left_semi")
+        return self.edges_having(edge or {}, near).select("eid", "subject", "object")
 
     def known_to_known(self, left: DataFrame, right: DataFrame, edge: dict[str, list[str]] | None = None) -> DataFrame:
         """(a, m, b): what an edge from a concept of left and one from a concept of right both lead to."""

@@ -628,7 +628,8 @@ def _graph(spark, d):
     parts = _t(spark, d, "part", F.concat(F.lit("part:"), "p_partkey").alias("curie"), F.lit("brand").alias("key"), F.col("p_brand").alias("value"))
     supp = _t(spark, d, "supplier", "s_suppkey", F.col("s_nationkey").alias("n_nationkey")).join(_t(spark, d, "nation", "n_nationkey", "n_name"), "n_nationkey")
     concepts = parts.union(supp.select(F.concat(F.lit("supp:"), "s_suppkey"), F.lit("place"), "n_name"))
-    lines = _t(spark, d, "lineitem", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("eid"), F.concat(F.lit("part:"), "l_partkey").alias("subject"), F.concat(F.lit("supp:"), "l_suppkey").alias("object"), "l_returnflag")
+    # an order may have several lines of one number, so what they link is part of an edge's id
+    lines = _t(spark, d, "lineitem", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("eid"), F.concat(F.lit("part:"), "l_partkey").alias("subject"), F.concat(F.lit("supp:"), "l_suppkey").alias("object"), "l_returnflag")
     return graph.Graph(concepts, lines.select("eid", "subject", "object"), lines.select("eid", F.lit("flag").alias("key"), F.col("l_returnflag").alias("value")))
 
 
