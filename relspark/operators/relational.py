@@ -53,13 +53,19 @@ def outer_default(left: DataFrame, right: DataFrame, on: Names, defaults: dict)
 def divide(df: DataFrame, key: Names, value: str, divisor: DataFrame) -> DataFrame:
     """Keys that go with every value of the divisor: those whose matching values are as many as there are.
 
-    An empty divisor gives every key.
+    An empty divisor gives every key.  The divisor's values are numbered, and each key gathers the numbers it has as bits
+    of a word (one word for each 64 values), so what a task holds is one word for a key and not its values.
     """
-    values = divisor.select(value).distinct()
-    n = values.agg(F.count("*").alias("__all"))
-    held = df.join(values, value, "left_semi").groupBy(*key).agg(F.countDistinct(value).alias("__n"))
-    all_keys = df.select(*key).distinct().join(held, list(key), "left").fillna({"__n": 0})
-    return all_keys.join(F.broadcast(n), F.col("__n") == F.col("__all")).select(*key)
+    numbered = row_position(divisor.select(value).distinct(), [value], into="__number")
+    n = numbered.count()
+    if n == 0:
+        return df.select(*key).distinct()
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(__number % 64 as int))"))
+    held = df.select(*key, value).join(numbered, value)
+    if n <= 64:
+        return held.groupBy(*key).agg(bits.alias("__bits")).filter(F.bit_count("__bits") == n).select(*key)
+    words = held.groupBy(*key, F.floor(F.col("__number") / 64).alias("__word")).agg(bits.alias("__bits"))
+    return words.groupBy(*key).agg(F.sum(F.bit_count("__bits")).alias("__n")).filter(F.col("__n") == n).select(*key)
 
 
 # sets

@@ -1,8 +1,11 @@
 """Queries over small tables made for one case each, against the SQL of the registry."""
 
+import re
+
 import duckdb
 import pytest
 
+from relspark.operators import relational as ops
 from relspark.queries import ORACLE, QUERIES
 
 
@@ -33,3 +36,13 @@ def test_graph_of_lines_with_one_number(same_as_sql):
         nation="SELECT 1 AS n_nationkey, 'FRANCE' AS n_name",
     )
     assert rows == [("supp:7", "FRANCE", "R")]
+
+
+def test_division_holds_a_word_for_a_key(spark):
+    """No task gathers pairs of key and value; a divisor of more values than a word has bits counts whole."""
+    rows = [(k, v) for k in range(5) for v in range(130) if k < 3 or v != 64 + k]
+    held = spark.createDataFrame([*rows, (7, 500), *rows[:40]], "k long, v long")
+    for n, want in ((0, {0, 1, 2, 3, 4, 7}), (3, {0, 1, 2, 3, 4}), (64, {0, 1, 2, 3, 4}), (68, {0, 1, 2, 4}), (130, {0, 1, 2})):
+        assert [r.k for r in ops.divide(held, ["k"], "v", held.filter(f"v < {n}")).orderBy("k").collect()] == sorted(want)
+    plan = ops.divide(held, ["k"], "v", held.filter("v < 3"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Aggregate\(keys=\[k#\d+L?, v#", plan)
