@@ -33,8 +33,12 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
 
     A step that makes no new values ends by itself; for any other, rounds is the limit, at which it is an error that
     rows are still new, or, with stop, what there is by then is the result."""
-    parts = [keep(seed.distinct(), "delta")]
-    total = delta = parts[0]
+    return _grow([keep(seed.distinct(), "delta")], step, rounds, stop)
+
+
+def _grow(parts: list[DataFrame], step: Callable[[DataFrame, DataFrame], DataFrame], rounds: int | None = None, stop: bool = False) -> DataFrame:
+    """fixpoint() from kept tables of which only the last holds rows whose steps are still to be made."""
+    total, delta = reduce(DataFrame.unionByName, parts), parts[-1]
     for _ in _rounds(rounds):
         if delta.isEmpty():
             return total
@@ -53,6 +57,40 @@ def fixpoint(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame],
     raise NoFixpoint(f"rows were still new after {rounds} rounds")
 
 
+def linear(seed: DataFrame, hop: DataFrame, at: str) -> DataFrame:
+    """Least set that holds seed and, for a row whose column at is m and each (m, to) of hop, the row with to instead.
+    hop is read every round: distinct pairs that are kept.
+
+    Steps double: with all rows of fewer than n hops and the table of walks of n hops, one join gives the rows of fewer
+    than 2n, so there are as many rounds as the longest way has bits.  Walks of 2n are made only if their join has no
+    more rows than hop (forests, rings, functions); in denser graphs the rounds go on by new rows and walks of n.
+    """
+    step, made = hop.toDF("__m", "__to"), None
+    size = step.count()
+    parts = [keep(seed.distinct(), "delta")]
+    columns = parts[0].columns
+
+    def further(rows: DataFrame, _=None) -> DataFrame:
+        return rows.join(step, F.col(at) == F.col("__m")).select(*(F.col("__to").alias(c) if c == at else c for c in columns))
+
+    while True:
+        total = reduce(DataFrame.unionByName, parts)
+        parts.append(keep(further(total).distinct().join(total, columns, "left_anti"), "delta"))
+        if parts[-1].isEmpty():
+            return total
+        ends = step.select(F.col("__to").alias("n"), F.lit(1).alias("in"), F.lit(0).alias("out")).union(step.select("__m", F.lit(0), F.lit(1)))
+        degrees = ends.groupBy("n").agg(F.sum("in").alias("in"), F.sum("out").alias("out"))
+        walks = degrees.agg(F.sum(F.col("in").cast("double") * F.col("out"))).first()[0]
+        if not walks:
+            return reduce(DataFrame.unionByName, parts)
+        if walks > size:
+            return _grow(parts, further)
+        twice = keep(step.join(step.toDF("__n", "__end"), F.col("__to") == F.col("__n")).select("__m", F.col("__end").alias("__to")).distinct(), "walks")
+        if made is not None:
+            drop(made)
+        step = made = twice
+
+
 def best_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, least: bool = True, rounds: int | None = None) -> DataFrame:
     """Each key's least (or greatest) value, where better values go on to make others."""
     best = F.min if least else F.max
@@ -103,7 +141,7 @@ def reach(edges: DataFrame, sources: DataFrame, a: str = "a", b: str = "b", step
 
 def shortest(edges: DataFrame, sources: DataFrame | None = None, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:
     """(a, b, d): least total over the paths of one edge or more; weights must not be negative."""
-    hop = edges.groupBy(F.col(a).alias("m"), F.col(b).alias("to")).agg(F.min(d).alias("w"))
+    hop = keep(edges.groupBy(F.col(a).alias("m"), F.col(b).alias("to")).agg(F.min(d).alias("w")), "hops")
     start = hop.select(F.col("m").alias("a"), F.col("to").alias("b"), F.col("w").alias("d"))
     if sources is not None:
         start = start.join(sources.toDF("a"), "a", "left_semi")
@@ -133,7 +171,7 @@ def shortest_routes(edges: DataFrame, sources: DataFrame | None = None, a: str =
 
 def routes(edges: DataFrame, below, sources: DataFrame | None = None, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:
     """(a, b, d) of all walks with a total below the bound."""
-    hop = edges.select(F.col(a).alias("m"), F.col(b).alias("to"), F.col(d).alias("w")).distinct()
+    hop = keep(edges.select(F.col(a).alias("m"), F.col(b).alias("to"), F.col(d).alias("w")).distinct(), "hops")
     start = hop.select(F.col("m").alias("a"), F.col("to").alias("b"), F.col("w").alias("d")).filter(F.col("d") < below)
     if sources is not None:
         start = start.join(sources.toDF("a"), "a", "left_semi")
@@ -187,6 +225,6 @@ def strong_pairs(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def levels(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
     """(node, level): the most edges on a path from the node; the graph must have no cycles (rounds: where one is
     taken for a cycle)."""
-    pairs = edges.select(F.col(a).alias("p"), F.col(b).alias("node")).distinct()
+    pairs = keep(edges.select(F.col(a).alias("p"), F.col(b).alias("node")).distinct(), "hops")
     nodes = pairs.select("node").union(pairs.select("p")).distinct().withColumn("level", F.lit(0).cast("long"))
     return best_fixpoint(nodes, lambda x: x.join(pairs, "node").select(F.col("p").alias("node"), (F.col("level") + 1).alias("level")), ["node"], "level", least=False, rounds=rounds)

@@ -12,7 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.recursion import MERGED, NoFixpoint
+from ..operators.recursion import MERGED, NoFixpoint, linear
 from ..operators.relational import Merge, is_idempotent, merge
 from ..storage import drop, keep
 from .analyze import UnsafeFormulaError, stratify
@@ -331,6 +331,31 @@ def _once(rules: list[Rule], how: str | None, known: Mapping[str, Relation], spa
     return merge(out, how) if how else out.distinct()
 
 
+def _kept(df: Relation) -> Relation:
+    """df itself, or, where making it deals rows anew, a table of it for the rounds that read it."""
+    return keep(df) if isinstance(df, DataFrame) and "Exchange" in df._jdf.queryExecution().executedPlan().toString() else df
+
+
+def _hop(name: str, rules: list[Rule], part: set[str]) -> tuple[int, Rel, bool] | None:
+    """For a predicate whose only recursive rule changes one place along a relation of two,
+    p(X, Z) :- p(X, Y), e(Y, Z): the place, the relation, and whether it leads from its first column to its second."""
+    recursive = [r for r in rules if any(u in part for f in r.body for u, _ in _used(f))]
+    if part != {name} or len(recursive) != 1:
+        return None
+    head, body = recursive[0].head, recursive[0].body
+    if len(body) != 2 or not all(isinstance(f, Rel) and f.rest is None for f in body) or [f.name == name for f in body].count(True) != 1:
+        return None
+    own, other = sorted(body, key=lambda f: f.name != name)
+    places = [i for i, (x, y) in enumerate(zip(own.args, head.args)) if x != y]
+    if len(own.args) != len(head.args) or len(places) != 1 or len(other.args) != 2:
+        return None
+    before, after = own.args[places[0]], head.args[places[0]]
+    names = [*own.args, after]
+    if not all(isinstance(a, Var) and a != ANY for a in names) or len(set(names)) != len(names) or set(other.args) != {before, after}:
+        return None
+    return places[0], other, other.args[0] == before
+
+
 def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program, known: dict[str, Relation], spark: SparkSession, rounds: int | None) -> None:
     seeds: dict[str, DataFrame] = {}
     for n in sorted(part):
@@ -339,6 +364,15 @@ def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program,
         if n in known:
             parts.append(known[n].toDF(*_columns(len(known[n].columns))))
         seeds[n] = reduce(lambda a, b: a.union(b), parts) if parts else None
+    n = min(part)
+    if rounds is None and n not in program.merges and seeds[n] is not None and (hop := _hop(n, by_name[n], part)):
+        at, other, forth = hop
+        pairs = query([other.args[not forth].name, other.args[forth].name], other, known, spark)
+        known[n] = linear(seeds[n], keep(pairs, "hops"), seeds[n].columns[at])
+        return
+    recursive = [r for n in part for r in by_name[n] if any(u in part for f in r.body for u, _ in _used(f))]
+    read = {u for r in recursive for f in r.body for u, _ in _used(f)} & known.keys() - part
+    given = {**known, **{u: _kept(known[u]) for u in read}}
     blank = next(d for d in seeds.values() if d is not None)
     total, delta = {}, {}
     for n in sorted(part):
@@ -360,7 +394,7 @@ def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program,
                 for i in places:  # the i-th use sees the new facts only, the others all
                     body = list(r.body)
                     body[i] = Rel("delta " + r.body[i].name, r.body[i].args)
-                    fresh[n].append(_apply(Rule(r.head, tuple(body)), {**known, **total, **{"delta " + m: d for m, d in delta.items()}}, spark, False))
+                    fresh[n].append(_apply(Rule(r.head, tuple(body)), {**given, **total, **{"delta " + m: d for m, d in delta.items()}}, spark, False))
         for n in sorted(part):
             names, how = total[n].columns, program.merges.get(n)
             if not fresh[n]:
