@@ -134,9 +134,11 @@ def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def reach(edges: DataFrame, sources: DataFrame, a: str = "a", b: str = "b", steps: int | None = None) -> DataFrame:
     """(source, b): what each source reaches, in so many steps at most if given; only the sources' part of the closure
     is worked out."""
-    hop = edges.select(F.col(a).alias("m"), F.col(b).alias("to")).distinct()
+    hop = keep(edges.select(F.col(a).alias("m"), F.col(b).alias("to")).distinct(), "hops")
     start = sources.toDF("source").join(hop, F.col("source") == F.col("m")).select("source", F.col("to").alias("b"))
-    return fixpoint(start, lambda delta, _: delta.join(hop, F.col("b") == F.col("m")).select("source", F.col("to").alias("b")), None if steps is None else steps - 1, stop=True)
+    if steps is None:
+        return linear(start, hop, "b")
+    return fixpoint(start, lambda delta, _: delta.join(hop, F.col("b") == F.col("m")).select("source", F.col("to").alias("b")), steps - 1, stop=True)
 
 
 def shortest(edges: DataFrame, sources: DataFrame | None = None, a: str = "a", b: str = "b", d: str = "d") -> DataFrame:

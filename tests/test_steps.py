@@ -64,6 +64,11 @@ def tables(monkeypatch):
 CHAIN = [(i, i + 1) for i in range(40)]
 
 
+def test_reach_in_few_rounds(spark, tables):
+    got = rec.reach(spark.createDataFrame(CHAIN, "a long, b long"), spark.createDataFrame([(0,), (7,)], "s long"))
+    assert got.count() == 40 + 33 and len(tables) <= 16
+
+
 def test_datalog_in_few_rounds(spark, tables):
     rules = datalog.parse("p(X, Y) :- e(X, Y). p(X, Z) :- p(X, Y), e(Y, Z).")
     got = datalog.run(datalog.Program(rules), {"e": spark.createDataFrame(CHAIN, "a long, b long")}, spark)["p"]
