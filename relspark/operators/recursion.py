@@ -63,32 +63,70 @@ def linear(seed: DataFrame, hop: DataFrame, at: str) -> DataFrame:
 
     Steps double: with all rows of fewer than n hops and the table of walks of n hops, one join gives the rows of fewer
     than 2n, so there are as many rounds as the longest way has bits.  Walks of 2n are made only if their join has no
-    more rows than hop (forests, rings, functions); in denser graphs the rounds go on by new rows and walks of n.
+    more rows than hop (forests, rings, functions); in denser graphs the rounds go on by new rows and walks of n.  In a
+    forest, pairs that begin with its edges are not compared with those there are.
     """
-    step, made = hop.toDF("__m", "__to"), None
+    step = hop.toDF("__m", "__to")
     size = step.count()
     parts = [keep(seed.distinct(), "delta")]
+    if not size:
+        return parts[0]
     columns = parts[0].columns
+    walks, most_in, most_out = _degrees(step)
+    # a walk with one way into each place, or one way on, is known by its ends, and walks of twice the length are no more
+    single = min(most_in, most_out) == 1
+    made: list[DataFrame] = []
 
     def further(rows: DataFrame, _=None) -> DataFrame:
         return rows.join(step, F.col(at) == F.col("__m")).select(*(F.col("__to").alias(c) if c == at else c for c in columns))
 
-    while True:
-        total = reduce(DataFrame.unionByName, parts)
-        parts.append(keep(further(total).distinct().join(total, columns, "left_anti"), "delta"))
+    def twice(step: DataFrame) -> DataFrame:
+        out = step.join(step.toDF("__n", "__end"), F.col("__to") == F.col("__n")).select("__m", F.col("__end").alias("__to"))
+        made.append(keep(out if single else out.distinct(), "walks"))
+        return made[-1]
+
+    def done(out: DataFrame) -> DataFrame:
+        for t in made:
+            drop(t)
+        return out
+
+    steps = [step]
+    if single:
+        # until there are none, or as many as before: these come from a ring
+        sizes = [size]
+        while sizes[-1] and sizes[-2:] != [sizes[-1]] * 2:
+            steps.append(twice(steps[-1]))
+            sizes.append(steps[-1].count())
+        if not sizes[-1] and len(columns) == 2:
+            ways = hop.toDF(*(columns if columns[1] == at else reversed(columns)))
+            if parts[0].join(ways, columns, "left_anti").isEmpty():
+                # a forest: of two places there is one way at most, so longer ways find new pairs only, each once
+                for step in steps[:-1]:
+                    parts.append(keep(further(reduce(DataFrame.unionByName, parts)), "delta"))
+                return done(reduce(DataFrame.unionByName, parts))
+    for k in count():
+        total, step = reduce(DataFrame.unionByName, parts), steps[k]
+        # where nothing is led to from two sides, different rows lead to different ones
+        new = further(total) if most_in == 1 else further(total).distinct()
+        parts.append(keep(new.join(total, columns, "left_anti"), "delta"))
         if parts[-1].isEmpty():
-            return total
-        ends = step.select(F.col("__to").alias("n"), F.lit(1).alias("in"), F.lit(0).alias("out")).union(step.select("__m", F.lit(0), F.lit(1)))
-        degrees = ends.groupBy("n").agg(F.sum("in").alias("in"), F.sum("out").alias("out"))
-        walks = degrees.agg(F.sum(F.col("in").cast("double") * F.col("out"))).first()[0]
+            return done(total)
+        if k + 1 < len(steps):
+            continue
         if not walks:
-            return reduce(DataFrame.unionByName, parts)
+            return done(reduce(DataFrame.unionByName, parts))
         if walks > size:
-            return _grow(parts, further)
-        twice = keep(step.join(step.toDF("__n", "__end"), F.col("__to") == F.col("__n")).select("__m", F.col("__end").alias("__to")).distinct(), "walks")
-        if made is not None:
-            drop(made)
-        step = made = twice
+            return done(_grow(parts, further))
+        steps.append(twice(step))
+        if not single:
+            walks, most_in, most_out = _degrees(steps[-1])
+
+
+def _degrees(step: DataFrame) -> tuple[float, int, int]:
+    """How many walks of two steps there are, and the most steps to a place and from one."""
+    ends = step.select(F.col("__to").alias("n"), F.lit(1).alias("in"), F.lit(0).alias("out")).union(step.select("__m", F.lit(0), F.lit(1)))
+    degrees = ends.groupBy("n").agg(F.sum("in").alias("in"), F.sum("out").alias("out"))
+    return tuple(degrees.agg(F.sum(F.col("in").cast("double") * F.col("out")), F.max("in"), F.max("out")).first())
 
 
 def best_fixpoint(seed: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], value: str, least: bool = True, rounds: int | None = None) -> DataFrame:

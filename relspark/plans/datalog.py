@@ -357,22 +357,26 @@ def _hop(name: str, rules: list[Rule], part: set[str]) -> tuple[int, Rel, bool]
 
 
 def _fixpoint(part: set[str], by_name: dict[str, list[Rule]], program: Program, known: dict[str, Relation], spark: SparkSession, rounds: int | None) -> None:
+    recursive = [r for n in part for r in by_name[n] if any(u in part for f in r.body for u, _ in _used(f))]
+    name = min(part)
+    hop = _hop(name, by_name[name], part) if rounds is None and name not in program.merges else None
+    if hop:
+        at, other, forth = hop
+        pairs = keep(query([a.name for a in other.args], other, known, spark), "hops")
+        given = {**known, other.name: pairs}
+    else:
+        read = {u for r in recursive for f in r.body for u, _ in _used(f)} & known.keys() - part
+        given = {**known, **{u: _kept(known[u]) for u in read}}
     seeds: dict[str, DataFrame] = {}
     for n in sorted(part):
-        first = [r for r in by_name[n] if not any(u in part for f in r.body for u, _ in _used(f))]
-        parts = [_apply(r, known, spark, False) for r in first]
+        first = [r for r in by_name[n] if r not in recursive]
+        parts = [_apply(r, given, spark, False) for r in first]
         if n in known:
             parts.append(known[n].toDF(*_columns(len(known[n].columns))))
         seeds[n] = reduce(lambda a, b: a.union(b), parts) if parts else None
-    n = min(part)
-    if rounds is None and n not in program.merges and seeds[n] is not None and (hop := _hop(n, by_name[n], part)):
-        at, other, forth = hop
-        pairs = query([other.args[not forth].name, other.args[forth].name], other, known, spark)
-        known[n] = linear(seeds[n], keep(pairs, "hops"), seeds[n].columns[at])
+    if hop and seeds[name] is not None:
+        known[name] = linear(seeds[name], pairs if forth else pairs.select(*reversed(pairs.columns)), seeds[name].columns[at])
         return
-    recursive = [r for n in part for r in by_name[n] if any(u in part for f in r.body for u, _ in _used(f))]
-    read = {u for r in recursive for f in r.body for u, _ in _used(f)} & known.keys() - part
-    given = {**known, **{u: _kept(known[u]) for u in read}}
     blank = next(d for d in seeds.values() if d is not None)
     total, delta = {}, {}
     for n in sorted(part):

@@ -51,6 +51,15 @@ def test_a_place_in_the_middle(spark):
     assert got == sorted([("a", i, 0.5) for i in range(3, 7)] + [("b", i, 1.5) for i in range(1, 7)] + [("c", i, 2.5) for i in (5, 6)])
 
 
+@pytest.mark.parametrize("starts", [[(0, 1), (0, 3)], [(0, 1), (2, 3), (2, 3)], [(9, 0), (9, 4), (0, 4)]])
+def test_starts_on_a_chain(spark, starts):
+    """Starts that are edges, and starts that are farther, whose ways meet."""
+    rules = datalog.parse("p(X, Y) :- s(X, Y). p(X, Z) :- p(X, Y), e(Y, Z).")
+    facts = {"s": spark.createDataFrame(starts, "a long, b long"), "e": spark.createDataFrame([(i, i + 1) for i in range(6)], "a long, b long")}
+    got = datalog.run(datalog.Program(rules), facts, spark)["p"].collect()
+    assert sorted(map(tuple, got)) == sorted({(x, z) for x, y in starts for z in range(y, 7)})
+
+
 @pytest.fixture
 def tables(monkeypatch):
     """The names of the tables that are kept."""
